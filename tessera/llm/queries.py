@@ -17,6 +17,34 @@ def _model() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secrets
+
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.train(docs))
+
+
+def op5_language_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.train(docs))
+
+
 def op7_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import encode
 
@@ -30,6 +58,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity_nnpu": op1_toxicity_nnpu,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_secret_crf": op4_secret_crf,
+    "op5_language_bigru": op5_language_bigru,
     "op7_sentencepiece_codec": op7_sentencepiece_codec,
     "op10_token_counts": op10_token_counts,
 }
