@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
 from .common import table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -51,6 +52,18 @@ def op7_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), _model())
 
 
+def op8_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .caps import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .shingles import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import token_counts
 
@@ -63,7 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_crf": op4_secret_crf,
     "op5_language_bigru": op5_language_bigru,
     "op7_sentencepiece_codec": op7_sentencepiece_codec,
+    "op8_spherical_caps": op8_spherical_caps,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_spherical_caps": oracles.SPHERICAL_CAPS, "op9_ngram_jaccard": oracles.jaccard()}
