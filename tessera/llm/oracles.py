@@ -6,8 +6,8 @@ SPHERICAL_CAPS = """
 WITH RECURSIVE e AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS v,
          coalesce(label IS NOT NULL AND len(embedding) > 0
-                  AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)
-                  AND len(list_filter(embedding, x -> x <> 0)) > 0, false) AS sound
+                  AND len([x for x in embedding if x IS NOT NULL AND isfinite(x)]) = len(embedding)
+                  AND len([x for x in embedding if x <> 0]) > 0, false) AS sound
   FROM embeddings),
 link AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id
