@@ -25,6 +25,12 @@ def op1_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kneser_ney import language_model_scores
+
+    return language_model_scores(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
@@ -72,6 +78,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_nnpu": op1_toxicity_nnpu,
+    "op2_kneser_ney": op2_kneser_ney,
     "op3_quality_rules": op3_quality_rules,
     "op4_secret_crf": op4_secret_crf,
     "op5_language_bigru": op5_language_bigru,
