@@ -8,8 +8,8 @@ prefixes share a pair of frequent ones. Sets met under one key are compared by t
 and by a histogram that bounds their overlap from above, and what is left is verified on the
 whole sets. Equal sets are one node from the start.
 
-Only components are asked for, so a first pass takes one candidate partner for each set and
-key, and a second one all candidates that the first has not connected already.
+Only components are asked for, so two passes verify each set's likeliest partner outside its
+component, and a last one all candidates that these have not connected already.
 """
 
 from __future__ import annotations
@@ -26,7 +26,9 @@ from .common import arrow_map, dropped, saved
 from .components import components
 
 #: A token in more sets than this is frequent; a key with more rows is dealt out in blocks of it.
-FREQUENT = 2048
+FREQUENT = 8192
+#: Passes that verify one partner of each set before all that is left is verified.
+PASSES = 2
 BINS = 128
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
@@ -79,17 +81,21 @@ def _signature_batches(words: int, num: int, den: int):
     return run
 
 
-def _candidate_batches(num: int, den: int, first_only: bool, gather: int = 60_000):
-    """Candidate pairs within rows sorted by key, size and node; groups may span batches."""
+def _candidate_batches(num: int, den: int, best_only: bool, gather: int = 60_000):
+    """Candidate pairs (a, b, bound) within rows sorted by key, size and node; groups may span batches.
+
+    Not those of one component, nor those tried before. With ``best_only`` a row gives its
+    likeliest partner only.
+    """
 
     def pairs(t: pa.Table) -> pa.RecordBatch:
         t = t.combine_chunks()
         g, node, n, comp = (t.column(c).to_numpy() for c in ("g", "node", "n", "comp"))
+        tried = [t.column(f"t{k}").to_numpy() for k in range(PASSES)]
         h = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(g), BINS)
-        big = h[:, 0] == 255
-        big &= h[:, -1] == 255
-        best = np.full(len(g), -1, np.int64)
-        left, right = [], []
+        big = (h[:, 0] == 255) & (h[:, -1] == 255)
+        best, partner = np.full(len(g), -1.0), np.full(len(g), -1, np.int64)
+        found: list[tuple[np.ndarray, ...]] = []
         live, d = np.arange(max(0, len(g) - 1)), 1
         while True:
             live = live[live < len(g) - d]
@@ -99,24 +105,32 @@ def _candidate_batches(num: int, den: int, first_only: bool, gather: int = 60_00
                 break
             for i in np.array_split(live, -(-len(live) // 8192)):
                 j = i + d
-                ok = (comp[i] != comp[j]) & (node[i] != node[j])
+                ok = comp[i] != comp[j]
+                for x in tried:
+                    ok &= (x[i] != node[j]) & (x[j] != node[i])
                 i, j = i[ok], j[ok]
                 most = np.minimum(h[i], h[j]).sum(1, dtype=np.int64)
                 most = np.where(big[i] | big[j], n[i], np.minimum(most, n[i]))
                 ok = den * most >= num * (n[i] + n[j] - most)
-                if first_only:
-                    best[j[ok]] = i[ok]  # the farthest so far: much the same one under every key
+                i, j, most = i[ok], j[ok], most[ok]
+                bound = most / (n[i] + n[j] - most)
+                if best_only:
+                    for x, y in ((i, j), (j, i)):
+                        up = bound > best[x]
+                        best[x[up]], partner[x[up]] = bound[up], y[up]
                 else:
-                    left.append(node[i[ok]])
-                    right.append(node[j[ok]])
+                    found.append((np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), bound))
             d += 1
-        if first_only:
-            j = np.flatnonzero(best >= 0)
-            left, right = [node[best[j]]], [node[j]]
-        a = np.concatenate(left) if left else np.zeros(0, np.int64)
-        b = np.concatenate(right) if right else np.zeros(0, np.int64)
-        both = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+        if best_only:
+            k = np.flatnonzero(partner >= 0)
+            k = k[np.lexsort((-best[k], node[k]))]
+            k = k[np.append(True, node[k[1:]] != node[k[:-1]])] if len(k) else k
+            a, b, bound = node[k], node[partner[k]], best[k]
+        else:
+            a, b, bound = (np.concatenate([f[x] for f in found]) if found else np.zeros(0, np.float64 if x == 2 else np.int64) for x in range(3))
+            _, k = np.unique(np.column_stack([a, b]), axis=0, return_index=True) if len(a) else (None, np.zeros(0, np.int64))
+            a, b, bound = a[k], b[k], bound[k]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bound, pa.float64())], names=["a", "b", "bound"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -193,11 +207,18 @@ class JaccardJoin:
         many = many.select(F.xxhash64("key", F.least("p", "q"), F.greatest("p", "q")).alias("g"), "node", "n")
         return one.unionByName(many)
 
-    def _candidates(self, rows: DataFrame, comp: DataFrame | None, first_only: bool) -> DataFrame:
+    def _candidates(self, rows: DataFrame, comp: DataFrame | None, tried: list[DataFrame], best_only: bool) -> DataFrame:
         info = self.nodes.select("node", "sketch")
         info = info.withColumn("comp", F.col("node")) if comp is None else info.join(comp.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        full = rows.join(info, "node").repartition("g").sortWithinPartitions("g", "n", "node").select("g", "node", "n", "sketch", "comp")
-        return arrow_map(full, _candidate_batches(self.num, self.den, first_only), "a long, b long").distinct()
+        for k in range(PASSES):
+            got = tried[k].select(F.col("a").alias("node"), F.col("b").alias(f"t{k}")) if k < len(tried) else None
+            info = info.join(got, "node", "left") if got is not None else info.withColumn(f"t{k}", F.lit(None).cast("long"))
+            info = info.withColumn(f"t{k}", F.coalesce(f"t{k}", F.lit(-(1 << 62))))
+        full = rows.join(info, "node").repartition("g").sortWithinPartitions("g", "n", "node").select("g", "node", "n", "sketch", "comp", *[f"t{k}" for k in range(PASSES)])
+        pairs = arrow_map(full, _candidate_batches(self.num, self.den, best_only), "a long, b long, bound double")
+        if best_only:
+            return pairs.groupBy("a").agg(F.max(F.struct("bound", "b")).alias("m")).select("a", "m.b")
+        return pairs.select("a", "b").distinct()
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         need = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
@@ -210,12 +231,14 @@ class JaccardJoin:
     def node_components(self) -> DataFrame:
         """(node, component) of the nodes that have links."""
         rows = saved(self.keys(), "keys")
-        first = saved(self._candidates(rows, None, True), "pairs")
-        links = self._verified(first)
-        comp = saved(components(links), "components")
-        rest = self._candidates(rows, comp, False).join(first, ["a", "b"], "left_anti")
-        more = self._verified(saved(rest, "pairs"))
-        return components(links.unionByName(more))
+        comp, tried, links = None, [], None
+        for k in range(PASSES + 1):
+            pairs = saved(self._candidates(rows, comp, tried, k < PASSES), "pairs")
+            tried.append(pairs)
+            new = self._verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+            links = new if links is None else links.unionByName(new)
+            comp = saved(components(links), "components")
+        return comp
 
     def result(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) of every row."""
