@@ -52,6 +52,12 @@ def op5_language_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs))
 
 
+def op6_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import encode
 
@@ -82,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_secret_crf": op4_secret_crf,
     "op5_language_bigru": op5_language_bigru,
+    "op6_latent_decontamination": op6_latent_decontamination,
     "op7_sentencepiece_codec": op7_sentencepiece_codec,
     "op8_spherical_caps": op8_spherical_caps,
     "op9_ngram_jaccard": op9_ngram_jaccard,
