@@ -63,7 +63,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 200, rate: float = 0.1, l1: float = 1e-4, seed: int = 0) -> tuple[np.ndarray, float]:
+def nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 300, rate: float = 0.1, l1: float = 1e-4, seed: int = 0) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic scorer that minimises the non-negative risk plus ``l1 * |w|``.
 
     Full-batch Adam with a falling rate; where the unlabelled part of the risk goes below
@@ -91,9 +91,18 @@ def nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 200, rate:
     return w, float(b)
 
 
+def _without_copies(rows: list[np.ndarray]) -> list[np.ndarray]:
+    """Feature sets, near copies (two equal minima of hashes) once: a copied text's words prove nothing."""
+    seen: dict[tuple[int, int], np.ndarray] = {}
+    for f in rows:
+        if len(f):
+            seen.setdefault((int(f[0]), int(T.mix(f ^ np.uint64(0x9E3779B97F4A7C15)).min())), f)
+    return list(seen.values())
+
+
 def fit(positives: pa.Array, unlabelled: pa.Array, prior: float, features: int = 1024, members: int = 3) -> Model:
     """Choose features by how much oftener positives have them, then train the members."""
-    p, u = _row_features(positives), _row_features(unlabelled)
+    p, u = _without_copies(_row_features(positives)), _row_features(unlabelled)
     if not p or not u:
         return Model(np.zeros(0, np.uint64), np.zeros(0), -6.0 if not p else 0.0)
     hp, cp = np.unique(np.concatenate(p), return_counts=True)
@@ -104,7 +113,8 @@ def fit(positives: pa.Array, unlabelled: pa.Array, prior: float, features: int =
     rest = np.maximum(in_u / len(u) - prior * cp / len(p), 0) / (1 - prior)
     rate = cp / len(p)
     gain = rate * np.log((rate + 1 / len(p)) / (rest + 1 / len(u)))
-    ok = np.flatnonzero((cp >= 3) & (gain > 0) & (rate > 4 * rest))
+    chance = len(p) * (rest + 1 / len(u))  # positives that would have the feature if it meant nothing
+    ok = np.flatnonzero((cp >= chance + 4 * np.sqrt(chance) + 2.5) & (gain > 0) & (rate > 4 * rest))
     best = np.sort(hp[ok[np.argsort(-gain[ok], kind="stable")[:features]]])
     if not len(best):
         return Model(best, np.zeros(0), float(np.log(prior / (1 - prior))))
