@@ -29,38 +29,43 @@ class Rules:
     bias: float
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a whole text; a null text counts as empty, ratios of nothing are 0."""
+def _prefix(df: DataFrame) -> str:
+    """A beginning that no column of ``df`` has, for the columns made here."""
+    p = "_q"
+    while any(c.lower().startswith(p) for c in df.columns):
+        p += "_"
+    return p
 
-    def without(chars: str) -> Column:
-        return F.translate(F.col("_t"), chars, "")
 
-    n = F.col("_n")
-    def share(left: Column) -> Column:
-        return F.coalesce((n - F.length(left)) / n, F.lit(0.0))
+def _statistics(p: str) -> dict[str, Column]:
+    """Statistics of a text; ratios of nothing are null here. The text, its length, words and lines have columns."""
+    text, n = F.col(p + "t"), F.col(p + "n")
 
-    words, lines = F.size("_w"), F.size("_l")
+    def share(chars: str) -> Column:
+        return (n - F.length(F.translate(text, chars, ""))) / n
+
+    words, lines = F.size(p + "w"), F.size(p + "l")
     return {
         "chars": F.log1p(n.cast("double")),
         "words": F.log1p(words.cast("double")),
         "word_size": n / words,
-        "symbols": share(without(SYMBOLS)),
-        "uppers": share(without("ABCDEFGHIJKLMNOPQRSTUVWXYZ")),
-        "digits": share(without("0123456789")),
-        "stops": share(without(".,;:")),
-        "marks": share(without("!?")),
-        "new_words": F.size(F.array_distinct("_w")) / words,
+        "symbols": share(SYMBOLS),
+        "uppers": share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+        "digits": share("0123456789"),
+        "stops": share(".,;:"),
+        "marks": share("!?"),
+        "new_words": F.size(F.array_distinct(p + "w")) / words,
         "lines": lines / words,
-        "new_lines": F.size(F.array_distinct("_l")) / lines,
-        "runs": F.regexp_count("_t", F.lit(r"[!-/:-@\[-`{-~]{2}")) / words,
+        "new_lines": F.size(F.array_distinct(p + "l")) / lines,
+        "runs": F.regexp_count(text, F.lit(r"[!-/:-@\[-`{-~]{2}")) / words,
     }
 
 
-def with_statistics(df: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` and the statistics, each computed once."""
-    t = df.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t"))
-    t = t.select(*keep, "_t", F.nullif(F.length("_t"), F.lit(0)).alias("_n"), F.split("_t", r"[ \n\t\r]+").alias("_w"), F.split("_t", "\n").alias("_l"))
-    return t.select(*keep, *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(f"_s_{k}") for k, c in statistics(F.col("_t")).items()])
+def with_statistics(df: DataFrame, keep: list[str], p: str) -> DataFrame:
+    """``keep`` and the statistics under prefix ``p``, each computed once; a null text counts as empty."""
+    t = df.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias(p + "t"))
+    t = t.select("*", F.nullif(F.length(p + "t"), F.lit(0)).alias(p + "n"), F.split(p + "t", r"[ \n\t\r]+").alias(p + "w"), F.split(p + "t", "\n").alias(p + "l"))
+    return t.select(*keep, *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(p + k) for k, c in _statistics(p).items()])
 
 
 def _grow(x: np.ndarray, cuts: list[np.ndarray], grad: np.ndarray, hess: np.ndarray, rows: np.ndarray, path: tuple, depth: int, out: list) -> np.ndarray:
@@ -165,17 +170,17 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> Rules:
     """Fit on the statistics of at most ``max_rows`` labelled rows of the training fold."""
     known = labels.where(fold(F.col("doc_id"), 4) != 2).where(F.col("quality").isNotNull()).select("doc_id", F.col("quality").cast("int"))
     chosen = sample(known.groupBy("doc_id").agg(F.max("quality").alias("_y")), "doc_id", max_rows)
-    rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), ["doc_id", "_y"])
+    rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), ["doc_id", "_y"], "_q")
     got = rows.orderBy("doc_id").toPandas()
-    x = got[[f"_s_{k}" for k in STATISTICS]].to_numpy(float).reshape(len(got), len(STATISTICS))
+    x = got[[f"_q{k}" for k in STATISTICS]].to_numpy(float).reshape(len(got), len(STATISTICS))
     return fit(x, got["_y"].to_numpy(float))
 
 
-def compiled(rules: Rules) -> Column:
+def compiled(rules: Rules, p: str) -> Column:
     """The ensemble's probability as one column expression over the statistics' columns."""
     z = F.lit(rules.bias)
     for rule, w in zip(rules.rules, rules.weights, strict=True):
-        bounds = [(F.col(f"_s_{k}") <= c) if low else (F.col(f"_s_{k}") > c) for k, low, c in rule]
+        bounds = [(F.col(p + k) <= c) if low else (F.col(p + k) > c) for k, low, c in rule]
         z = z + F.when(reduce(lambda a, b: a & b, bounds), F.lit(w)).otherwise(F.lit(0.0))
     return 1 / (1 + F.exp(-z))
 
@@ -186,5 +191,11 @@ def score(docs: DataFrame, rules: Rules, threshold: float = 0.7) -> DataFrame:
     Null or empty text: scored with all ratios 0. One row per input row; extra columns are
     not carried. Empty table: no rows. Everything is built-in column expressions.
     """
-    scored = with_statistics(docs, ["doc_id"]).select("doc_id", compiled(rules).alias("score"))
+    scored = with_statistics(docs, ["doc_id"], "_q").select("doc_id", compiled(rules, "_q").alias("score"))
     return scored.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep(docs: DataFrame, rules: Rules, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores ``threshold`` or more."""
+    p = _prefix(docs)
+    return with_statistics(docs, docs.columns, p).where(compiled(rules, p) >= threshold).select(docs.columns)

@@ -12,7 +12,7 @@ from .common import table
 TOKENIZER = "piece_bpe_32k.model"
 
 
-def _model() -> str:
+def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path(TOKENIZER)
@@ -61,7 +61,7 @@ def op6_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import encode
 
-    return encode(table(spark, sf_dir, "documents"), _model())
+    return encode(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op8_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +79,7 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import token_counts
 
-    return token_counts(table(spark, sf_dir, "documents"), _model(), limit=4096)
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), limit=4096)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

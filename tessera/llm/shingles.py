@@ -267,6 +267,9 @@ def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
     """
     comp = jaccard_components(docs, words, num, den).where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(comp, "doc_id", "left_semi")
+    nth = "_nth"
+    while nth in (c.lower() for c in docs.columns):
+        nth += "_"
     rank = Window.partitionBy("doc_id").orderBy("text")
-    kept = kept.withColumn("_nth", F.row_number().over(rank)).where("_nth = 1").drop("_nth")
+    kept = kept.withColumn(nth, F.row_number().over(rank)).where(F.col(nth) == 1).drop(nth)
     return kept.unionByName(docs.where("doc_id is null"))
