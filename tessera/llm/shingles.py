@@ -200,13 +200,20 @@ class JaccardJoin:
         pair = often.select("node", "n", F.posexplode("k").alias("i", "x"), "k").select("node", "n", "x", F.explode(F.slice("k", F.col("i") + 2, F.greatest(F.size("k") - F.col("i") - 1, F.lit(0)))).alias("y"))
         pair = pair.select(F.xxhash64("x", "y").alias("key"), "node", "n")
         pair = pair.join(pair.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key").select("key", "node", "n", "c")
-        rows = rare.unionByName(pair).withColumn("s", F.ceil(F.col("c") / self.frequent).cast("int"))
+        rows = self._with_neighbour(rare.unionByName(pair)).withColumn("s", F.ceil(F.col("c") / self.frequent).cast("int"))
         one = rows.where("s = 1").select(F.col("key").alias("g"), "node", "n")
         block = F.pmod(F.xxhash64("node"), F.col("s")).cast("int")
         many = rows.where("s > 1").withColumn("p", block).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
         many = many.select(F.xxhash64("key", F.least("p", "q"), F.greatest("p", "q")).alias("g"), "node", "n")
         return one.unionByName(many)
 
+    def _with_neighbour(self, rows: DataFrame) -> DataFrame:
+        """Rows whose key has another set of a size that could link; sizes next to each other in order tell."""
+        w = Window.partitionBy("key").orderBy("n", "node")
+        low, high = F.lag("n").over(w), F.lead("n").over(w)
+        near = (F.col("n") * self.num <= low * self.den) | (high * self.num <= F.col("n") * self.den)
+        return rows.withColumn("_near", near).where("_near").drop("_near")
+
     def _candidates(self, rows: DataFrame, comp: DataFrame | None, tried: list[DataFrame], best_only: bool) -> DataFrame:
         info = self.nodes.select("node", "sketch")
         info = info.withColumn("comp", F.col("node")) if comp is None else info.join(comp.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -235,6 +242,8 @@ class JaccardJoin:
         for k in range(PASSES + 1):
             pairs = saved(self._candidates(rows, comp, tried, k < PASSES), "pairs")
             tried.append(pairs)
+            if not k:  # sets without any candidate are done with
+                rows = rows.join(pairs.select(F.col("a").alias("node")), "node", "left_semi")
             new = self._verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
             links = new if links is None else links.unionByName(new)
             comp = saved(components(links), "components")
