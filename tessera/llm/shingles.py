@@ -186,26 +186,32 @@ class JaccardJoin:
         self.words, self.num, self.den, self.frequent = words, num, den, frequent
         self.docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
         schema = "doc_id long, n long, f1 long, f2 long, toks array<long>, sketch binary"
-        self.signed = saved(arrow_map(self.docs, _signature_batches(words, num, den), schema), "signatures")
-        sets = self.signed.where("n > 0 and doc_id is not null")
+        signed = saved(arrow_map(self.docs, _signature_batches(words, num, den), schema), "signatures")
+        sets = signed.where("n > 0 and doc_id is not null")
         self.nodes = saved(sets.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("node"), F.first("toks").alias("toks"), F.first("sketch").alias("sketch")), "nodes")
+        self.rows = saved(signed.select("doc_id", "n", "f1", "f2"), "rows")
+        dropped(signed)
 
     def keys(self) -> DataFrame:
-        """(g, node, n): what each set is indexed under, keys of a single set left out."""
+        """(g, node, n): what each set is indexed under.
+
+        Of a key, only sets with another one of a fitting size are kept (the next in order of
+        size tells); then keys are counted, and the frequent ones are replaced by pairs.
+        """
         each = self.nodes.select("node", "n", F.explode("toks").alias("key"))
-        count = each.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-        shared = saved(each.join(count, "key"), "shared")
-        rare = shared.where(F.col("c") <= self.frequent).select("key", "node", "n", "c")
-        often = shared.where(F.col("c") > self.frequent).groupBy("node", "n").agg(F.array_sort(F.collect_list("key")).alias("k")).where("size(k) > 1")
-        pair = often.select("node", "n", F.posexplode("k").alias("i", "x"), "k").select("node", "n", "x", F.explode(F.slice("k", F.col("i") + 2, F.greatest(F.size("k") - F.col("i") - 1, F.lit(0)))).alias("y"))
-        pair = pair.select(F.xxhash64("x", "y").alias("key"), "node", "n")
-        pair = pair.join(pair.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key").select("key", "node", "n", "c")
-        rows = self._with_neighbour(rare.unionByName(pair)).withColumn("s", F.ceil(F.col("c") / self.frequent).cast("int"))
-        one = rows.where("s = 1").select(F.col("key").alias("g"), "node", "n")
-        block = F.pmod(F.xxhash64("node"), F.col("s")).cast("int")
-        many = rows.where("s > 1").withColumn("p", block).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+        near = saved(self._with_neighbour(each), "near")
+        count = near.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > self.frequent)
+        rare = near.join(count, "key", "left_anti").select(F.col("key").alias("g"), "node", "n")
+        often = near.join(count, "key", "left_semi").groupBy("node", "n").agg(F.array_sort(F.collect_list("key")).alias("k")).where("size(k) > 1")
+        pair = often.select("n", "node", F.posexplode("k").alias("i", "x"), "k").select("node", "n", "x", F.explode(F.slice("k", F.col("i") + 2, F.greatest(F.size("k") - F.col("i") - 1, F.lit(0)))).alias("y"))
+        pair = self._with_neighbour(pair.select("node", "n", F.xxhash64("x", "y").alias("key")))
+        large = pair.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > self.frequent).withColumn("s", F.ceil(F.col("c") / self.frequent).cast("int")).drop("c")
+        one = pair.join(large, "key", "left_anti").select(F.col("key").alias("g"), "node", "n")
+        many = pair.join(large, "key").withColumn("p", F.pmod(F.xxhash64("node"), F.col("s")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
         many = many.select(F.xxhash64("key", F.least("p", "q"), F.greatest("p", "q")).alias("g"), "node", "n")
-        return one.unionByName(many)
+        out = saved(rare.unionByName(one).unionByName(many), "keys")
+        dropped(near)
+        return out
 
     def _with_neighbour(self, rows: DataFrame) -> DataFrame:
         """Rows whose key has another set of a size that could link; sizes next to each other in order tell."""
@@ -237,22 +243,26 @@ class JaccardJoin:
 
     def node_components(self) -> DataFrame:
         """(node, component) of the nodes that have links."""
-        rows = saved(self.keys(), "keys")
-        comp, tried, links = None, [], None
+        rows, comp, tried, links = self.keys(), None, [], None
         for k in range(PASSES + 1):
             pairs = saved(self._candidates(rows, comp, tried, k < PASSES), "pairs")
             tried.append(pairs)
             if not k:  # sets without any candidate are done with
-                rows = rows.join(pairs.select(F.col("a").alias("node")), "node", "left_semi")
+                fewer = saved(rows.join(pairs.select(F.col("a").alias("node")), "node", "left_semi"), "keys")
+                dropped(rows)
+                rows = fewer
             new = self._verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
             links = new if links is None else links.unionByName(new)
             comp = saved(components(links), "components")
+        dropped(rows)
         return comp
 
     def result(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) of every row."""
-        node = self.nodes.select("n", "f1", "f2", "node").join(self.node_components(), "node", "left").select("n", "f1", "f2", F.coalesce("component", "node").alias("c"))
-        out = self.signed.select("doc_id", "n", "f1", "f2").join(node, ["n", "f1", "f2"], "left")
+        node = self.nodes.select("n", "f1", "f2", "node").join(self.node_components(), "node", "left")
+        node = saved(node.select("n", "f1", "f2", F.coalesce("component", "node").alias("c")), "node-components")
+        dropped(self.nodes)
+        out = self.rows.join(node, ["n", "f1", "f2"], "left")
         own = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("c"))
         return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
@@ -274,11 +284,14 @@ def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
 
     Of repeated rows of one doc_id the first by text stays.
     """
-    comp = jaccard_components(docs, words, num, den).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(comp, "doc_id", "left_semi")
+    comp = saved(jaccard_components(docs, words, num, den).select("doc_id", "component_id"), "groups")
+    again = comp.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 and doc_id is not null").select("doc_id")
+    lost = comp.where("doc_id <> component_id").select("doc_id").distinct()
+    # few rows leave or come twice: their ids are joined with, not those of all that stay
+    kept = docs.join(lost.unionByName(again).distinct(), "doc_id", "left_anti")
     nth = "_nth"
     while nth in (c.lower() for c in docs.columns):
         nth += "_"
     rank = Window.partitionBy("doc_id").orderBy("text")
-    kept = kept.withColumn(nth, F.row_number().over(rank)).where(F.col(nth) == 1).drop(nth)
-    return kept.unionByName(docs.where("doc_id is null"))
+    first = docs.join(again, "doc_id", "left_semi").join(lost, "doc_id", "left_anti").withColumn(nth, F.row_number().over(rank)).where(F.col(nth) == 1).drop(nth)
+    return kept.unionByName(first).select(docs.columns)
