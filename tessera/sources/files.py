@@ -118,3 +118,23 @@ def document_chunks(docs: DataFrame, repo: str, kind: str, size: int = markdown.
     titled = markdown._udf(lambda t, x: markdown.titled(t or "", x or ""), "string")
     cut = markdown.with_chunks(shown.withColumn("shown", titled(F.col("shown"), F.col("title"))).drop("text"), "shown", size, overlap)
     return cut.select(F.concat(F.lit(repo), F.lit("/"), "path", F.lit("#"), F.col("i").cast("string")).alias("id"), F.lit(repo).alias("repo"), F.lit(kind).alias("kind"), "path", "title", F.col("chunk").alias("excerpt"))
+
+
+def code_documents(spark: SparkSession, root: str, include: list[str] = (), include_extra: list[str] = (), exclude: list[str] = (), only: DataFrame | None = None) -> DataFrame:
+    """(path, content) of the source files to index: selected by path and size before a byte is read, without binaries."""
+    from tessera.functions.globs import selected
+
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    base = root.rstrip("/") + "/"
+    path = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + _literal(base.replace("file://", "")), "")
+    chosen = f.withColumn("path", path).where(selected(F.col("path"), F.col("length"), list(include), list(include_extra), list(exclude)))
+    if only is not None:
+        chosen = chosen.join(only.select("path").distinct(), "path", "left_semi")
+    return chosen.where(~F.contains("content", F.lit(b"\x00"))).select("path", F.decode("content", "UTF-8").alias("content"))
+
+
+def code_chunks(docs: DataFrame, repo: str, symbols: DataFrame | None = None, size: int = markdown.CODE_SIZE, overlap: int = markdown.CODE_OVERLAP) -> DataFrame:
+    """Chunks of source files as indexed: id ``repo/path#i``, symbol, lines, snippet."""
+    rows = docs if symbols is None else docs.join(symbols, "path", "left")
+    cut = markdown.with_code_chunks(rows, "content", "symbols" if symbols is not None else None, size, overlap)
+    return cut.select(F.concat(F.lit(repo), F.lit("/"), "path", F.lit("#"), F.col("i").cast("string")).alias("id"), F.lit(repo).alias("repo"), "path", "symbol", "start_line", "end_line", F.col("text").alias("snippet"))

@@ -284,3 +284,47 @@ def register(spark) -> None:
 
     for s in (IssueDataSource, WikiDataSource, PageDataSource, GitDataSource):
         spark.dataSource.register(s)
+
+
+def preview(kind: str, options: dict, include: list[str] = (), exclude: list[str] = (), limit: int = 1000) -> dict[str, int | bool]:
+    """How many rows a source would give: scanned, selected by labels, and whether the limit cut it short."""
+    wanted, unwanted = ({x.strip().lower() for x in some if x.strip()} for some in (include, exclude))
+    at = {"jira": (issues, 3), "confluence": (wiki_pages, 3)}[kind]
+    scanned = chosen = 0
+    for row in at[0](_lower(options), None):
+        if scanned == limit:
+            return {"scanned": scanned, "selected": chosen, "limit": limit, "truncated": True}
+        own = {x.strip().lower() for x in row[at[1]] or []}
+        scanned += 1
+        chosen += not own & unwanted and (not wanted or bool(own & wanted))
+    return {"scanned": scanned, "selected": chosen, "limit": limit, "truncated": False}
+
+
+def public_url(url: str, allow_private: bool = False) -> bool:
+    """An absolute http(s) address without user info that does not name this machine or a private network."""
+    import ipaddress
+
+    u = urllib.parse.urlparse(url)
+    if u.scheme.lower() not in ("http", "https") or not u.hostname or u.username is not None:
+        return False
+    host = u.hostname.lower().rstrip(".")
+    if allow_private:
+        return True
+    if host == "localhost" or host.endswith(".localhost"):
+        return False
+    try:
+        ip = ipaddress.ip_address(host)
+    except ValueError:
+        return True
+    return not (ip.is_private or ip.is_loopback or ip.is_link_local or ip.is_unspecified)
+
+
+def data_url(url: str, most: int = 8 << 20) -> bytes:
+    """Bytes of a base64 image in a data address; PNG, JPEG and GIF only."""
+    import base64
+    import re
+
+    m = re.fullmatch(r"data:image/(?:png|jpe?g|gif);base64,([A-Za-z0-9+/=\s]+)", url)
+    if not m or len(m[1]) * 3 // 4 > most:
+        raise ValueError("not an image of a known kind and size")
+    return base64.b64decode(m[1])
