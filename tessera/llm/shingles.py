@@ -152,28 +152,32 @@ def _candidate_batches(num: int, den: int, best_only: bool, gather: int = 60_000
     return run
 
 
-def _set_batches(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            got = [(ids[i], s.tobytes()) for i, s in shingle_sets(batch.column("text"), words)]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.binary())], names=["node", "tokens"])
-
-    return run
-
+def _text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as compressed bytes: they are sent about, and hashes of their shingles would be larger."""
+    for batch in batches:
+        raw = [(t or "").encode() for t in batch.column("text").to_pylist()]
+        blobs = [pa.compress(t, codec="zstd", asbytes=True) for t in raw]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t) for t in raw], pa.int64()), pa.array(blobs, pa.binary())], names=["node", "size", "blob"])
+
+
+def _verify_batches(words: int, num: int, den: int, rows: int = 32):
+    """Pairs whose whole sets are similar enough."""
+
+    def sets(size: pa.Array, blob: pa.Array) -> list[np.ndarray]:
+        texts = [pa.decompress(b.as_buffer(), n, codec="zstd", asbytes=True) for n, b in zip(size.to_pylist(), blob, strict=True)]
+        out = [np.zeros(0, np.uint64)] * len(texts)
+        for i, s in shingle_sets(pa.array(texts, pa.large_binary()), words):
+            out[i] = s
+        return out
 
-def _verify_batches(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(p) > len(q):
-                    p, q = q, p
-                at = np.searchsorted(q, p)
-                at[at == len(q)] = 0
-                same = int((q[at] == p).sum())
-                keep.append(den * same >= num * (len(p) + len(q) - same))
+            for a in range(0, batch.num_rows, rows):
+                some = batch.slice(a, rows)
+                for p, q in zip(sets(some.column("xn"), some.column("x")), sets(some.column("yn"), some.column("y")), strict=True):
+                    same = len(np.intersect1d(p, q, assume_unique=True))
+                    keep.append(den * same >= num * (len(p) + len(q) - same))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     return run
@@ -235,10 +239,12 @@ class JaccardJoin:
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         need = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        sets = saved(arrow_map(self.docs.join(need, "doc_id", "left_semi"), _set_batches(self.words), "node long, tokens binary"), "sets")
-        x, y = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-        links = saved(arrow_map(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), _verify_batches(self.num, self.den), "a long, b long").distinct(), "links")
-        dropped(sets)
+        texts = saved(arrow_map(self.docs.join(need, "doc_id", "left_semi"), _text_batches, "node long, size long, blob binary"), "texts")
+        x = texts.select(F.col("node").alias("a"), F.col("size").alias("xn"), F.col("blob").alias("x"))
+        y = texts.select(F.col("node").alias("b"), F.col("size").alias("yn"), F.col("blob").alias("y"))
+        both = pairs.join(x, "a").join(y, "b").select("a", "b", "xn", "x", "yn", "y")
+        links = saved(arrow_map(both, _verify_batches(self.words, self.num, self.den), "a long, b long").distinct(), "links")
+        dropped(texts)
         return links
 
     def node_components(self) -> DataFrame:
