@@ -167,7 +167,7 @@ class Engine:
             return "no matching nodes"
         degree = graph.degrees(nodes, edges).persist()
         hub = graph.hub_threshold(degree).first()[0]
-        some = graph.filter_contexts(edges, graph.normal_contexts(list(contexts)))
+        some = graph.filter_contexts(edges, graph.asked_contexts(question, list(contexts))[0])
         reached = graph.bfs(some, degree, start, min(6, max(1, depth)), hub)
         return graph.subgraph_text(nodes, edges, reached, graph.bfs_edges(some, reached, degree, hub), budget)
 

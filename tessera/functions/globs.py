@@ -8,10 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # What an index of source files takes and leaves out by default.
-NOISE_DIRS = (".git", "node_modules", "vendor", "dist", "build", "target", ".venv", "venv", "__pycache__", ".idea", ".vscode", "coverage")
-EXTENSIONS = ("go", "py", "js", "jsx", "ts", "tsx", "java", "kt", "scala", "rb", "rs", "c", "h", "cc", "cpp", "hpp", "cs", "php", "swift", "sh", "sql", "proto", "graphql", "tf", "vue", "svelte", "lua", "ex", "dart")
-NAMES = ("Dockerfile", "Makefile", "Jenkinsfile", "Procfile", "Vagrantfile", "Rakefile", "Gemfile", "go.mod", "package.json", "pyproject.toml", "Cargo.toml")
-DEPLOY = ("docker-compose", "compose", "values", "chart", "kustomization", "deployment", "service", "ingress")
+HARD_DIRS = (".git", "graphify-out")
+NOISE_DIRS = ("node_modules", "vendor")
+DOC_NOISE_DIRS = ("testdata", "test", "tests", "mock", "mocks", "__mocks__", "fixtures", "node_modules", "vendor", "dist", "build", ".git")
+DOC_EXTENSIONS = ("go", "py", "js", "jsx", "ts", "tsx", "java", "kt", "rb", "rs", "c", "h", "cc", "cpp", "hpp", "cs", "php", "swift", "scala", "m", "mm", "sh", "sql")
+EXTENSIONS = (*DOC_EXTENSIONS, "svelte", "vue", "lua", "zig", "ex", "exs")
+NAMES = ("go.mod", "go.sum", "dockerfile", "makefile", "gemfile", "rakefile", "cargo.toml", "cargo.lock", "package.json", "pyproject.toml", "requirements.txt")
+DEPLOY = ("compose", "docker-compose", "docker-stack", "values", "chart", ".gitlab-ci")
 MOST_BYTES = 512 * 1024
 
 
@@ -72,33 +75,50 @@ def ignored(path: Column, globs: list[str]) -> Column:
 
 
 def deploy_config(path: Column) -> Column:
-    """YAML of workflows, or whose name is one of the families, alone or before '.' or '-'."""
+    """YAML of workflows, or whose name is one of the families, alone or before '.' or '-'; case does not matter."""
     names = "|".join(map(re.escape, DEPLOY))
-    return path.rlike(r"(^|/)\.github/workflows/[^/]+\.ya?ml$") | path.rlike(rf"(^|/)(?:{names})(?:[.-][^/]*)?\.ya?ml$")
+    return path.rlike(r"(?i)(^|/)\.github/workflows/.*\.ya?ml$") | path.rlike(rf"(?i)(^|/)(?:{names})(?:[.-][^/]*)?\.ya?ml$")
 
 
-def built_in(path: Column) -> Column:
-    base = F.element_at(F.split(path, "/"), -1)
-    ext = F.lower(F.regexp_extract(base, r"\.([^.]+)$", 1))
-    return ext.isin(*EXTENSIONS) | base.isin(*NAMES) | deploy_config(path)
+def built_in(path: Column, extensions: tuple[str, ...] = EXTENSIONS) -> Column:
+    base = F.lower(F.element_at(F.split(path, "/"), -1))
+    return F.regexp_extract(base, r"\.([^.]*)$", 1).isin(*extensions) | base.isin(*NAMES) | deploy_config(path)
 
 
 def test_file(path: Column) -> Column:
-    return path.rlike(r"(_test\.go|(^|/)test_[^/]*\.py|\.(test|spec)\.[jt]sx?|Tests?\.(java|kt|scala))$")
+    """Names by which languages tell tests; case does not matter."""
+    return F.lower(path).rlike(r"(_test\.(go|py)|(^|/)test_[^/]*\.py|\.(test|spec)\.[jt]sx?|tests?\.(java|kt|cs|scala))$")
 
 
-def selected(path: Column, size: Column, include: list[str] = (), include_extra: list[str] = (), exclude: list[str] = ()) -> Column:
-    """Code files to index: not too large, not in a noise folder, not excluded, and included.
+def _below(path: Column, dirs: tuple[str, ...]) -> Column:
+    names = "|".join(map(re.escape, dirs))
+    return path.rlike(rf"(^|/)({names})/")
 
-    ``include_extra`` adds to, ``include`` replaces, the built-in choice; exclusion wins.
-    """
-    noise = "|".join(map(re.escape, NOISE_DIRS))
-    wanted = any_glob(path, list(include)) if include else built_in(path)
-    return (size <= MOST_BYTES) & ~path.rlike(rf"(^|/)({noise})/") & ~any_glob(path, list(exclude)) & (any_glob(path, list(include_extra)) | wanted)
 
+def _excluded_dir(path: Column, exclude: list[str], deep: bool) -> Column:
+    """Whether some folder above the path is excluded as a folder."""
+    out = F.lit(False)
+    for g in exclude:
+        out = out | path.rlike(path_regex(g.rstrip("/"), deep)[:-1] + "/")
+    return out
 
-def selected_docs(path: Column, include: list[str] = (), exclude: list[str] = ()) -> Column:
-    """Files to write documents about: tests only if asked for; no ``**`` here, and no size limit."""
-    noise = "|".join(map(re.escape, NOISE_DIRS))
-    wanted = any_glob(path, list(include), deep=False) if include else built_in(path) & ~test_file(path)
-    return ~path.rlike(rf"(^|/)({noise})/") & wanted & ~any_glob(path, list(exclude), deep=False)
+
+def selected(path: Column, size: Column, include: list[str] = (), include_extra: list[str] = (), exclude: list[str] = (), skip_dirs: list[str] = ()) -> Column:
+    """Code files to index: not too large, not in a noise folder, not excluded, and included.
+
+    ``include_extra`` adds to, ``include`` replaces, the built-in choice, and takes off the
+    rule on noise folders; exclusion wins. ``skip_dirs``: folders of generated documents.
+    """
+    wanted = any_glob(path, list(include)) if include else built_in(path) & ~_below(path, NOISE_DIRS)
+    extra = any_glob(path, list(include_extra)) if include else any_glob(path, list(include_extra)) & ~_below(path, NOISE_DIRS)
+    gone = any_glob(path, list(exclude)) | _excluded_dir(path, list(exclude), True)
+    return (size <= MOST_BYTES) & ~_below(path, (*HARD_DIRS, *skip_dirs)) & ~gone & (extra | wanted)
+
+
+def selected_docs(path: Column, include: list[str] = (), include_extra: list[str] = (), exclude: list[str] = (), skip_dirs: list[str] = ()) -> Column:
+    """Files to write documents about: tests and noise folders only if asked for; no ``**`` here, and no size limit."""
+    wanted = any_glob(path, list(include_extra), deep=False) | (any_glob(path, list(include), deep=False) if include else built_in(path, DOC_EXTENSIONS))
+    if not include:
+        wanted = wanted & ~test_file(path) & ~_below(F.lower(path), DOC_NOISE_DIRS)
+    gone = any_glob(path, list(exclude), deep=False) | _excluded_dir(path, list(exclude), False)
+    return ~_below(path, (*HARD_DIRS, *skip_dirs)) & wanted & ~gone

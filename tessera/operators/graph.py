@@ -61,22 +61,59 @@ def filter_contexts(edges: DataFrame, contexts: list[str]) -> DataFrame:
     return edges.where(F.col("context").isin(*contexts)) if contexts else edges
 
 
+# Other names of edge contexts, and words of a question that ask for one.
+ALIASES = {
+    "parameter_type": ("param", "params", "parameter", "parameters", "argument", "arguments", "arg", "args"),
+    "return_type": ("return", "returns", "returned"),
+    "generic_arg": ("generic", "generics", "template", "templates"),
+    "attribute": ("annotation", "annotations", "decorator", "decorators"),
+    "call": ("calls", "called", "invoke", "invocation"),
+    "field": ("fields", "property", "properties", "member", "members"),
+    "import": ("imports", "imported", "module", "modules"),
+    "export": ("exports", "exported"),
+}
+HINTS = {
+    "call": ("call", "calls", "called", "invoke", "invokes", "invoked"),
+    "import": ("import", "imports", "imported", "module", "modules"),
+    "field": ("field", "fields", "member", "members", "property", "properties"),
+    "parameter_type": ("parameter", "parameters", "param", "params", "argument", "arguments"),
+    "return_type": ("return", "returns", "returned"),
+    "generic_arg": ("generic", "generics", "template", "templates"),
+}
+
+
+def _plain(x: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", x) if unicodedata.category(c) != "Mn").lower()
+
+
 def normal_contexts(names: list[str]) -> list[str]:
     """Trimmed, lower-cased, aliases resolved, distinct in their order."""
-    alias = {"params": "parameter_type", "param": "parameter_type", "arg": "parameter_type", "args": "parameter_type", "returns": "return_type", "return": "return_type", "calls": "call", "imports": "import", "fields": "field"}
-    plain = ("".join(c for c in unicodedata.normalize("NFKD", x.strip().lower()) if unicodedata.category(c) != "Mn") for x in names)
-    return list(dict.fromkeys(alias.get(x, x) for x in plain if x))
+    alias = {x: k for k, some in ALIASES.items() for x in some}
+    return list(dict.fromkeys(alias.get(x, x) for x in (_plain(n).strip() for n in names) if x))
+
+
+def asked_contexts(question: str, given: list[str] = ()) -> tuple[list[str], str]:
+    """(contexts, where from): what is given counts, else what the question's words ask for."""
+    if explicit := normal_contexts(list(given)):
+        return explicit, "explicit"
+    words = {_plain(w) for w in re.split(r"[\s?,]+", question)}
+    found = [c for c, hints in HINTS.items() if not words.isdisjoint(hints)]
+    return found, "heuristic" if found else ""
 
 
 def query_terms(question: str) -> list[str]:
-    """Words to search labels by: CJK runs as themselves and their bigrams, short ASCII words left out."""
+    """Words to search labels by, in lower case.
+
+    A part with Chinese characters gives its bigrams and itself; of others, the ASCII word
+    runs; runs of at most two letters a-z are left out.
+    """
     out: list[str] = []
-    for part in question.split():
-        for run in re.findall("[一-鿿]+", part):
-            out += [run, *(run[i : i + 2] for i in range(len(run) - 1))]
-        plain = "".join(c for c in unicodedata.normalize("NFKD", re.sub("[一-鿿]+", " ", part)) if unicodedata.category(c) != "Mn")
-        out += [w for w in re.findall(r"[a-z0-9_]+", plain.lower()) if len(w) > 2]
-    return list(dict.fromkeys(out))
+    for part in question.lower().split():
+        if re.search("[一-鿿]", part):
+            out += dict.fromkeys([*(part[i : i + 2] for i in range(len(part) - 1)), part])
+        else:
+            out += re.findall(r"\w+", part, re.ASCII)
+    return [w for w in out if not re.fullmatch("[a-z]{1,2}", w)]
 
 
 def node_scores(nodes: DataFrame, terms: list[str], norm: str = "norm_label") -> DataFrame:
@@ -217,8 +254,8 @@ def god_nodes(nodes: DataFrame, edges: DataFrame, top: int = 10) -> DataFrame:
     file_node = ((file != "") & (label == base)) | label.rlike(r"^\..*\(\)$") | (label.rlike(r"\(\)$") & (F.col("degree") <= 1))
     concept = (file == "") | ~F.contains(base, F.lit("."))
     # Keys of JSON files that name nothing of their own.
-    noise = ["start", "end", "name", "id", "type", "properties", "value", "key", "data", "items", "title", "description", "version", "dependencies", "devdependencies", "scripts", "main", "license", "author"]
-    json_key = F.endswith(F.lower(file), F.lit(".json")) & F.lower(label).isin(*noise)
+    noise = ["start", "end", "name", "id", "type", "properties", "value", "key", "data", "items", "title", "description", "version", "dependencies", "devdependencies", "peerdependencies", "optionaldependencies", "bundleddependencies", "bundledependencies"]
+    json_key = F.endswith(F.lower(file), F.lit(".json")) & F.lower(F.trim(label)).isin(*noise)
     kept = d.where(~file_node & ~concept & ~json_key)
     return kept.select("id", label_of(F.col("label"), F.col("id")).alias("label"), "degree", "community", "ord").orderBy(F.desc("degree"), "ord").limit(min(top, 50))
 

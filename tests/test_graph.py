@@ -37,14 +37,16 @@ def test_scores_seeds_and_resolution(spark):
     scored = G.node_scores(n, G.query_terms("what handles the Config service?"))
     assert [r.id for r in G.seeds(scored).collect()] == ["c", "a"]
     assert [r.id for r in G.resolve(n, "handle").collect()] == ["b"]
-    assert [(r.id, r.tier) for r in G.resolve(n, "c").collect()] == [("c", 0), ("a", 2)] or G.resolve(n, "c").first().id == "c"
+    assert [(r.id, r.tier) for r in G.resolve(n, "c").collect()] == [("c", 0), ("a", 2)]
     assert G.node_scores(n, []).count() == 0
 
 
 def test_terms():
-    assert G.query_terms("Find the Größe of 数据库 x") == ["find", "the", "große".replace("ß", "")] or "find" in G.query_terms("Find the Größe of 数据库 x")
-    assert G.query_terms("数据库") == ["数据库", "数据", "据库"]
+    assert G.query_terms("Find the no x9 Ab of") == ["find", "the", "x9"]
+    assert G.query_terms("数据库") == ["数据", "据库", "数据库"] and G.query_terms("数据") == ["数据"]
     assert G.normal_contexts(["params", " arg", "returns", "unknownctx"]) == ["parameter_type", "return_type", "unknownctx"]
+    assert G.asked_contexts("who calls it, and which fields?") == (["call", "field"], "heuristic")
+    assert G.asked_contexts("who calls it", ["Decorator"]) == (["attribute"], "explicit") and G.asked_contexts("what") == ([], "")
 
 
 def chain(spark, hub=60):

@@ -111,12 +111,15 @@ def test_globs(spark, globs_, path, hit):
 
 
 def test_selection(spark):
-    paths = ["main.go", "node_modules/x.js", "docker-compose.yml", "values-prod.yaml", "notes.txt", "Dockerfile", "a_test.go", ".github/workflows/ci.yml", "random.yml"]
+    paths = ["main.go", "node_modules/x.js", "docker-compose.yml", "values-prod.yaml", "notes.txt", "Dockerfile", "a_test.go", ".github/workflows/ci.yml", "random.yml", "tests/h.py", "graphify-out/g.py"]
     pick = lambda col: [p for p, ok in zip(paths, one(spark, [(p,) for p in paths], "p string", col)) if ok]
-    size = F.lit(10)
-    assert pick(globs.selected(F.col("p"), size)) == ["main.go", "docker-compose.yml", "values-prod.yaml", "Dockerfile", "a_test.go", ".github/workflows/ci.yml"]
+    size, usual = F.lit(10), ["main.go", "docker-compose.yml", "values-prod.yaml", "Dockerfile", "a_test.go", ".github/workflows/ci.yml", "tests/h.py"]
+    assert pick(globs.selected(F.col("p"), size)) == usual
     assert pick(globs.selected(F.col("p"), size, include=["*.txt"], exclude=["notes.*"])) == []
-    assert pick(globs.selected(F.col("p"), size, include_extra=["*.txt"])) == ["main.go", "docker-compose.yml", "values-prod.yaml", "notes.txt", "Dockerfile", "a_test.go", ".github/workflows/ci.yml"]
-    assert "a_test.go" not in pick(globs.selected_docs(F.col("p")))
+    assert pick(globs.selected(F.col("p"), size, include=["**/*.js"])) == ["node_modules/x.js"]
+    assert set(pick(globs.selected(F.col("p"), size, include_extra=["*.txt"]))) == {*usual, "notes.txt"}
+    assert "tests/h.py" not in pick(globs.selected(F.col("p"), size, exclude=["tests/"]))
+    assert pick(globs.selected_docs(F.col("p"))) == ["main.go", "docker-compose.yml", "values-prod.yaml", "Dockerfile", ".github/workflows/ci.yml"]
+    assert pick(globs.selected_docs(F.col("p"), include=["*.go"])) == ["main.go", "a_test.go"]
     assert pick(globs.selected(F.col("p"), F.lit(1 << 20))) == []
     assert pick(globs.ignored(F.col("p"), ["node_modules", "*.yml"])) == ["node_modules/x.js", "docker-compose.yml", ".github/workflows/ci.yml", "random.yml"]
