@@ -29,6 +29,8 @@ from .components import components
 FREQUENT = 8192
 #: Passes that verify one partner of each set before all that is left is verified.
 PASSES = 2
+#: Texts in a block of verification, and bits of the map that tells which texts are in one.
+BLOCK, MARKS = 256, 1 << 24
 BINS = 128
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
@@ -152,33 +154,73 @@ def _candidate_batches(num: int, den: int, best_only: bool, gather: int = 60_000
     return run
 
 
-def _text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as compressed bytes: they are sent about, and hashes of their shingles would be larger."""
-    for batch in batches:
-        raw = [(t or "").encode() for t in batch.column("text").to_pylist()]
-        blobs = [pa.compress(t, codec="zstd", asbytes=True) for t in raw]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t) for t in raw], pa.int64()), pa.array(blobs, pa.binary())], names=["node", "size", "blob"])
+def _places(ids: np.ndarray) -> list[np.ndarray]:
+    h = T.mix(ids.astype(np.uint64) ^ _K[2])
+    return [(h & np.uint64(MARKS - 1)).astype(np.int64), (h >> np.uint64(40)).astype(np.int64)]
+
+
+def _marks(nodes: DataFrame) -> bytes:
+    """A bit map of fixed size (2 MB) in which every node has its two bits: most others can be told by it."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(MARKS, bool)
+        for batch in batches:
+            for at in _places(batch.column("node").to_numpy()):
+                bits[at] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+
+    out = np.zeros(MARKS // 8, np.uint8)
+    for r in arrow_map(nodes.select("node").coalesce(4), mark, "bits binary").collect():
+        out |= np.frombuffer(r.bits, np.uint8)
+    return out.tobytes()
+
+
+def _text_batches(marks: bytes):
+    """Marked texts as compressed bytes: these are sent about, hashes of their shingles would be larger."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(np.frombuffer(marks, np.uint8)).astype(bool)
+        for batch in batches:
+            one, two = _places(batch.column("doc_id").to_numpy())
+            some = batch.filter(pa.array(bits[one] & bits[two]))
+            raw = [(t or "").encode() for t in some.column("text").to_pylist()]
+            blobs = [pa.compress(t, codec="zstd", asbytes=True) for t in raw]
+            yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array([len(t) for t in raw], pa.int64()), pa.array(blobs, pa.binary())], names=["node", "size", "blob"])
+
+    return run
 
 
 def _verify_batches(words: int, num: int, den: int, rows: int = 32):
-    """Pairs whose whole sets are similar enough."""
+    """Pairs whose whole sets are similar enough; rows come by block, a block's texts before its pairs."""
 
-    def sets(size: pa.Array, blob: pa.Array) -> list[np.ndarray]:
-        texts = [pa.decompress(b.as_buffer(), n, codec="zstd", asbytes=True) for n, b in zip(size.to_pylist(), blob, strict=True)]
+    def sets(some: pa.RecordBatch) -> list[np.ndarray]:
+        texts = [pa.decompress(b.as_buffer(), n, codec="zstd", asbytes=True) for n, b in zip(some.column("size").to_pylist(), some.column("blob"), strict=True)]
         out = [np.zeros(0, np.uint64)] * len(texts)
         for i, s in shingle_sets(pa.array(texts, pa.large_binary()), words):
             out[i] = s
         return out
 
+    def similar(p: np.ndarray, q: np.ndarray) -> bool:
+        same = len(np.intersect1d(p, q, assume_unique=True))
+        return den * same >= num * (len(p) + len(q) - same)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = None, {}
         for batch in batches:
-            keep = []
-            for a in range(0, batch.num_rows, rows):
-                some = batch.slice(a, rows)
-                for p, q in zip(sets(some.column("xn"), some.column("x")), sets(some.column("yn"), some.column("y")), strict=True):
-                    same = len(np.intersect1d(p, q, assume_unique=True))
-                    keep.append(den * same >= num * (len(p) + len(q) - same))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+            a, b = [], []
+            for k in range(0, batch.num_rows, rows):
+                some = batch.slice(k, rows)
+                kind = some.column("kind").to_numpy()
+                found = iter(sets(some.filter(pa.array(kind == 0))))
+                for g, is_pair, x, y in zip(some.column("g").to_pylist(), kind, some.column("node").to_pylist(), some.column("other").to_pylist(), strict=True):
+                    if g != block:
+                        block, held = g, {}
+                    if not is_pair:
+                        held.setdefault(x, []).append(next(found))
+                    elif any(similar(p, q) for p in held.get(x, ()) for q in held.get(y, ())):
+                        a.append(x)
+                        b.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
@@ -238,13 +280,25 @@ class JaccardJoin:
         return pairs.select("a", "b").distinct()
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
-        need = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        texts = saved(arrow_map(self.docs.join(need, "doc_id", "left_semi"), _text_batches, "node long, size long, blob binary"), "texts")
-        x = texts.select(F.col("node").alias("a"), F.col("size").alias("xn"), F.col("blob").alias("x"))
-        y = texts.select(F.col("node").alias("b"), F.col("size").alias("yn"), F.col("blob").alias("y"))
-        both = pairs.join(x, "a").join(y, "b").select("a", "b", "xn", "x", "yn", "y")
-        links = saved(arrow_map(both, _verify_batches(self.words, self.num, self.den), "a long, b long").distinct(), "links")
-        dropped(texts)
+        """The pairs that link. Connected pairs go to one block, so that a text is sent once, not once a pair.
+
+        Blocks of more than ``BLOCK`` texts are dealt out: each text to the blocks of its part
+        with every part, each pair to the block of its two parts.
+        """
+        pairs = saved(pairs, "candidates")
+        group = components(pairs)
+        size = group.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("s"))
+        place = saved(group.join(size, "component").select("node", F.col("component").alias("c"), "s", F.pmod(F.xxhash64("node"), F.col("s")).cast("int").alias("p")), "places")
+        block = lambda p, q: F.xxhash64("c", F.least(p, q), F.greatest(p, q)).alias("g")
+        at = place.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).select("node", block("p", "q"))
+        texts = arrow_map(self.docs.where("doc_id is not null"), _text_batches(_marks(place)), "node long, size long, blob binary")
+        own = texts.join(at, "node").select("g", F.lit(0).alias("kind"), "node", F.lit(0).cast("long").alias("other"), "size", "blob")
+        ends = pairs.join(place.select(F.col("node").alias("a"), "c", "p"), "a").join(place.select(F.col("node").alias("b"), F.col("p").alias("q")), "b")
+        asked = ends.select(block("p", "q"), F.lit(1).alias("kind"), F.col("a").alias("node"), F.col("b").alias("other"), F.lit(0).cast("long").alias("size"), F.lit(None).cast("binary").alias("blob"))
+        rows = own.unionByName(asked).repartition("g").sortWithinPartitions("g", "kind")
+        links = saved(arrow_map(rows, _verify_batches(self.words, self.num, self.den), "a long, b long").distinct(), "links")
+        for t in (pairs, place):
+            dropped(t)
         return links
 
     def node_components(self) -> DataFrame:

@@ -52,6 +52,15 @@ def test_components_equal_brute_force(spark, words, num, den, frequent):
     assert got == brute(rows, words, num, den)
 
 
+def test_small_blocks(spark, monkeypatch):
+    from tessera.llm import shingles
+
+    monkeypatch.setattr(shingles, "BLOCK", 3)
+    rows = corpus(11, 120)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in jaccard_components(df, 3, 80, 100, 6).collect()} == brute(rows, 3, 80, 100)
+
+
 def test_odd_tables(spark):
     df = spark.createDataFrame([(None, "a b c d"), (None, None), (1, "a b c d"), (2, "a b c d")], "doc_id long, text string")
     got = sorted(map(tuple, jaccard_components(df).collect()), key=str)
