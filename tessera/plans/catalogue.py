@@ -253,6 +253,13 @@ def shortest_path_hops(spark, folder):
     return graph.distances(e, spark.createDataFrame([("customer:0",)], "id string"), 4)
 
 
+@query(f"WITH RECURSIVE edges AS MATERIALIZED ({star.edges_sql()}), both_ AS MATERIALIZED (SELECT source, target FROM edges UNION SELECT target, source FROM edges)" + """, reach AS (SELECT 'customer:0' AS id, 0 AS hops UNION SELECT b.target, hops + 1 FROM reach JOIN both_ b ON b.source = id WHERE hops < 4)
+SELECT id, min(hops) AS hops FROM reach GROUP BY id""")
+def shortest_path_hops_whole(spark, folder):
+    """Over all edges, orders and suppliers of parts too."""
+    return graph.distances(star.edges(spark, folder), spark.createDataFrame([("customer:0",)], "id string"), 4)
+
+
 @query(_G + """ SELECT d.direction, d.id, label, relation, confidence, edge_ord FROM (
 SELECT 'out' AS direction, target AS id, relation, confidence, ord AS edge_ord FROM edges WHERE source = 'nation:3'
 UNION ALL SELECT 'in', source, relation, confidence, ord FROM edges WHERE target = 'nation:3') d JOIN nodes USING (id)""")
@@ -288,14 +295,14 @@ def file_context_edges(spark, folder):
 _TERMS = ["ring", "red", "nation"]
 
 
-def _score_sql() -> str:
+def _score_sql(orders: bool = False) -> str:
     dfs = ", ".join(f"sum(CAST(contains(norm_label, '{t}') AS INT)) AS d{k}" for k, t in enumerate(_TERMS))
     bare = "regexp_replace(norm_label, '[()]+$', '')"
     parts = " + ".join(
         f"ln(1 + n / (1.0 + d{k})) * (CASE WHEN norm_label = '{t}' OR {bare} = '{t}' THEN 1000.0 WHEN starts_with(norm_label, '{t}') OR starts_with({bare}, '{t}') THEN 100.0 WHEN contains(norm_label, '{t}') THEN 1.0 ELSE 0.0 END + CASE WHEN contains(lower(source_file), '{t}') THEN 0.5 ELSE 0.0 END)"
         for k, t in enumerate(_TERMS)
     )
-    return f"WITH nodes AS ({star.nodes_sql(False)}), s AS (SELECT count(*) AS n, {dfs} FROM nodes), scored AS (SELECT id, round({parts}, 6) AS score FROM nodes, s)"
+    return f"WITH nodes AS ({star.nodes_sql(orders)}), s AS (SELECT count(*) AS n, {dfs} FROM nodes), scored AS (SELECT id, round({parts}, 6) AS score FROM nodes, s)"
 
 
 @query(_score_sql() + " SELECT id, score FROM scored WHERE score > 0")
@@ -313,6 +320,22 @@ def node_resolve(spark, folder):
     return graph.resolve(star.nodes(spark, folder, False), "Small ring").select("id", "ord", "tier")
 
 
+@query(_score_sql(True) + " SELECT id, score FROM scored WHERE score > 0")
+def node_score_whole(spark, folder):
+    """Over all nodes, orders too: they count in the inverse frequencies."""
+    return graph.node_scores(star.nodes(spark, folder), _TERMS).select("id", "score")
+
+
+@query(_score_sql(True) + ", top AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id DESC) AS rank, max(score) OVER () AS best FROM scored WHERE score > 0) SELECT id, score, CAST(rank AS INT) AS rank FROM top WHERE rank <= 3 AND (rank = 1 OR score >= 0.2 * best)")
+def seed_pick_whole(spark, folder):
+    return graph.seeds(graph.node_scores(star.nodes(spark, folder), _TERMS)).select("id", "score", "rank")
+
+
+@query(f"WITH nodes AS ({star.nodes_sql()}) SELECT id, ord, CASE WHEN norm_label = 'small ring' OR lower(id) = 'small ring' THEN 0 WHEN starts_with(norm_label, 'small ring') OR starts_with(lower(id), 'small ring') THEN 1 ELSE 2 END AS tier FROM nodes WHERE contains(norm_label, 'small ring') OR starts_with(lower(id), 'small ring')")
+def node_resolve_whole(spark, folder):
+    return graph.resolve(star.nodes(spark, folder), "Small ring").select("id", "ord", "tier")
+
+
 # --- catalog and history ----------------------------------------------------------------------
 
 @query("WITH c AS (SELECT 'team' || c_nationkey || '/' || lower(c_mktsegment) || c_custkey AS id, CASE WHEN c_acctbal > 0 THEN 'ready' ELSE 'error' END AS status, CASE WHEN c_nationkey % 2 = 0 THEN '' ELSE 'odd' END AS namespace FROM customer) SELECT id, status, namespace, (SELECT count(*) FROM c WHERE id ILIKE '%build%' AND status = 'ready' AND namespace = '') AS total FROM c WHERE id ILIKE '%build%' AND status = 'ready' AND namespace = '' ORDER BY id LIMIT 20 OFFSET 20")

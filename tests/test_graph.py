@@ -139,3 +139,38 @@ def test_graph_scan(spark, tmp_path):
     with pytest.raises(ValueError):
         files.graph_json(spark, str(tmp_path / "g.txt"))
     assert G.validate(n, e) == [] and len(G.validate(n.unionByName(n), e.withColumn("target", F.lit("x")))) == 2
+
+
+def test_whole_graph_queries_against_brute_force(spark):
+    import math
+
+    from tessera.plans import catalogue, star
+
+    folder = "/root/testdata/sf0.01"
+    near = {}
+    for e in star.edges(spark, folder).collect():
+        near.setdefault(e.source, set()).add(e.target)
+        near.setdefault(e.target, set()).add(e.source)
+    want, front = {"customer:0": 0}, {"customer:0"}
+    for hop in range(1, 5):
+        front = {y for x in front for y in near.get(x, ())} - set(want)
+        want |= dict.fromkeys(front, hop)
+    got = {r.id: r.hops for r in catalogue.QUERIES["shortest_path_hops_whole"](spark, folder).collect()}
+    assert got == want
+    assert {x.split(":")[0] for x in got} >= {"orders", "part"}
+
+    nodes = star.nodes(spark, folder).collect()
+    terms = ["ring", "red", "nation"]
+    idf = [math.log(1 + len(nodes) / (1 + sum(t in n.norm_label for n in nodes))) for t in terms]
+
+    def score(n):
+        bare = n.norm_label.rstrip("()")
+        tier = lambda t: 1000 if t in (n.norm_label, bare) else 100 if n.norm_label.startswith(t) or bare.startswith(t) else 1 if t in n.norm_label else 0
+        return sum(w * (tier(t) + (0.5 if t in n.source_file.lower() else 0)) for t, w in zip(terms, idf, strict=True))
+
+    scores = {n.id: round(score(n), 4) for n in nodes if score(n) > 0}
+    assert {r.id: round(r.score, 4) for r in catalogue.QUERIES["node_score_whole"](spark, folder).collect()} == scores
+    best = sorted(scores.items(), key=lambda x: (x[1], x[0]), reverse=True)[:3]
+    assert [r.id for r in catalogue.QUERIES["seed_pick_whole"](spark, folder).orderBy("rank").collect()] == [k for k, v in best if v >= 0.2 * best[0][1]]
+    found = {n.id for n in nodes if "small ring" in n.norm_label or n.id.lower().startswith("small ring")}
+    assert {r.id for r in catalogue.QUERIES["node_resolve_whole"](spark, folder).collect()} == found
