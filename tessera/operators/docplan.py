@@ -21,21 +21,23 @@ FILE_BUDGET_LEAST = 2000
 
 
 def groups(files: DataFrame, communities: DataFrame) -> DataFrame:
-    """(path, group, community): files by their community, 24 a group, 40 groups at most.
+    """(path, group, community): files by their community, 24 a group at most.
 
-    Groups are filled in order of community, then path; files without one come last (-1).
-    Where there would be more than 40, they grow instead: no file is left out.
+    With up to 40 communities (files without one are one more, -1, and come last) a group holds
+    files of one; groups are filled in order of community, then path. With more, communities
+    share groups, the largest first, and a mixed group has -1. No file is left out: a group
+    never grows beyond 24, so there may be more than 40.
     """
     known = files.join(communities.select(F.col("source_file").alias("path"), "community"), "path", "left")
     known = known.select("path", F.coalesce("community", F.lit(-1)).alias("community"))
     sizes = known.groupBy("community").agg(F.count("*").alias("n"))
-    total = sizes.agg(F.coalesce(F.sum(F.ceil(F.col("n") / GROUP_FILES)), F.lit(0))).first()[0]
-    if total <= MOST_GROUPS:
+    kinds, total = sizes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if kinds <= MOST_GROUPS:
         packed = pack(known, ["community"], ["path"], GROUP_FILES)
         order = packed.select("community", "pack").distinct().withColumn("group", F.row_number().over(Window.orderBy(F.col("community") == -1, "community", "pack")) - 1)
-        return packed.join(F.broadcast(order), ["community", "pack"]).select("path", "group", "community")  # at most 40 rows
-    size = -(-files.count() // MOST_GROUPS)
-    starts = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(F.col("community") == -1, "community").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        return packed.join(order, ["community", "pack"]).select("path", "group", "community")
+    size = min(GROUP_FILES, -(-total // MOST_GROUPS))
+    starts = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("n"), F.col("community") == -1, "community").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     at = F.row_number().over(Window.partitionBy("community").orderBy("path")) - 1
     dealt = known.withColumn("_i", at).join(starts.select("community", "before"), "community").withColumn("group", F.floor((F.col("_i") + F.col("before")) / size).cast("int"))
     mixed = dealt.groupBy("group").agg(F.min("community").alias("lo"), F.max("community").alias("hi"))

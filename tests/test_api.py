@@ -104,3 +104,13 @@ def test_document_planning(spark):
     got = P.summarise(asked, lambda p: "## f058.py\nbody" if "f058" in p else 1 / 0).collect()
     assert {(r.path, r.summary, r.error) for r in got} == {("f058.py", "body", None), ("f059.py", None, "not in the answer"), ("f000.py", None, "division by zero")}
     assert P.stale(files, files.limit(59)).count() == 1
+
+
+def test_groups_never_grow_beyond_24_files(spark):
+    files = spark.createDataFrame([(f"f{k:04d}.py", "") for k in range(1200)], "path string, text string")
+    one = P.groups(files, spark.createDataFrame([(f"f{k:04d}.py", k % 2) for k in range(1200)], "source_file string, community int")).collect()
+    assert len(one) == 1200 and len({r.group for r in one}) == 50 and {r.community for r in one} == {0, 1}
+    many = P.groups(files, spark.createDataFrame([(f"f{k:04d}.py", k % 60 if k < 600 else 100) for k in range(1200)], "source_file string, community int"))
+    sizes = {r.group: (r["count"], r.c) for r in many.groupBy("group").agg(F.count("*").alias("count"), F.min("community").alias("c")).collect()}
+    assert len(sizes) == 50 and {n for n, _ in sizes.values()} == {24}
+    assert [sizes[g][1] for g in range(25)] == [100] * 25 and sizes[30][1] == -1  # the largest community comes first
