@@ -172,14 +172,15 @@ def _emissions(field: Field, feats: np.ndarray) -> np.ndarray:
     return e
 
 
-def fit(feats: np.ndarray, tags: np.ndarray, steps: int = 80, rate: float = 0.15, l2: float = 1e-5, seed: int = 0) -> Field:
-    """Maximum conditional likelihood by forward-backward and Adam; segments are (rows, time, features)."""
+def fit(feats: np.ndarray, tags: np.ndarray, steps: int = 80, rate: float = 0.15, l2: float = 1e-5, seed: int = 0, size: np.ndarray | None = None) -> Field:
+    """Maximum conditional likelihood by forward-backward and Adam; segments are (rows, time, features), the first ``size`` tokens of each count."""
     rng = np.random.default_rng(seed)
     rows, time, nf = feats.shape
     w = [np.zeros((n, 3)) for n in WIDTHS]
     p = [*w, np.zeros((3, 3)), np.zeros(3)]
     m, v = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
-    gold = np.eye(3)[tags]
+    live = np.arange(time) < (np.full(rows, time) if size is None else size)[:, None]
+    gold = np.eye(3)[tags] * live[:, :, None]
     for step in range(1, steps + 1):
         x = feats.copy()
         for k in DROP:
@@ -189,7 +190,7 @@ def fit(feats: np.ndarray, tags: np.ndarray, steps: int = 80, rate: float = 0.15
         a[0] = e[:, 0] + p[-1]
         tr = p[-2]
         for t in range(1, time):
-            a[t] = e[:, t] + np.logaddexp.reduce(a[t - 1][:, :, None] + tr[None], axis=1)
+            a[t] = np.where(live[:, t, None], e[:, t] + np.logaddexp.reduce(a[t - 1][:, :, None] + tr[None], axis=1), a[t - 1])
         z = np.logaddexp.reduce(a[-1], axis=1)
         b = np.zeros((rows, 3))
         post = np.empty((rows, time, 3))
@@ -197,10 +198,12 @@ def fit(feats: np.ndarray, tags: np.ndarray, steps: int = 80, rate: float = 0.15
         post[:, -1] = np.exp(a[-1] - z[:, None])
         for t in range(time - 2, -1, -1):
             pair = a[t][:, :, None] + tr[None] + (e[:, t + 1] + b)[:, None, :] - z[:, None, None]
-            pair = np.exp(pair)
+            more = live[:, t + 1, None]
+            pair = np.where(more[:, :, None], np.exp(pair), 0)
             g_tr += pair.sum(0)
-            post[:, t] = pair.sum(2)
-            b = np.logaddexp.reduce(tr[None] + (e[:, t + 1] + b)[:, None, :], axis=2)
+            post[:, t] = np.where(more, pair.sum(2), np.exp(a[t] - z[:, None]))
+            b = np.where(more, np.logaddexp.reduce(tr[None] + (e[:, t + 1] + b)[:, None, :], axis=2), 0)
+        post *= live[:, :, None]
         d = (post - gold).reshape(-1, 3)
         flat = x.reshape(-1, nf)
         g = [np.column_stack([np.bincount(flat[:, k], d[:, c], WIDTHS[k]) for c in range(3)]) for k in range(nf)]
@@ -300,7 +303,7 @@ def train(docs: DataFrame, max_rows: int = 16000, segment: int = 32, max_segment
         buf, offs = T.utf8(pa.array([text]))
         tok = tokens(buf, offs)
         gold = _gold(tok, [spans])
-        for a in range(0, len(gold) - segment + 1, segment):
+        for a in range(0, len(gold), segment):
             part = (tok.feats[a : a + segment], gold[a : a + segment])
             odd = (tok.feats[a : a + segment, 1] > 0).any()
             (hold if (part[1] != OUTSIDE).any() else plain).append((*part, odd))
@@ -309,8 +312,12 @@ def train(docs: DataFrame, max_rows: int = 16000, segment: int = 32, max_segment
     chosen_segments = hold[: max_segments // 2] + plain[: max_segments // 4] + plain[max_segments // 4 :][-max_segments // 4 :]
     if not hold:
         none = tuple(np.zeros((n, 3), np.float32) for n in WIDTHS)
+        none[0][:, OUTSIDE] = 9  # else all tags of all tokens but the first would be equally good
         return Field(none, np.zeros((3, 3), np.float32), np.array([-9, -9, 9], np.float32))
-    return fit(np.stack([s[0] for s in chosen_segments]), np.stack([s[1] for s in chosen_segments]), seed=seed)
+    size = np.array([len(s[1]) for s in chosen_segments])
+    feats = np.stack([np.pad(s[0], ((0, segment - n), (0, 0))) for s, n in zip(chosen_segments, size, strict=True)])
+    tags = np.stack([np.pad(s[1], (0, segment - n)) for s, n in zip(chosen_segments, size, strict=True)])
+    return fit(feats, tags, seed=seed, size=size)
 
 
 def _row_spans(field: Field, buf: np.ndarray, offs: np.ndarray, limit: int = T.BLOCK) -> Iterator[tuple[int, int, int]]:

@@ -101,3 +101,32 @@ def test_no_matches_to_learn_from(spark):
     df = spark.createDataFrame([(1, "plain words only " * 50), (2, "password=b7db7aa4a5fc")], "doc_id long, text string")
     none = S.train(df.where("doc_id = 1"))
     assert [r.spans for r in S.scan(df, none).orderBy("doc_id").collect()] == ["", "assign:0:21"]
+
+
+def test_padding_does_not_change_the_fit():
+    rng = np.random.default_rng(5)
+    feats = np.stack([rng.integers(0, w, (12, 6)) for w in S.WIDTHS], axis=2).astype(np.int32)
+    feats[:, :, list(S.DROP)] = S.NEAR  # what is dropped at random stays equal
+    tags = rng.integers(0, 3, (12, 6))
+    a = S.fit(feats, tags, steps=5)
+    b = S.fit(np.pad(feats, ((0, 0), (0, 4), (0, 0))), np.pad(tags, ((0, 0), (0, 4))), steps=5, size=np.full(12, 6))
+    assert all(np.allclose(x, y, atol=1e-5) for x, y in zip((*a.emit, a.trans, a.begin), (*b.emit, b.trans, b.begin), strict=True))
+
+
+def test_short_texts_are_learned_from(spark):
+    rnd = random.Random(8)
+    key = lambda: "".join(rnd.choice("ABCDEFGHJKLMNPQRSTUVWXYZ23456789abcdefghkmnpqrstuvwxyz") for _ in range(24))
+    word = lambda: rnd.choice(["set", "the", "use", "for", "now", "my", "here", "then"])
+    rows = [(k, f"{word()} {word()} token = {key()}" if k % 2 else " ".join(word() for _ in range(8))) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    field = S.train(docs)
+    texts = pa.array([t for _, t in rows])
+    buf, offs = T.utf8(texts)
+    tagged = {row for row, _, _ in S._row_spans(field, buf, offs)}
+    assert len(tagged & set(range(1, 400, 2))) > 190 and not tagged & set(range(0, 400, 2))
+
+
+def test_a_field_without_matches_tags_nothing(spark):
+    texts = ["plain words with nothing to hide in them", "x = 12 and y", ""]
+    field = S.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert not list(S._row_spans(field, *T.utf8(pa.array(texts))))
