@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, saved
-from .components import components
+from .components import components, smallest_reached
 
 #: Codes, codewords a block, blocks, and the caps' height in standard deviations of a random
 #: vector's inner product. At 64 dimensions a vector has about 21 caps; about 1 in 100 pairs
@@ -93,22 +93,6 @@ def _decode_batches(**code):
     return run
 
 
-def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Smallest row that each row reaches over the pairs."""
-    lab = np.arange(n)
-    while True:
-        m = np.minimum(lab[i], lab[j])
-        new = lab.copy()
-        np.minimum.at(new, i, m)
-        np.minimum.at(new, j, m)
-        np.minimum.at(new, lab[i], m)
-        np.minimum.at(new, lab[j], m)
-        new = new[new]
-        if (new == lab).all():
-            return lab
-        lab = new
-
-
 def _share_earlier(lists: np.ndarray, i: np.ndarray, j: np.ndarray, filt: np.ndarray, cells: int = 1 << 24) -> np.ndarray:
     """Whether rows ``i`` and ``j`` of the sorted, -1-padded lists share a value below ``filt``."""
     k = max(1, int(max(((lists[r] < filt[:, None]) & (lists[r] >= 0)).sum(1).max() for r in (i, j))))
@@ -164,11 +148,11 @@ def _link_batches(least: float, gather: int = 20_000, chunk: int = 16_384):
                 lj.append(j)
                 held += len(i)
                 if held > 500_000:
-                    lab = _forest(n, np.concatenate(li), np.concatenate(lj))
+                    lab = smallest_reached(n, np.concatenate(li), np.concatenate(lj))
                     k = np.flatnonzero(lab != np.arange(n))
                     li, lj, held = [k], [lab[k]], 0
             d += 1
-        lab = _forest(n, np.concatenate(li), np.concatenate(lj))
+        lab = smallest_reached(n, np.concatenate(li), np.concatenate(lj))
         k = np.flatnonzero((count > 0) | (lab != np.arange(n)))
         return pa.RecordBatch.from_arrays([pa.array(node[k]), pa.array(count[k]), pa.array(node[lab[k]])], names=["node", "n", "to"])
 

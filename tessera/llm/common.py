@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch to Python; a batch's memory is this times the mean text.
-BATCH_ROWS = 1000
+#: Rows and bytes in one Arrow batch to Python, whichever comes first; one longer row is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,8 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with small batches, whatever the session's default is."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """mapInArrow with small batches: the session's limits are lowered to ``BATCH_ROWS`` and ``BATCH_BYTES``.
+
+    Spark reads both when it plans the query, so they are left as they are set here.
+    """
+    conf = df.sparkSession.conf
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = conf.get(key).rstrip("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            conf.set(key, str(most))
     return df.mapInArrow(fn, schema)
 
 
@@ -29,6 +38,8 @@ def shared_dir(spark: SparkSession, kind: str) -> str:
     """A new folder in the storage that driver and executors share (spark.checkpoint.dir)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tessera-checkpoint-")  # unset: a single machine, as in tests
         spark.conf.set("spark.checkpoint.dir", base)
     return posixpath.join(base, f"{kind}-{uuid.uuid4().hex}")

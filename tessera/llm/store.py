@@ -9,6 +9,10 @@ from functools import lru_cache
 from urllib.parse import unquote, urlparse
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from .common import arrow_map, shared_dir
 
 
 def _local(uri: str) -> str | None:
@@ -52,6 +56,43 @@ def mapped(uri: str) -> np.ndarray:
         return np.memmap(f.name, np.uint8, "r") if f.tell() else np.zeros(0, np.uint8)
 
 
+class SortedLongs:
+    """A set of 64-bit integers as sorted files in shared storage, which workers map and search.
+
+    Its size is bounded by storage alone: what tasks carry is a name for each ``PART`` values.
+    """
+
+    PART = 1 << 22
+
+    def __init__(self, values: DataFrame, kind: str):
+        """``values`` has one column of distinct non-null longs and is read twice: give a saved one."""
+        name, n, folder = values.columns[0], values.count(), shared_dir(values.sparkSession, kind)
+        many = n > self.PART
+        ordered = values.repartitionByRange(-(-n // self.PART), name).sortWithinPartitions(name) if many else values.coalesce(1).sortWithinPartitions(name)
+
+        def put(batches):
+            parts = [b.column(0).to_numpy() for b in batches]
+            v = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+            if len(v):
+                yield pa.RecordBatch.from_arrays([pa.array([int(v[0])]), pa.array([write(folder, kind, v)])], names=["low", "uri"])
+
+        files = sorted(map(tuple, arrow_map(ordered, put, "low long, uri string").collect()))
+        self.low, self.uris = np.array([f[0] for f in files], np.int64), [f[1] for f in files]
+
+    def __contains__(self, value: int) -> bool:
+        return bool(self.has(np.array([value], np.int64))[0])
+
+    def has(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(values), bool)
+        part = np.searchsorted(self.low, values, side="right") - 1
+        for p in np.unique(part[part >= 0]):
+            of = np.flatnonzero(part == p)
+            held = mapped(self.uris[p]).view(np.int64)
+            at = np.searchsorted(held, values[of])
+            out[of] = held[np.minimum(at, len(held) - 1)] == values[of]
+        return out
+
+
 def pack(keys: np.ndarray, *values: np.ndarray) -> bytes:
     """Sorted 64-bit keys and 32-bit values, by planes of bytes so that zeros lie together."""
     out = [np.array([len(keys)], "<u8").tobytes()]

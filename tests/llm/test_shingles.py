@@ -56,6 +56,8 @@ def test_small_blocks(spark, monkeypatch):
     from tessera.llm import shingles
 
     monkeypatch.setattr(shingles, "BLOCK", 3)
+    monkeypatch.setattr(shingles, "PARTNERS", 1)
+    monkeypatch.setattr(shingles, "BESIDE", 2)
     rows = corpus(11, 120)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {tuple(r) for r in jaccard_components(df, 3, 80, 100, 6).collect()} == brute(rows, 3, 80, 100)
