@@ -3,7 +3,7 @@
 Confirmed toxic texts are the positives; any other text is unlabelled, as unlabelled text
 holds toxic text too. With class prior p, the risk of a scorer g is estimated as
 ``p E_P[l(g)] + max(0, E_U[l(-g)] - p E_P[l(-g)])`` (Kiryo et al., 2017). A few linear
-classifiers over the presence of words and word ends are trained in numpy, each against its
+classifiers over the presence of words (without the marks at their ends) are trained in numpy, each against its
 own draw of the unlabelled texts, and their scores are averaged.
 """
 
@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .common import arrow_map, fold, sample
+from .components import smallest_reached
 
-#: Kinds of feature: whole word, its first 4, 5, 6 bytes, its last 4 and 5 bytes.
-HEADS, TAILS = (4, 5, 6), (4, 5)
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 PROBE_BITS = 20
 
 
@@ -34,21 +35,20 @@ class Model:
     bias: float
 
 
-def _kinds(w: T.Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(rows, feature hashes) of each kind over a block's words."""
-    yield w.row, w.hash
-    size = w.end - w.start
-    for n in HEADS:
-        k = np.flatnonzero(size > n)
-        yield w.row[k], T.mix(w.part(w.start[k], w.start[k] + n) ^ np.uint64(n))
-    for n in TAILS:
-        k = np.flatnonzero(size > n)
-        yield w.row[k], T.mix(w.part(w.end[k] - n, w.end[k]) ^ np.uint64(64 + n))
+def _cores(w: T.Words) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, hashes) of a block's words without the marks at their ends; words of marks alone are left out."""
+    at = np.arange(len(w.data) + 1)
+    letter = _LETTER[w.data]
+    after = np.minimum.accumulate(np.where(np.append(letter, True), at, len(w.data))[::-1])[::-1]
+    before = np.maximum.accumulate(np.where(letter, at[1:], 0)) if len(letter) else at[:0]
+    start, end = after[w.start], before[w.end - 1] if len(w.end) else w.end
+    k = np.flatnonzero(start < end)
+    return w.row[k], w.part(start[k], end[k])
 
 
 def _row_features(column: pa.Array) -> list[np.ndarray]:
     """Distinct feature hashes of each row."""
-    found = [(r, h) for w in T.words(column) for r, h in _kinds(w)]
+    found = [_cores(w) for w in T.words(column)]
     if not found:
         return [np.zeros(0, np.uint64)] * len(column)
     rows, h = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -91,22 +91,38 @@ def nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 300, rate:
     return w, float(b)
 
 
-def _without_copies(rows: list[np.ndarray]) -> list[np.ndarray]:
-    """Feature sets, near copies (two equal minima of hashes) once: a copied text's words prove nothing."""
-    seen: dict[tuple[int, int], np.ndarray] = {}
-    for f in rows:
-        if len(f):
-            seen.setdefault((int(f[0]), int(T.mix(f ^ np.uint64(0x9E3779B97F4A7C15)).min())), f)
-    return list(seen.values())
+def _without_copies(rows: list[np.ndarray], common: np.ndarray, minima: int = 24, equal: int = 5) -> list[np.ndarray]:
+    """Feature sets, those of one family of copies once: what a copied text says proves nothing again.
+
+    Texts are of a family if ``equal`` of ``minima`` minima of hashes over their features
+    outside ``common`` agree (about a fifth of these features shared), or through others.
+    """
+    rows = [f for f in rows if len(f)]
+    m = np.empty((len(rows), minima), np.uint64)
+    salts = T.mix(np.arange(1, minima + 1, dtype=np.uint64))
+    for i, f in enumerate(rows):
+        own = f[~np.isin(f, common)]
+        own = own if len(own) else f
+        m[i] = [T.mix(own ^ salt).min() for salt in salts]
+    pairs = [np.zeros((0, 2), np.int64)]
+    for i in range(len(rows) - 1):
+        near = np.flatnonzero((m[i + 1 :] == m[i]).sum(1) >= equal) + i + 1
+        pairs.append(np.column_stack([np.full(len(near), i), near]))
+    i, j = np.concatenate(pairs).T
+    first = np.unique(smallest_reached(len(rows), i, j))
+    return [rows[k] for k in first]
 
 
 def fit(positives: pa.Array, unlabelled: pa.Array, prior: float, features: int = 1024, members: int = 3) -> Model:
     """Choose features by how much oftener positives have them, then train the members."""
-    p, u = _without_copies(_row_features(positives)), _row_features(unlabelled)
+    p, u = _row_features(positives), _row_features(unlabelled)
     if not p or not u:
         return Model(np.zeros(0, np.uint64), np.zeros(0), -6.0 if not p else 0.0)
-    hp, cp = np.unique(np.concatenate(p), return_counts=True)
     hu, cu = np.unique(np.concatenate(u), return_counts=True)
+    p = _without_copies(p, hu[cu > 0.01 * len(u)])
+    if not p:
+        return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(prior / (1 - prior))))
+    hp, cp = np.unique(np.concatenate(p), return_counts=True)
     at = np.minimum(np.searchsorted(hu, hp), max(0, len(hu) - 1))
     in_u = np.where(hu[at] == hp, cu[at], 0) if len(hu) else np.zeros(len(hp))
     # expected share among the rest, after the positives' own share of the unlabelled is taken out
@@ -114,7 +130,7 @@ def fit(positives: pa.Array, unlabelled: pa.Array, prior: float, features: int =
     rate = cp / len(p)
     gain = rate * np.log((rate + 1 / len(p)) / (rest + 1 / len(u)))
     chance = len(p) * (rest + 1 / len(u))  # positives that would have the feature if it meant nothing
-    ok = np.flatnonzero((cp >= chance + 4 * np.sqrt(chance) + 2.5) & (gain > 0) & (rate > 4 * rest))
+    ok = np.flatnonzero((cp >= chance + 3 * np.sqrt(chance) + 2.5) & (gain > 0) & (rate > 6 * rest))
     best = np.sort(hp[ok[np.argsort(-gain[ok], kind="stable")[:features]]])
     if not len(best):
         return Model(best, np.zeros(0), float(np.log(prior / (1 - prior))))
@@ -161,12 +177,12 @@ def _score_batches(model: Model):
         for batch in batches:
             rows, found = [], []
             for w in T.words(batch.column("text")) if len(f) else ():
-                for r, h in _kinds(w):
-                    k = np.flatnonzero(probe[h >> shift])
-                    at = np.minimum(np.searchsorted(f, h[k]), len(f) - 1)
-                    hit = f[at] == h[k]
-                    rows.append(r[k][hit])
-                    found.append(at[hit])
+                r, h = _cores(w)
+                k = np.flatnonzero(probe[h >> shift])
+                at = np.minimum(np.searchsorted(f, h[k]), len(f) - 1)
+                hit = f[at] == h[k]
+                rows.append(r[k][hit])
+                found.append(at[hit])
             score = np.full(batch.num_rows, model.bias)
             if rows:
                 pair = np.unique(np.concatenate(rows).astype(np.int64) * max(1, len(f)) + np.concatenate(found))
@@ -179,8 +195,9 @@ def _score_batches(model: Model):
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """Probability that each whole text is toxic.
 
-    Null or empty text: the score of a text without features. One row per input row; extra
-    columns are not carried. Empty table: no rows.
+    Null or empty text: the score of a text without features. A very long text goes through in
+    blocks of whole words, its features counted once. One row per input row, repeated ones
+    too; extra columns are not carried. Empty table: no rows.
     """
-    out = arrow_map(docs.select("doc_id", F.col("text").cast("string")), _score_batches(model), "doc_id long, score double")
+    out = arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _score_batches(model), "doc_id long, score double")
     return out.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
