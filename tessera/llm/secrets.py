@@ -2,8 +2,9 @@
 
 Tokens are runs of ``[A-Za-z0-9+/_.-]`` and non-ASCII bytes. Each is tagged begin, inside or
 outside from its shape, the words and separators beside it and features of its file; the
-field is trained in numpy on texts whose pattern matches serve as labels (neighbouring words
-are left out at random, so that shape alone can carry a secret in other surroundings), and
+field is trained in numpy on texts whose pattern matches serve as labels and on texts into
+which random values were planted beside other words and separators than the patterns know
+(neighbouring words are left out at random, so that shape alone can carry a secret), and
 decoded by Viterbi. Pattern matches always stay; the field adds spans that touch none.
 """
 
@@ -89,8 +90,16 @@ class Tokens:
     feats: np.ndarray  # (tokens, features)
 
 
-def tokens(buf: np.ndarray, offs: np.ndarray) -> Tokens:
-    """Tokens and their feature values over whole rows."""
+def _file(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Each row's feature of its whole file: length, and density of digits."""
+    length = offs[1:] - offs[:-1]
+    digits = np.concatenate([[0], np.cumsum(_CLASS[buf] == 3)])
+    dense = (digits[offs[1:]] - digits[offs[:-1]]) / np.maximum(length, 1)
+    return np.minimum(np.log2(length + 1).astype(np.int64), 11) * 4 + np.searchsorted([0.005, 0.02, 0.1], dense)
+
+
+def tokens(buf: np.ndarray, offs: np.ndarray, file: np.ndarray | None = None) -> Tokens:
+    """Tokens and their feature values over whole rows, or over parts of rows whose ``file`` feature is given."""
     n = len(buf)
     inside = _TOKEN[buf]
     edge = np.zeros(n + 1, bool)
@@ -109,7 +118,11 @@ def tokens(buf: np.ndarray, offs: np.ndarray) -> Tokens:
     def fields(lut: np.ndarray) -> list[np.ndarray]:
         s = np.concatenate([np.zeros(1, np.uint64), np.cumsum(lut[buf])])
         d = s[end] - s[start]
-        return [((d >> np.uint64(k)) & low).astype(np.int64) for k in (0, 16, 32, 48)]
+        out = [((d >> np.uint64(k)) & low).astype(np.int64) for k in (0, 16, 32, 48)]
+        for t in np.flatnonzero(end - start > 0xFFFF):  # sums of 16 bits would run over
+            for c, k in zip(out, (0, 16, 32, 48), strict=True):
+                c[t] = int(((lut[buf[start[t] : end[t]]] >> np.uint64(k)) & np.uint64(1)).sum())
+        return out
 
     lower, upper, digit, symbol = fields(_A)
     other, hexa, vowel, caps = fields(_B)
@@ -140,10 +153,7 @@ def tokens(buf: np.ndarray, offs: np.ndarray) -> Tokens:
     word = (b[start] * 7919 + b[end - 1] * 104729 + b[np.minimum(start + 1, end - 1)] * 1299709 + b[(start + end) // 2] * 15485863 + size * 32452843) % NEAR
     prev_word = np.where(first, NEAR, np.append(0, word[:-1]))
     next_word = np.where(last, NEAR, np.append(word[1:], 0))
-    length = offs[1:] - offs[:-1]
-    ds = np.concatenate([[0], np.cumsum(_CLASS[buf] == 3)])
-    dense = (ds[offs[1:]] - ds[offs[:-1]]) / np.maximum(length, 1)
-    file = np.minimum(np.log2(length + 1).astype(np.int64), 11) * 4 + np.searchsorted([0.005, 0.02, 0.1], dense)
+    file = _file(buf, offs) if file is None else file
     feats = np.column_stack([
         bucket * 32 + mask,
         np.searchsorted([0.001, 0.1, 0.3, 0.6, 0.9, 1.0], digit / size, side="right"),
@@ -284,62 +294,119 @@ def _gold(tok: Tokens, spans: list[list[tuple[int, int]]]) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, max_rows: int = 16000, segment: int = 32, max_segments: int = 1500, seed: int = 0) -> Field:
-    """Fit on segments of at most ``max_rows`` texts (by hashed id): those with matches, and some others."""
-    chosen = sample(docs.select("doc_id"), "doc_id", max_rows).distinct()
+#: Words and separators beside planted values, none of which the patterns know.
+PLANT_WORDS = ("key", "auth", "pwd", "pass", "bearer", "credential", "private", "access", "client", "login", "sig", "license", "session", "cookie", "pin", "conn")
+PLANT_BETWEEN = (" ", " = ", "=", ": ", " is ", " -> ", " => ", "(", ' "', " '", ":", " := ", "\t", "\n", ", ")
+PLANT_ALPHABETS = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", "abcdefghijklmnopqrstuvwxyz0123456789")
+
+
+def planted(text: str, rng: np.random.Generator) -> tuple[str, int, int] | None:
+    """``text`` with a random value planted between two words, and where it stands; None if it would not look random."""
+    alphabet = PLANT_ALPHABETS[rng.integers(len(PLANT_ALPHABETS))]
+    value = "".join(alphabet[k] for k in rng.integers(0, len(alphabet), int(rng.integers(16, 49))))
+    if sum(c.isdigit() for c in value) < 2 or sum(c.isalpha() for c in value) < 2:
+        return None
+    spaces = [m.start() for m in re.finditer(r"\s", text)] or [len(text)]
+    at = spaces[rng.integers(len(spaces))]
+    own = text[:at].split()
+    word = PLANT_WORDS[rng.integers(len(PLANT_WORDS))] if not own or rng.random() < 0.7 else own[rng.integers(len(own))]
+    head = f"{text[:at]} {word}{PLANT_BETWEEN[rng.integers(len(PLANT_BETWEEN))]}"
+    return head + value + text[at:], len(head), len(head) + len(value)
+
+
+def _segment_batches(segment: int, each: int, seed: int):
+    """Segments of tokens (features, tags) of each text: ``each`` with secrets, as many without, and one with a planted value."""
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows: list[tuple[int, int, bytes, bytes]] = []
             buf, offs = T.utf8(batch.column("text"))
-            keep = candidates(buf, offs) | (batch.column("nth").to_numpy(zero_copy_only=False) % 40 == 0)
-            yield batch.filter(pa.array(keep)).select(["doc_id", "text"])
+            may, nth = candidates(buf, offs), batch.column("nth").to_numpy(zero_copy_only=False)
+            for i in np.flatnonzero(may | (nth % 8 == 0)):
+                text, rng = batch.column("text")[i].as_py() or "", np.random.default_rng([seed, int(nth[i])])
+                spans = [(s, e) for _, _, _, s, e in base_spans(text)]
+                versions = [(text, spans, spans)]
+                if nth[i] % 8 == 0 and (more := planted(text, rng)) is not None:
+                    known = [(s, e) for _, _, _, s, e in base_spans(more[0])]
+                    versions.append((more[0], [*known, more[1:]], [more[1:]]))
+                for v, (t, gold, wanted) in enumerate(versions):
+                    ends = np.cumsum([0, *(len(c.encode()) for c in t)]) if gold else None
+                    tok = tokens(*T.utf8(pa.array([t])))
+                    tags = _gold(tok, [[(int(ends[s]), int(ends[e])) for s, e in gold]])
+                    want = _gold(tok, [[(int(ends[s]), int(ends[e])) for s, e in wanted]]) != OUTSIDE
+                    first = np.arange(0, len(tags), segment)
+                    has = np.logical_or.reduceat(want, first) if len(first) else np.zeros(0, bool)
+                    free = np.logical_or.reduceat(tags != OUTSIDE, first) == 0 if len(first) else has
+                    odd = np.logical_or.reduceat((tok.feats[:, 1] > 0) | (tok.feats[:, 0] >= 7 * 32), first) if len(first) else has
+                    picks = [(0 if not v else 1, rng.permutation(first[has])[:each])]
+                    if not v:
+                        picks += [(2, rng.permutation(first[free & odd])[:each]), (3, rng.permutation(first[free & ~odd])[:each])]
+                    rows += [(k, int(nth[i]), tok.feats[a : a + segment].astype("<u2").tobytes(), tags[a : a + segment].astype("u1").tobytes()) for k, at in picks for a in at]
+            cols = list(zip(*rows, strict=True)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["kind", "nth", "feats", "tags"])
 
-    rows = docs.select("doc_id", F.col("text").cast("string"), F.pmod(F.xxhash64("doc_id"), F.lit(1000)).alias("nth")).join(F.broadcast(chosen), "doc_id")
-    got = arrow_map(rows, pick, "doc_id long, text string").toPandas().sort_values("doc_id", kind="stable")
-    rng = np.random.default_rng(seed)
-    hold, plain = [], []
-    for text in got.text.fillna(""):
-        spans = [(len(text[:s].encode()), len(text[:e].encode())) for _, _, _, s, e in base_spans(text)]
-        buf, offs = T.utf8(pa.array([text]))
-        tok = tokens(buf, offs)
-        gold = _gold(tok, [spans])
-        for a in range(0, len(gold), segment):
-            part = (tok.feats[a : a + segment], gold[a : a + segment])
-            odd = (tok.feats[a : a + segment, 1] > 0).any()
-            (hold if (part[1] != OUTSIDE).any() else plain).append((*part, odd))
-    rng.shuffle(plain)
-    plain.sort(key=lambda s: not s[2])  # segments with digits first: what secrets are taken for
-    chosen_segments = hold[: max_segments // 2] + plain[: max_segments // 4] + plain[max_segments // 4 :][-max_segments // 4 :]
-    if not hold:
+    return run
+
+
+def train(docs: DataFrame, max_rows: int = 16000, segment: int = 32, max_segments: int = 2400, each: int = 2, seed: int = 0) -> Field:
+    """Fit on segments of at most ``max_rows`` texts (by hashed id).
+
+    A text gives at most ``each`` segments with matches, with digits or long words but no match, and with
+    neither; one in eight gives one with a planted value. A quarter of ``max_segments`` each,
+    in the order of the hashed ids, is fitted on. Only features and tags reach the driver.
+    Short texts and ends of texts count too. Nothing to learn from: a field that tags nothing.
+    """
+    chosen = sample(docs.select("doc_id"), "doc_id", max_rows).distinct()
+    rows = docs.select("doc_id", F.col("text").cast("string"), F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(1 << 40)).alias("nth")).join(F.broadcast(chosen), "doc_id")
+    got = arrow_map(rows.select("text", "nth"), _segment_batches(segment, each, seed), "kind int, nth long, feats binary, tags binary").collect()
+    got.sort(key=lambda r: (r.nth, r.feats, r.tags))
+    kinds = [[r for r in got if r.kind == k][: max_segments // 4] for k in range(4)]
+    used = [r for k in kinds for r in k]
+    if not kinds[0] and not kinds[1]:
         none = tuple(np.zeros((n, 3), np.float32) for n in WIDTHS)
         none[0][:, OUTSIDE] = 9  # else all tags of all tokens but the first would be equally good
         return Field(none, np.zeros((3, 3), np.float32), np.array([-9, -9, 9], np.float32))
-    size = np.array([len(s[1]) for s in chosen_segments])
-    feats = np.stack([np.pad(s[0], ((0, segment - n), (0, 0))) for s, n in zip(chosen_segments, size, strict=True)])
-    tags = np.stack([np.pad(s[1], (0, segment - n)) for s, n in zip(chosen_segments, size, strict=True)])
+    size = np.array([len(r.tags) for r in used])
+    feats = np.stack([np.pad(np.frombuffer(r.feats, "<u2").reshape(n, -1).astype(np.int32), ((0, segment - n), (0, 0))) for r, n in zip(used, size, strict=True)])
+    tags = np.stack([np.pad(np.frombuffer(r.tags, "u1").astype(np.int64), (0, segment - n)) for r, n in zip(used, size, strict=True)])
     return fit(feats, tags, seed=seed, size=size)
 
 
-def _row_spans(field: Field, buf: np.ndarray, offs: np.ndarray, limit: int = T.BLOCK) -> Iterator[tuple[int, int, int]]:
+def _edge(buf: np.ndarray, at: int, end: int, step: int) -> int:
+    """The next place from ``at`` towards ``end`` that cuts no token."""
+    while at != end and _TOKEN[buf[at]] and _TOKEN[buf[at - 1]]:
+        many = min(abs(end - at), 65536)
+        some = buf[at : at + many] if step > 0 else buf[at - many : at][::-1]
+        gap = np.flatnonzero(~_TOKEN[some])
+        at += step * (int(gap[0]) if len(gap) else many)
+    return at
+
+
+def _row_spans(field: Field, buf: np.ndarray, offs: np.ndarray, limit: int = T.BLOCK, side: int = 1 << 16) -> Iterator[tuple[int, int, int]]:
     """(row, start, end) in the row's bytes of what the field tags.
 
     Rows go through in blocks of about ``limit`` bytes; a longer row in parts that overlap by
-    64 KiB on each side, of which spans that begin in the part's own bytes are taken.
+    ``side`` bytes on each side, of which spans that begin in the part's own bytes are taken.
+    Parts cut no token and know the feature of the whole file, so a row's tags do not depend
+    on where it is cut, unless doubtful tokens run on for more than ``side`` bytes.
     """
-    side, k = 1 << 16, 0
+    k = 0
     while k < len(offs) - 1:
         j = max(k + 1, int(np.searchsorted(offs, offs[k] + limit, side="right")) - 1)
         a, b = int(offs[k]), int(offs[j])
+        file = _file(buf[a:b], offs[k : j + 1] - a)
         if b - a <= 2 * limit:
             parts = [(a, b, a, b, offs[k : j + 1] - a)]
         else:
-            parts = []
-            for s in range(a, b, limit):
-                lo, hi = max(a, s - side), min(b, s + limit + side)
-                parts.append((lo, hi, s, min(b, s + limit), np.array([0, hi - lo])))
+            parts, s = [], a
+            while s < b:
+                e = _edge(buf, min(b, s + limit), b, 1)
+                lo, hi = _edge(buf, max(a, s - side), a, -1), _edge(buf, min(b, e + side), b, 1)
+                parts.append((lo, hi, s, e, np.array([0, hi - lo])))
+                s = e
         for lo, hi, s, e, own in parts:
             part = buf[lo:hi]
-            tok = tokens(part, own)
+            tok = tokens(part, own, file)
             tags = tag(field, tok)
             hit = np.flatnonzero(tags != OUTSIDE)
             spans: list[list[int]] = []
@@ -349,10 +416,11 @@ def _row_spans(field: Field, buf: np.ndarray, offs: np.ndarray, limit: int = T.B
                 else:
                     spans.append([int(tok.row[i]), int(tok.start[i]), int(tok.end[i]), int(i)])
             for r, x, y, _ in spans:
-                while y < int(own[r + 1]) and part[y] == 61:  # padding belongs to the secret
-                    y += 1
                 if s <= x + lo < e:
-                    yield k + r, x + lo - int(offs[k + r]), y + lo - int(offs[k + r])
+                    y += lo
+                    while y < int(offs[k + r + 1]) and buf[y] == 61:  # padding belongs to the secret
+                        y += 1
+                    yield k + r, x + lo - int(offs[k + r]), y - int(offs[k + r])
         k = j
 
 
@@ -400,9 +468,12 @@ def _scan_batches(field: Field):
 def scan(docs: DataFrame, field: Field) -> DataFrame:
     """Spans of secrets in every whole text, ``kind:start:end`` in code points, end exclusive.
 
-    Null or empty text: no spans. One row per input row; extra columns are not carried.
+    Null or empty text: no spans. A very long text goes in parts of whole tokens, with the
+    features of the whole. One row per input row, repeated ones too; of two spans that begin
+    together the kind listed first comes first. Extra columns are not carried. Empty table: no
+    rows.
     """
-    return arrow_map(docs.select("doc_id", F.col("text").cast("string")), _scan_batches(field), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _scan_batches(field), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame, field: Field, mask: str = "[SECRET]") -> DataFrame:
