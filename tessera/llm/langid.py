@@ -15,13 +15,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import arrow_map, fold, sample
+from .common import arrow_map, fold
 
-CORE, MARGIN, BATCH = 224, 16, 1024
+CORE, MARGIN, BATCH = 448, 32, 512
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -77,9 +77,9 @@ def _backward(u: np.ndarray, x: np.ndarray, trace: list, ds: np.ndarray, d_table
 
 
 def fit(windows: np.ndarray, labels: np.ndarray, langs: tuple[str, ...], hidden: int = 8, steps: int = 250, batch: int = 128, rate: float = 0.02, seed: int = 0) -> Model:
-    """Train on byte windows (rows, time) with a language index each."""
+    """Train on byte windows (rows, time; zeros behind a short text do not count) with a language index each."""
     rng = np.random.default_rng(seed)
-    k, t_len = len(langs), windows.shape[1]
+    k = len(langs)
     p = [rng.normal(0, 0.3, (256, 3 * hidden)), rng.normal(0, 0.3, (256, 3 * hidden)), rng.normal(0, hidden**-0.5, (hidden, 3 * hidden)), rng.normal(0, hidden**-0.5, (hidden, 3 * hidden)), rng.normal(0, 0.3, (2 * hidden, k)), np.zeros(k)]
     p = [a.astype(np.float32) for a in p]
     m, v = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
@@ -94,7 +94,7 @@ def fit(windows: np.ndarray, labels: np.ndarray, langs: tuple[str, ...], hidden:
         e = np.exp(logits)
         d = e / e.sum(2, keepdims=True)
         d[:, np.arange(batch), y] -= 1
-        d /= batch * t_len
+        d *= (x > 0)[:, :, None] / max(1, int((x > 0).sum()))
         g = [np.zeros_like(a) for a in p]
         g[4] = both.reshape(-1, 2 * hidden).T @ d.reshape(-1, k)
         g[5] = d.sum((0, 1))
@@ -148,14 +148,23 @@ def document_probabilities(model: Model, column: pa.Array) -> np.ndarray:
 
 
 def train(docs: DataFrame, max_rows: int = 2000, window: int = 96) -> Model:
-    """Fit on one window from each of at most ``max_rows`` training documents (by hashed id)."""
-    known = docs.where(fold(F.col("doc_id"), 4) != 2).where("lang is not null and text is not null").select("doc_id", F.col("lang").cast("string"), F.col("text").cast("string"))
-    at = F.floor(F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - window + 1, F.lit(1)))).cast("int") + 1
-    chosen = sample(known.where("length(text) >= 16").select("doc_id", "lang", F.substr("text", at, F.lit(window)).alias("text")), "doc_id", max_rows)
-    got = chosen.toPandas().sort_values("doc_id", kind="stable")
-    langs = tuple(sorted(got.lang.unique()))
+    """Fit on one window from each of at most ``max_rows`` training documents (by hashed id).
+
+    Every language has the same share of them, or all its documents if they are fewer; texts
+    of any length with a letter count, so any language that the fold has is learned.
+    """
+    known = docs.where(fold(F.col("doc_id"), 4) != 2).where("lang is not null").where(F.col("text").rlike(r"\p{L}"))
+    known = known.select("doc_id", F.col("lang").cast("string"), F.col("text").cast("string"), F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)).alias("_h"))
+    count = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    langs = tuple(sorted(count))
     if not langs:
         return Model((), (np.zeros((256, 3), np.float32),) * 2, (np.zeros((1, 3), np.float32),) * 2, np.zeros((2, 0), np.float32), np.zeros(0, np.float32))
+    each = max(1, max_rows // len(langs))
+    most = F.create_map(*[F.lit(x) for c in langs for x in (c, (1 << 30) if count[c] <= 4 * each else int((1 << 30) * 2 * each / count[c]))])
+    at = F.floor(F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - window + 1, F.lit(1)))).cast("int") + 1
+    near = known.where(F.col("_h") < most[F.col("lang")]).select("doc_id", "lang", "_h", F.substr("text", at, F.lit(window)).alias("text"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id", "text"))
+    got = near.withColumn("_nth", nth).where(F.col("_nth") <= each).toPandas().sort_values(["doc_id", "text"], kind="stable")
     x = np.zeros((len(got), window), np.uint8)
     for i, t in enumerate(got.text):
         b = np.frombuffer(t.encode()[:window], np.uint8)
@@ -184,7 +193,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """Language of every whole text, with the probability pooled over its positions.
 
     Null texts and texts without a letter (\\p{L}): ``und`` with score 0; so is all text if
-    nothing could be learned. One row per input row; extra columns are not carried.
+    nothing could be learned. Equal probabilities: the first language by name. A very long
+    text goes in windows, each byte of it counted once. One row per input row, repeated ones
+    too; extra columns are not carried. Empty table: no rows.
     """
-    out = arrow_map(docs.select("doc_id", F.col("text").cast("string")), _predict_batches(model), "doc_id long, lang_pred string, score double")
+    out = arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _predict_batches(model), "doc_id long, lang_pred string, score double")
     return out.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
