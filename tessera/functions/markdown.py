@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import re as _re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from itertools import accumulate
@@ -36,10 +36,15 @@ _INLINE = regex.compile(
 _DEFINITION = regex.compile(r"^ {0,3}(?P<label>\[(?:\\.|[^\[\]\\\n]|(?&label))*+\]):[ \t]*(?P<rest>[^\n]*)$")
 
 
+def _lines(text: str) -> list[str]:
+    """Lines with their line feeds; no other sign ends a line."""
+    return [x for x in _re.split(r"(?<=\n)", text) if x]
+
+
 def _blocks(text: str) -> Iterator[tuple[bool, str]]:
     """(whether it is code, lines) of a text: fenced and indented code, and prose between."""
     fence, held, code = None, [], False
-    for line in text.splitlines(keepends=True):
+    for line in _lines(text):
         mark = _FENCE.match(line)
         raw = fence is not None or mark is not None or line.startswith(("    ", "\t"))
         if raw != code and held:
@@ -58,7 +63,7 @@ def _blocks(text: str) -> Iterator[tuple[bool, str]]:
 def _no_definitions(prose: str) -> str:
     """Without ``[name]: target "title"`` lines, their targets and titles on lines of their own too."""
     out, want = [], ""
-    for line in prose.splitlines(keepends=True):
+    for line in _lines(prose):
         bare = line.strip()
         hanging = line[:1] in (" ", "\t") and bool(bare)
         if want == "target" and hanging:
@@ -113,23 +118,26 @@ def _sections(text: str) -> list[str]:
     return [p for p in parts if p]
 
 
-def _windows(section: str, size: int, overlap: int) -> Iterator[str]:
-    """Windows of ``size`` bytes that end at a line end past half of the usual advance."""
+def _windows(section: str, size: int, overlap: int) -> list[str]:
+    """Overlapping pieces of at most ``size`` bytes, cut at line ends where one lies far enough on.
+
+    Far enough is past half the distance between the two starts before (at first, of the
+    usual distance). All line ends are known beforehand and searched.
+    """
     raw = section.encode()
-    start, advance = 0, size - overlap
-    while start < len(raw):
+    line_ends = [m.start() for m in _re.finditer(b"\n", raw)]
+    starts, pieces = [overlap - size, 0], []
+    while not pieces or pieces[-1].stop < len(raw):
+        before, start = starts[-2:]
         stop = min(start + size, len(raw))
         if stop < len(raw):
-            line_end = raw.rfind(b"\n", start, stop) - start
-            stop = start + line_end if line_end > advance // 2 else stop
-            length = stop - start
-            advance = length - overlap if length > overlap else length
-        piece = raw[start:stop].decode(errors="replace").strip()
-        if piece:
-            yield piece
-        if stop == len(raw):
-            return
-        start += advance
+            last = bisect_left(line_ends, stop) - 1
+            if last >= 0 and line_ends[last] > start + (start - before) // 2:
+                stop = line_ends[last]
+        pieces.append(slice(start, stop))
+        starts.append(stop - overlap if stop - start > overlap else stop)
+    found = (raw[p].decode(errors="replace").strip() for p in pieces)
+    return [t for t in found if t]
 
 
 def chunks(text: str | None, size: int = LEXICAL_SIZE, overlap: int = LEXICAL_OVERLAP) -> list[str]:

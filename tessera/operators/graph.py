@@ -63,14 +63,14 @@ def filter_contexts(edges: DataFrame, contexts: list[str]) -> DataFrame:
 
 # Other names of edge contexts, and words of a question that ask for one.
 ALIASES = {
-    "parameter_type": ("param", "params", "parameter", "parameters", "argument", "arguments", "arg", "args"),
-    "return_type": ("return", "returns", "returned"),
-    "generic_arg": ("generic", "generics", "template", "templates"),
-    "attribute": ("annotation", "annotations", "decorator", "decorators"),
-    "call": ("calls", "called", "invoke", "invocation"),
-    "field": ("fields", "property", "properties", "member", "members"),
-    "import": ("imports", "imported", "module", "modules"),
-    "export": ("exports", "exported"),
+    "param": "parameter_type", "params": "parameter_type", "parameter": "parameter_type", "parameters": "parameter_type", "argument": "parameter_type", "arguments": "parameter_type", "arg": "parameter_type", "args": "parameter_type",
+    "return": "return_type", "returns": "return_type", "returned": "return_type",
+    "generic": "generic_arg", "generics": "generic_arg", "template": "generic_arg", "templates": "generic_arg",
+    "annotation": "attribute", "annotations": "attribute", "decorator": "attribute", "decorators": "attribute",
+    "calls": "call", "called": "call", "invoke": "call", "invocation": "call",
+    "fields": "field", "property": "field", "properties": "field", "member": "field", "members": "field",
+    "imports": "import", "imported": "import", "module": "import", "modules": "import",
+    "exports": "export", "exported": "export",
 }
 HINTS = {
     "call": ("call", "calls", "called", "invoke", "invokes", "invoked"),
@@ -88,8 +88,7 @@ def _plain(x: str) -> str:
 
 def normal_contexts(names: list[str]) -> list[str]:
     """Trimmed, lower-cased, aliases resolved, distinct in their order."""
-    alias = {x: k for k, some in ALIASES.items() for x in some}
-    return list(dict.fromkeys(alias.get(x, x) for x in (_plain(n).strip() for n in names) if x))
+    return list(dict.fromkeys(ALIASES.get(x, x) for x in (_plain(n).strip() for n in names) if x))
 
 
 def asked_contexts(question: str, given: list[str] = ()) -> tuple[list[str], str]:

@@ -63,6 +63,19 @@ def test_chunks():
     assert M.chunks(None) == M.chunks(" \n ") == []
 
 
+def test_windows_by_hand():
+    # ends of lines at 3, 7, 11, 15: the first window of 10 ends at 7 (past (10 - 4) / 2), the next starts 4 before
+    assert M._windows("aaa\nbbb\nccc\nddd", 10, 4) == ["aaa\nbbb", "bbb\nccc", "ccc\nddd"]
+    assert M._windows("x" * 25, 10, 0) == ["x" * 10, "x" * 10, "x" * 5]
+    assert M._windows("a\n" + "x" * 12, 10, 2) == ["a\n" + "x" * 8, "x" * 6]
+    assert M._windows("    \n    \nyy", 5, 1) == ["yy"]
+
+
+def test_only_line_feeds_end_lines():
+    text = "a\x0c    b [l](u)\u2028    c [m](v)\x85\td <i>e</i>"
+    assert M.searchable(text) == "a\x0c    b l\u2028    c m\x85\td e"
+
+
 def test_code_chunks():
     text = "a\nb\nfunc x\n y\nfunc z\n" + "w\n" * 30
     got = M.code_chunks(text, [(5, "z"), (3, "x"), (3, "other"), (99, "gone")], 20, 6)
