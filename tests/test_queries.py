@@ -8,7 +8,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tessera.plans import catalogue
+from tessera.plans import catalogue, rules
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,4 +51,5 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert set(catalogue.QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+    assert {rules.safe_url.__name__, rules.kind_backfill.__name__} <= set(e.queries())
     assert e.entry(spark).count() == 10
