@@ -223,6 +223,8 @@ def _pair_merge(folder: str):
         for part, blobs in _by_part(batches):
             got = [store.unpack(b, 1) for _, b in blobs]
             keys, counts = store.summed([g[0] for g in got], [[g[1] for g in got]])
+            if len(counts) and int(counts.max()) > 0xFFFFFFFF:
+                raise OverflowError("a pair's count over 4,294,967,295 does not fit its file")
             path = store.write(folder, "pairs", keys.astype("<u8"), counts.astype("<u4"))
             many = np.bincount(np.minimum(counts, 5), minlength=6)[1:5]
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([path]), pa.array([len(keys)], pa.int64()), pa.array([many.tolist()], pa.list_(pa.int64()))], names=["part", "path", "n", "many"])

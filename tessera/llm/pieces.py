@@ -253,7 +253,7 @@ def encode(df: DataFrame, model: str, keep_ids: bool = False) -> DataFrame:
     and the decoded text (``decoded``) themselves.
     """
     text = "decoded string, agrees boolean, ids array<int>" if keep_ids else "decoded_sha256 string, agrees boolean"
-    return arrow_map(df.select("doc_id", F.col("text").cast("string")), _encode_batches(model, keep_ids), f"doc_id long, n_tokens long, ids_sha256 string, {text}")
+    return arrow_map(df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _encode_batches(model, keep_ids), f"doc_id long, n_tokens long, ids_sha256 string, {text}")
 
 
 def _offsets(vocab: Vocabulary, ids: np.ndarray) -> np.ndarray:
@@ -326,4 +326,4 @@ def token_counts(df: DataFrame, model: str, limit: int = 4096, chunk: int = CHUN
     extra columns are not carried. Empty table: no rows. Memory: one batch of texts and one
     chunk's ids; a huge document costs chunks, not one long encoding.
     """
-    return arrow_map(df.select("doc_id", F.col("text").cast("string")), _count_batches(model, limit, chunk, overlap), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return arrow_map(df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _count_batches(model, limit, chunk, overlap), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

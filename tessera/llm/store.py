@@ -94,7 +94,12 @@ class SortedLongs:
 
 
 def pack(keys: np.ndarray, *values: np.ndarray) -> bytes:
-    """Sorted 64-bit keys and 32-bit values, by planes of bytes so that zeros lie together."""
+    """Sorted 64-bit keys and 32-bit values, by planes of bytes so that zeros lie together.
+
+    A value that 32 bits cannot hold is an error, not another value.
+    """
+    if any(len(v) and int(v.max()) > 0xFFFFFFFF for v in values):
+        raise OverflowError("a count over 4,294,967,295 does not fit the packed arrays")
     out = [np.array([len(keys)], "<u8").tobytes()]
     delta = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
     out.append(delta.view(np.uint8).reshape(-1, 8).T.tobytes())
