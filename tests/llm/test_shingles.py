@@ -71,8 +71,30 @@ def test_odd_tables(spark):
     assert sorted((r.doc_id or 0) for r in one_of_each(df).collect()) == [0, 0, 1]
 
 
-def test_star_contraction_on_paths_and_stars(spark):
-    edges = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 140)] + [(200, 200), (None, 3)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {**dict.fromkeys(range(0, 41), 0), **dict.fromkeys(range(100, 140), 100)}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+@pytest.mark.parametrize("local_edges", [0, 1 << 20])
+def test_star_contraction_on_paths_and_stars(spark, local_edges):
+    path = [(1000 + k, 1001 + k) for k in range(150)]
+    edges = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 140)] + path + [(200, 200), (None, 3), (1, 0)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), local_edges).collect()}
+    assert got == {**dict.fromkeys(range(0, 41), 0), **dict.fromkeys(range(100, 140), 100), **dict.fromkeys(range(1000, 1151), 1000)}
+    assert components(spark.createDataFrame([], "a long, b long"), local_edges).count() == 0
+
+
+def test_dense_sets_meet_under_pairs_of_frequent_tokens(spark):
+    """Sets made of frequent tokens alone, in which single rare tokens find nothing."""
+    rnd = random.Random(17)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for d in range(90):
+        w = list(base)
+        for _ in range(rnd.randint(0, 3)):
+            w[rnd.randrange(60)] = rnd.choice(["x", "y"])
+        rows.append((d, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in jaccard_components(df, 3, 85, 100, 2).collect()} == brute(rows, 3, 85, 100)
+
+
+def test_a_document_with_several_texts_is_one(spark):
+    rows = [(7, "a b c d"), (7, "p q r s"), (3, "a b c d"), (9, "p q r s"), (5, "k l m")]
+    got = {(r.doc_id, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(7, 3), (3, 3), (9, 3), (5, 5)}
