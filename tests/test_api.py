@@ -51,18 +51,18 @@ def test_search_code(engine):
 
 
 def test_graph_questions(engine):
-    assert "NODE Service" in engine.query_graph("which service handles requests")
+    assert "NODE Ledger" in engine.query_graph("which ledger takes entries")
     assert engine.query_graph("zzzz") == "no matching nodes"
-    assert engine.get_node("handleRequest").first().degree == 2
-    assert engine.shortest_path("Service", "Config") == ["a", "c"]
-    assert engine.get_community(0)[1] == 2 and engine.graph_stats().first().edges == 3
-    assert engine.god_nodes().count() == 3
+    assert engine.get_node("postEntry").first().degree == 3
+    assert engine.shortest_path("Ledger", "Currency") == ["p1", "p2", "p3"]
+    assert engine.get_community(0)[1] == 2 and engine.graph_stats().first().edges == 4
+    assert engine.god_nodes().count() == 4
     with pytest.raises(ValueError):
-        engine.get_neighbors("Service", "nothing")
+        engine.get_neighbors("Ledger", "nothing")
     engine.graphs["beta/web"] = engine.graphs["acme/payments"]
     with pytest.raises(ValueError):
-        engine.query_graph("service")
-    assert "NODE" in engine.query_graph("service of payments")
+        engine.query_graph("ledger")
+    assert "NODE" in engine.query_graph("ledger of payments")
 
 
 def test_catalog_commands(engine, spark):

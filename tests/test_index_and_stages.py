@@ -43,10 +43,10 @@ def test_kinds_symbols_and_merged_graphs(spark):
     rows = spark.createDataFrame([("web:x", ""), ("a/b", None), ("a/c", "kept")], "repo string, kind string")
     assert [r.kind for r in I.backfill_kind(rows).collect()] == ["web", "repo", "kept"]
     n, e = small(spark)
-    assert {r.path: [tuple(s) for s in r.symbols] for r in I.symbols(n).collect()} == {"svc.go": [(1, "Service"), (2, "handleRequest")], "cfg.go": [(3, "Config")]}
+    assert {r.path: [tuple(s) for s in r.symbols] for r in I.symbols(n).collect()} == {"book.py": [(4, "Ledger"), (9, "postEntry()")], "money.py": [(1, "Currency"), (7, "roundHalf")]}
     nodes, edges = I.merged_graph({"a": (n, e), "b": (n, e)})
-    assert nodes.select("id").distinct().count() == 6 and edges.count() == 6
-    assert I.has_excluded(n, ["svc.go"]) and not I.has_excluded(n, ["none/"])
+    assert nodes.select("id").distinct().count() == 8 and edges.count() == 8
+    assert I.has_excluded(n, ["book.py"]) and not I.has_excluded(n, ["none/"])
 
 
 def test_code_documents(spark, tmp_path):
