@@ -25,12 +25,16 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 _VALUE = (LOWER.astype(np.uint64) + np.uint64(1))
 
 
+#: Odd factors of ``mix``.
+MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values."""
     h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xFF51AFD7ED558CCD)
+    h = h * MIX[0]
     h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xC4CEB9FE1A85EC53)
+    h = h * MIX[1]
     return h ^ (h >> np.uint64(33))
 
 
