@@ -22,6 +22,7 @@ SCHEMAS = {
     "code": "id string, repo string, path string, symbol string, start_line int, end_line int, snippet string",
     "vectors": "id string, repo string, kind string, path string, title string, excerpt string, updated_at timestamp, vector array<float>",
     "repos": "id string, url string, status string, namespace string",
+    "overrides": f"repo string, overrides struct<{catalog.OVERRIDES}>",
     "namespaces": "namespace string, description string",
     "sources": "name string, type string, config string, state string",
     "pages": "collection string, slug string, url string, title string, teams array<string>, teams_norm array<string>, hash string, status string",
@@ -191,6 +192,9 @@ class Engine:
     def god_nodes(self, repo: str = "", top: int = 10) -> DataFrame:
         return graph.god_nodes(*self._graph(repo), top)
 
+    def overview(self, repo: str = "") -> tuple[DataFrame, DataFrame, DataFrame]:
+        return graph.overview(*self._graph(repo))
+
     def graph_stats(self, repo: str = "") -> DataFrame:
         return graph.stats(*self._graph(repo))
 
@@ -255,9 +259,21 @@ class Engine:
 
     def remove_repo(self, id_: str) -> None:
         self._drop("repos", F.col("id") == id_)
-        for t in ("chunks", "code", "vectors"):
+        for t in ("chunks", "code", "vectors", "overrides"):
             self._drop(t, F.col("repo") == id_)
 
+    def set_repo_overrides(self, id_: str, **overrides) -> DataFrame:
+        """Replace a repository's overrides; one row: did anything change, did anything the graph is built from."""
+        if self.table("repos").where(F.col("id") == id_).isEmpty():
+            raise ValueError(f"no repository {id_}")
+        schema = SCHEMAS["overrides"]
+        new = self.spark.createDataFrame([(id_, overrides)], schema).select("repo", catalog.normal_overrides(F.col("overrides")).alias("overrides"))
+        old = self.table("overrides").select("repo", F.col("overrides").alias("_old"))
+        a, b = F.col("overrides"), catalog.normal_overrides(F.col("_old"))
+        out = new.join(old, "repo", "left").select("repo", catalog.overrides_changed(a, b).alias("changed"), catalog.graph_overrides_changed(a, b).alias("graph_changed"))
+        self.tables["overrides"] = sync.upsert(self.table("overrides"), new, ["repo"])
+        return out
+
     def set_repo_namespace(self, id_: str, namespace: str) -> None:
         if namespace == "*":
             raise ValueError("* means all namespaces")

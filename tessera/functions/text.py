@@ -71,6 +71,26 @@ def repo_id(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(bare, r"/+$", ""), r"\.git$", "")
 
 
+def first_repo_id(urls: list[Column], path: Column, full_name: Column) -> Column:
+    """The repository that a push event names: the first address that holds a host and a path, else the path, else the full name."""
+    ids = [F.when(repo_id(u).rlike(r"^[^/\s]+/[^\s]*[^/\s]$"), repo_id(u)) for u in urls]
+    return F.coalesce(*ids, F.nullif(path, F.lit("")), full_name)
+
+
+def clip_utf8(x: Column, limit: int) -> Column:
+    """At most ``limit`` bytes, cut where a character begins, and a note of what was cut; 0 or less: no limit."""
+    if limit <= 0:
+        return x
+    raw = F.encode(x, "UTF-8")
+
+    def begins(at: int) -> Column:
+        return ~F.hex(F.substring(raw, at + 1, 1)).between("80", "BF")
+
+    cut = F.coalesce(*[F.when(begins(at), at) for at in range(limit, max(limit - 4, 0), -1)], F.lit(0))
+    note = F.concat(F.lit("\n…[truncated, "), cut.cast("string"), F.lit(" of "), F.octet_length(x).cast("string"), F.lit(" bytes]"))
+    return F.when(F.octet_length(x) <= limit, x).otherwise(F.concat(F.decode(raw.substr(F.lit(1), cut), "UTF-8"), note))
+
+
 def sanitize(x: Column, limit: int = 256) -> Column:
     """Without control characters, at most ``limit`` bytes; a character that the cut splits goes."""
     clean = F.regexp_replace(x, r"[\x00-\x1f\x7f]", "")

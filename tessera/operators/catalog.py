@@ -5,6 +5,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.plans.stages import STAGES
+
+
+# What a repository may override, and the stages it may skip.
+OVERRIDE_LISTS = ("include", "include_extra", "exclude", "graph_exclude")
+OVERRIDE_TEXTS = ("docs_prompt", "docs_prompt_extra")
+OVERRIDE_SIZES = ("docs_max_source_bytes", "docs_max_group_bytes", "docs_max_synthesis_bytes")
+OVERRIDES = ", ".join([*(f"{x}: array<string>" for x in OVERRIDE_LISTS), *(f"{x}: string" for x in OVERRIDE_TEXTS), *(f"{x}: bigint" for x in OVERRIDE_SIZES), "skip_stages: array<string>"])
+
+
+def normal_overrides(o: Column) -> Column:
+    """Blank entries dropped, texts trimmed, sizes not below 0, known stages once and in order; missing fields are empty."""
+    none = F.array().cast("array<string>")
+
+    def trimmed(x: Column) -> Column:
+        return F.coalesce(F.filter(F.transform(x, lambda g: F.trim(g)), lambda g: g != ""), none)
+
+    known = F.filter(F.transform(o["skip_stages"], lambda s: F.lower(F.trim(s))), lambda s: s.isin(*STAGES))
+    return F.struct(
+        *[trimmed(o[x]).alias(x) for x in OVERRIDE_LISTS],
+        *[F.coalesce(F.trim(o[x]), F.lit("")).alias(x) for x in OVERRIDE_TEXTS],
+        *[F.greatest(F.coalesce(o[x], F.lit(0)), F.lit(0)).cast("long").alias(x) for x in OVERRIDE_SIZES],
+        F.coalesce(F.array_sort(F.array_distinct(known)), none).alias("skip_stages"),
+    )
+
+
+def overrides_changed(a: Column, b: Column) -> Column:
+    """Whether two normal sets of overrides differ in anything."""
+    return ~a.eqNullSafe(b)
+
+
+def graph_overrides_changed(a: Column, b: Column) -> Column:
+    """Whether they differ in what the graph is built from: its exclusions, or whether it is built."""
+    skips = [F.array_contains(o["skip_stages"], "graph") for o in (a, b)]
+    return ~a["graph_exclude"].eqNullSafe(b["graph_exclude"]) | ~skips[0].eqNullSafe(skips[1])
+
+
+def stale_graphs(repos_: DataFrame, version: str) -> DataFrame:
+    """Cloned repositories whose graph lacks the managed ignore file or was built by another version."""
+    current = F.col("managed_ignore") & F.col("graph_version").eqNullSafe(F.lit(version))
+    return repos_.where(F.col("cloned") & F.col("has_graph") & ~F.coalesce(current, F.lit(False))).select("id")
+
+
+def to_reindex(repos_: DataFrame, sources: DataFrame) -> DataFrame:
+    """Keys to index anew: repositories that are ready, and every web source."""
+    return repos_.where(F.col("status") == "ready").select("id").unionByName(sources.select(F.concat(F.lit("web:"), "name").alias("id")))
+
 
 def like_literal(x: str) -> str:
     """A text as a LIKE pattern for itself."""

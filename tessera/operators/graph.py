@@ -16,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import sanitize
+
 # Matching bonuses, edge contexts, confidences.
 EXACT, PREFIX, SUBSTRING, SOURCE = 1000.0, 100.0, 1.0, 0.5
 CONTEXTS = ("call", "import", "field", "parameter_type", "return_type", "generic_arg", "attribute", "export")
@@ -286,6 +288,32 @@ def community_context(nodes: DataFrame, edges: DataFrame, community: int, top: i
     return members, out.select("source_label", "relation", "target_label").distinct().orderBy("source_label", "relation", "target_label").limit(most)
 
 
+def community_ids(nodes: DataFrame) -> DataFrame:
+    """The communities of all nodes, in order; nodes without one count for none."""
+    return nodes.where("community is not null").select("community").distinct().orderBy("community")
+
+
+def largest_communities(nodes: DataFrame, top: int = 10, samples: int = 5) -> DataFrame:
+    """The communities with most nodes (ties: the lowest), and the labels of each one's first nodes."""
+    own = nodes.where("community is not null").select("community", sanitize(label_of(F.col("label"), F.col("id"))).alias("label"), "ord", "id")
+    largest = own.groupBy("community").agg(F.count("*").alias("nodes")).orderBy(F.desc("nodes"), "community").limit(top)
+    w = Window.partitionBy("community").orderBy("ord", "id")
+    first = own.join(F.broadcast(largest), "community").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= samples)  # ``largest`` has ``top`` rows
+    labels = F.transform(F.array_sort(F.collect_list(F.struct("_r", "label"))), lambda x: x.label)
+    return first.groupBy("community", "nodes").agg(labels.alias("samples")).orderBy(F.desc("nodes"), "community")
+
+
+def overview(nodes: DataFrame, edges: DataFrame, gods: int = 15, communities: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What tells of a whole graph: its statistics, most connected nodes, largest communities."""
+    return stats(nodes, edges), god_nodes(nodes, edges, gods), largest_communities(nodes, communities)
+
+
+def node_summary(label: Column, location: Column, community: Column) -> Column:
+    """Label, place and community in one line; what is missing is left out."""
+    place = F.when(location != "", F.concat(F.lit(" "), sanitize(location)))
+    return F.concat(sanitize(label), F.coalesce(place, F.lit("")), F.coalesce(F.concat(F.lit(" community="), community.cast("string")), F.lit("")))
+
+
 def node_line(label: Column, file: Column, location: Column, community: Column) -> Column:
     return F.concat(F.lit("NODE "), label, F.lit(" [src="), F.coalesce(file, F.lit("")), F.lit(" loc="), F.coalesce(location, F.lit("")), F.lit(" community="), F.coalesce(community.cast("string"), F.lit("")), F.lit("]"))
 

@@ -173,3 +173,57 @@ def scope_key_set(spark, folder):
     """Keys that a search over one namespace and all web sources may see."""
     repos = read(spark, folder, "nation").select(F.col("n_name").alias("id"), F.col("n_regionkey").cast("string").alias("namespace"))
     return catalog.scope_keys(repos, read(spark, folder, "documents").select(F.col("source").alias("name")).distinct(), "all", "2")
+
+
+@query(f"SELECT DISTINCT community FROM ({star.nodes_sql()}) n WHERE community IS NOT NULL")
+def community_ids(spark, folder):
+    return graph.community_ids(star.nodes(spark, folder))
+
+
+@query(f"""WITH n AS ({star.nodes_sql()}), c AS (SELECT community, count(*) AS nodes FROM n WHERE community IS NOT NULL GROUP BY 1 ORDER BY nodes DESC, community LIMIT 3),
+ r AS (SELECT community, nodes, label, row_number() OVER (PARTITION BY community ORDER BY ord) AS k FROM n JOIN c USING (community))
+SELECT community, nodes, string_agg(label, ', ' ORDER BY k) AS samples FROM r WHERE k <= 5 GROUP BY 1, 2""")
+def largest_communities(spark, folder):
+    """The three largest communities, the feature being a top-k report."""
+    return graph.largest_communities(star.nodes(spark, folder), 3).withColumn("samples", F.array_join("samples", ", "))
+
+
+@query(f"SELECT id, label || CASE WHEN ord % 2 = 0 THEN ' L' || (ord % 100) ELSE '' END || coalesce(' community=' || community, '') AS line FROM ({star.nodes_sql()}) n")
+def node_summaries(spark, folder):
+    place = F.when(F.col("ord") % 2 == 0, F.concat(F.lit("L"), (F.col("ord") % 100).cast("string")))
+    return star.nodes(spark, folder).select("id", graph.node_summary(graph.label_of(F.col("label"), F.col("id")), place, F.col("community")).alias("line"))
+
+
+_CLIP = 61
+
+
+@query(f"""SELECT doc_id, CASE WHEN strlen(text) <= {_CLIP} THEN text ELSE left(text, k) || chr(10) || '…[truncated, ' || strlen(left(text, k)) || ' of ' || strlen(text) || ' bytes]' END AS clipped
+FROM (SELECT doc_id, text, list_max(list_filter(range(0, {_CLIP + 1}), lambda i: strlen(left(text, i)) <= {_CLIP})) AS k FROM documents) t""")
+def utf8_clip(spark, folder):
+    return read(spark, folder, "documents").select("doc_id", TX.clip_utf8(F.col("text"), _CLIP).alias("clipped"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'git.example/t/r' || doc_id WHEN 1 THEN 'web.example/t/r' || doc_id WHEN 2 THEN 't/r' || doc_id ELSE 'full-' || doc_id END AS repo FROM documents""")
+def webhook_identity(spark, folder):
+    """The address of a push event: a clone address, the web address where that is empty, a path, a name."""
+    k, n = F.col("doc_id") % 4, F.col("doc_id").cast("string")
+    clone = F.when(k == 0, F.concat(F.lit("git@git.example:t/r"), n, F.lit(".git"))).when(k == 1, "")
+    web = F.when(k <= 1, F.concat(F.lit("https://web.example:8443/t/r"), n, F.lit("/")))
+    path = F.when(k == 2, F.concat(F.lit("t/r"), n)).otherwise("")
+    return read(spark, folder, "documents").select("doc_id", TX.first_repo_id([clone, web], path, F.concat(F.lit("full-"), n)).alias("repo"))
+
+
+_FLAGS = "doc_id % 2 = 0 AS cloned, doc_id % 3 > 0 AS has_graph, CASE WHEN doc_id % 5 > 0 THEN doc_id % 5 > 1 END AS managed_ignore, CASE WHEN doc_id % 7 > 0 THEN 'v' || CAST(doc_id % 7 AS STRING) END AS graph_version"
+
+
+@query(f"SELECT id FROM (SELECT doc_id AS id, {_FLAGS} FROM documents) t WHERE cloned AND has_graph AND NOT (coalesce(managed_ignore, false) AND coalesce(graph_version, '') = 'v2')")
+def stale_graphs(spark, folder):
+    return catalog.stale_graphs(read(spark, folder, "documents").selectExpr("doc_id AS id", *[c.strip() for c in _FLAGS.split(", ")]), "v2")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id FROM documents WHERE lang = 'en' UNION ALL SELECT DISTINCT 'web:' || source FROM documents")
+def reindex_keys(spark, folder):
+    """Rows in English stand for repositories that are ready."""
+    d = read(spark, folder, "documents")
+    repos = d.select(F.col("doc_id").cast("string").alias("id"), F.when(F.col("lang") == "en", "ready").otherwise("error").alias("status"))
+    return catalog.to_reindex(repos, d.select(F.col("source").alias("name")).distinct())

@@ -114,3 +114,27 @@ def test_groups_never_grow_beyond_24_files(spark):
     sizes = {r.group: (r["count"], r.c) for r in many.groupBy("group").agg(F.count("*").alias("count"), F.min("community").alias("c")).collect()}
     assert len(sizes) == 50 and {n for n, _ in sizes.values()} == {24}
     assert [sizes[g][1] for g in range(25)] == [100] * 25 and sizes[30][1] == -1  # the largest community comes first
+
+
+def test_overrides(engine):
+    def put(**o):
+        return tuple(engine.set_repo_overrides("beta/web", **o).first())[1:]
+
+    assert put() == (False, False)
+    assert put(include=[" **/*.go ", "", "  "], docs_max_group_bytes=-5) == (True, False)
+    assert put(include=["**/*.go"], docs_prompt="  ") == (False, False)
+    assert put(include=["**/*.go"], graph_exclude=["gen/**"]) == (True, True)
+    assert put(include=["**/*.go"], graph_exclude=["gen/**"], skip_stages=["Docs ", "docs", "nonsense"]) == (True, False)
+    assert put(include=["**/*.go"], graph_exclude=["gen/**"], skip_stages=["graph", "docs"]) == (True, True)
+    kept = engine.table("overrides").first()["overrides"]
+    assert kept["skip_stages"] == ["docs", "graph"] and kept["exclude"] == [] and kept["docs_max_group_bytes"] == 0
+    with pytest.raises(ValueError):
+        engine.set_repo_overrides("no/such")
+    engine.remove_repo("beta/web")
+    assert engine.table("overrides").isEmpty()
+
+
+def test_overview(engine):
+    stats, gods, largest = engine.overview("acme/payments")
+    assert stats.count() == 1 and gods.count() <= 15
+    assert all(1 <= len(r.samples) <= 5 and r.nodes >= len(r.samples) for r in largest.collect())

@@ -136,3 +136,18 @@ def test_selection(spark):
     assert pick(globs.selected_docs(F.col("p"), include=["*.go"])) == ["main.go", "a_test.go"]
     assert pick(globs.selected(F.col("p"), F.lit(1 << 20))) == []
     assert pick(globs.ignored(F.col("p"), ["node_modules", "*.yml"])) == ["node_modules/x.js", "docker-compose.yml", ".github/workflows/ci.yml", "random.yml"]
+
+
+def test_clip_and_push_addresses(spark):
+    texts = ["", "abcdef", "aé€😀z", "😀😀", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for limit in range(0, 12):
+        for (got,), t in zip(df.select(TX.clip_utf8(F.col("t"), limit)).collect(), texts, strict=True):
+            raw = (t or "").encode()
+            cut = raw[:limit].decode(errors="ignore")
+            want = t if t is None or not limit or len(raw) <= limit else f"{cut}\n…[truncated, {len(cut.encode())} of {len(raw)} bytes]"
+            assert got == want, (t, limit)
+    rows = [("nonsense", "https://u@h.example/a/b.git", "p/q", "f"), (None, "", "", "f"), ("host", None, "p/q", None), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "a string, b string, path string, name string")
+    got = df.select(TX.first_repo_id([F.col("a"), F.col("b")], F.col("path"), F.col("name"))).collect()
+    assert [r[0] for r in got] == ["h.example/a/b", "f", "p/q", None]
