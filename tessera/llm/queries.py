@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from . import oracles
 from .common import table
 
-TOKENIZER = "piece_bpe_32k.model"
+TOKENIZER, WORD_TOKENIZER = "piece_bpe_32k.model", "word_bpe_49k.json"
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op1_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +82,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), limit=4096)
 
 
+def op11_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .wordbpe import encode
+
+    return encode(table(spark, sf_dir, "documents"), tokenizer_path(WORD_TOKENIZER))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), buckets=10_000, percent=25, least_words=20, seed=7)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import audit
+
+    return audit(table(spark, sf_dir, "documents"), least_docs=30, top=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_nnpu": op1_toxicity_nnpu,
     "op2_kneser_ney": op2_kneser_ney,
@@ -93,6 +111,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_spherical_caps": op8_spherical_caps,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_token_counts": op10_token_counts,
+    "op11_forced_boundary_bpe": op11_forced_boundary_bpe,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_source_divergence": op13_source_divergence,
 }
 
-ORACLES: dict[str, str] = {"op8_spherical_caps": oracles.SPHERICAL_CAPS, "op9_ngram_jaccard": oracles.jaccard()}
+ORACLES: dict[str, str] = {
+    "op8_spherical_caps": oracles.SPHERICAL_CAPS,
+    "op9_ngram_jaccard": oracles.jaccard(),
+    "op12_importance_resampling": oracles.importance(),
+    "op13_source_divergence": oracles.divergence(),
+}

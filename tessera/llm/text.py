@@ -139,6 +139,26 @@ def words(column: pa.Array, limit: int = BLOCK) -> Iterator[Words]:
         yield Words(row, start, end, mix((sums[end] - sums[start]) * inv[start]), b, sums, inv)
 
 
+def runs(column: pa.Array, inside: np.ndarray, limit: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of (row, start, end, bytes) of the runs of bytes in a class, in row order.
+
+    ``inside`` says which bytes belong to a run; white space must not. Starts and ends are
+    where the class changes between neighbouring bytes, or a row begins or ends.
+    """
+    buf, offs = utf8(column)
+    for lo, hi in pieces(buf, offs, limit):
+        b = buf[lo:hi]
+        held = np.zeros(len(b) + 2, np.int8)
+        held[1:-1] = inside[b]
+        step = np.diff(held)
+        cut = np.zeros(len(b) + 1, bool)
+        cut[offs[(offs >= lo) & (offs <= hi)] - lo] = True
+        both = np.flatnonzero(cut[1:-1] & (held[1:-2] == 1) & (held[2:-1] == 1)) + 1  # rows that touch
+        start = np.union1d(np.flatnonzero(step == 1), both)
+        end = np.union1d(np.flatnonzero(step == -1), both)
+        yield np.searchsorted(offs, start + lo, side="right") - 1, start, end, b
+
+
 def row_words(column: pa.Array, limit: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(rows, first word of each, word hashes) of runs of whole rows; rows without words are left out.
 

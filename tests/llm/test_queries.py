@@ -58,6 +58,8 @@ def test_odd_rows(spark, odd, name):
         assert {(r.doc_id, r.item_id) for r in rows} == {(11, 0), (12, 0)}
     elif name == "pipeline":
         assert 0 < len(rows) < n
+    elif name.startswith("op13"):  # no term is in 30 documents: en and null have one source or two each
+        assert all(r.part == "pair" and r.value == 0 for r in rows)
     else:
         assert len(rows) == n
 
@@ -65,9 +67,10 @@ def test_odd_rows(spark, odd, name):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.execute(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
     got = QUERIES[name](spark, "/root/testdata/sf0.001")
-    want = con.execute(ORACLES[name]).fetchdf()
+    want = con.execute(ORACLES[name])
+    at = {d[0]: k for k, d in enumerate(want.description)}
     cols = sorted(got.columns)
-    assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want[cols].itertuples(index=False)))
+    assert sorted(map(tuple, got.select(cols).collect()), key=repr) == sorted((tuple(r[at[c]] for c in cols) for r in want.fetchall()), key=repr)
