@@ -25,14 +25,9 @@ CODE_SIZE, CODE_OVERLAP = 3000, 1000
 
 _FENCE = _re.compile(r"[ \t]*(`{3,}|~{3,})")
 _HEADING = _re.compile(r"\s*(#{1,6}) (.*)")
-_INLINE = regex.compile(
-    r"""(?sx)
-    (?P<keep> \\. | (?P<tick>`+)(?!`).*?(?<!`)(?P=tick)(?!`) )
-  | !?(?P<label>\[(?:\\.|[^\[\]\\]|(?&label))*+\])(?P<target>(?P<round>\((?:\\.|[^()\\]|(?&round))*+\))|(?P<square>\[(?:\\.|[^\[\]\\]|(?&square))*+\]))
-  | <(?i:https?://)[^>]*>
-  | <[/!?A-Za-z][^>]*>
-    """
-)
+#: Where something other than plain text may begin.
+_MARK = _re.compile(r"\\.|`+|!?\[|<", _re.S)
+_TAG = _re.compile(r"<(?:https?://|[/!?A-Za-z])", _re.I)
 _DEFINITION = regex.compile(r"^ {0,3}(?P<label>\[(?:\\.|[^\[\]\\\n]|(?&label))*+\]):[ \t]*(?P<rest>[^\n]*)$")
 
 
@@ -79,17 +74,64 @@ def _no_definitions(prose: str) -> str:
     return "".join(out)
 
 
+def closers(text: str, opening: str, closing: str) -> dict[int, int]:
+    """Where each delimiter is closed again, nesting counted, in one pass; what a backslash precedes is text."""
+    out: dict[int, int] = {}
+    open_: list[int] = []
+    at = 0
+    while at < len(text):
+        c = text[at]
+        if c == "\\":
+            at += 1
+        elif c == opening:
+            open_.append(at)
+        elif c == closing and open_:
+            out[open_.pop()] = at
+        at += 1
+    return out
+
+
 def searchable(text: str | None) -> str | None:
     """What a reader sees: labels and code stay, destinations, definitions, autolinks and tags go."""
-    if text is None:
-        return None
+    return None if text is None else "".join(b if code else _visible(_no_definitions(b)) for code, b in _blocks(text))
+
 
-    def shown(m) -> str:
-        if m["keep"] is not None:
-            return m[0]
-        return searchable(m["label"][1:-1]) if m["label"] is not None else ""
+def _visible(prose: str) -> str:
+    """Prose without link targets, autolinks and tags; a label is shown as what it holds.
 
-    return "".join(b if code else _INLINE.sub(shown, _no_definitions(b)) for code, b in _blocks(text))
+    The text is walked once, from one mark to the next; delimiters know their ends beforehand.
+    A mark that begins nothing whole is text.
+    """
+    if not _MARK.search(prose):
+        return prose
+    square, round_ = closers(prose, "[", "]"), closers(prose, "(", ")")
+    last_angle, unclosed = prose.rfind(">"), set()
+    out, at = [], 0
+    while found := _MARK.search(prose, at):
+        out.append(prose[at : found.start()])
+        at, mark = found.start(), found[0]
+        end, shown = at + 1, prose[at]
+        if mark[0] == "\\":
+            end, shown = found.end(), mark
+        elif mark[0] == "`":
+            close = -1 if len(mark) in unclosed else prose.find(mark, found.end())
+            if close >= 0:
+                end = close + len(mark)
+                shown = prose[at:end]
+            else:
+                unclosed.add(len(mark))
+        elif mark == "<":
+            if _TAG.match(prose, at) and last_angle > at:
+                end, shown = prose.index(">", at) + 1, ""
+        else:
+            label = found.end() - 1
+            stop = square.get(label, len(prose))
+            target = {"(": round_, "[": square}.get(prose[stop + 1 : stop + 2], {}).get(stop + 1)
+            if target is not None:
+                end, shown = target + 1, "".join(b if code else _visible(b) for code, b in _blocks(prose[label + 1 : stop]))
+        out.append(shown)
+        at = end
+    return "".join([*out, prose[at:]])
 
 
 def first_heading(text: str) -> str:
@@ -118,25 +160,29 @@ def _sections(text: str) -> list[str]:
     return [p for p in parts if p]
 
 
-def _windows(section: str, size: int, overlap: int) -> list[str]:
-    """Overlapping pieces of at most ``size`` bytes, cut at line ends where one lies far enough on.
+def _spans(total: int, line_ends: list[int], size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """(start, stop) of windows of at most ``size``; a window ends at its last line end if that lies past half a step.
 
-    Far enough is past half the distance between the two starts before (at first, of the
-    usual distance). All line ends are known beforehand and searched.
+    ``step`` is how far the next window starts from this one: the window less the overlap.
     """
+    start, step = 0, size - overlap
+    while start < total:
+        stop = min(total, start + size)
+        if stop < total:
+            before = bisect_left(line_ends, stop) - 1
+            if before >= 0 and line_ends[before] - start > step // 2:
+                stop = line_ends[before]
+            length = stop - start
+            step = length - overlap if length > overlap else length
+        yield start, stop
+        start = total if stop == total else start + step
+
+
+def _windows(section: str, size: int, overlap: int) -> list[str]:
+    """Overlapping pieces of at most ``size`` bytes, cut at line ends where one lies far enough on."""
     raw = section.encode()
     line_ends = [m.start() for m in _re.finditer(b"\n", raw)]
-    starts, pieces = [overlap - size, 0], []
-    while not pieces or pieces[-1].stop < len(raw):
-        before, start = starts[-2:]
-        stop = min(start + size, len(raw))
-        if stop < len(raw):
-            last = bisect_left(line_ends, stop) - 1
-            if last >= 0 and line_ends[last] > start + (start - before) // 2:
-                stop = line_ends[last]
-        pieces.append(slice(start, stop))
-        starts.append(stop - overlap if stop - start > overlap else stop)
-    found = (raw[p].decode(errors="replace").strip() for p in pieces)
+    found = (raw[a:b].decode(errors="replace").strip() for a, b in _spans(len(raw), line_ends, size, overlap))
     return [t for t in found if t]
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import sanitize
+from tessera.operators.order import saved
 
 # Matching bonuses, edge contexts, confidences.
 EXACT, PREFIX, SUBSTRING, SOURCE = 1000.0, 100.0, 1.0, 0.5
@@ -162,7 +163,8 @@ def bfs(edges: DataFrame, degree: DataFrame, start: DataFrame, depth: int, thres
     open_ = degree.where(F.col("degree") < threshold).select("id")
     for level in range(1, depth + 1):
         met = front.join(edges, front.id == edges.source).select(F.col("target").alias("id")).distinct()
-        new = met.join(out.select("id"), "id", "left_anti").withColumn("level", F.lit(level)).persist()
+        new = met.join(out.select("id"), "id", "left_anti").withColumn("level", F.lit(level))
+        new = saved(new, "level")
         if new.isEmpty():
             break
         out = out.unionByName(new)
@@ -177,38 +179,14 @@ def bfs_edges(edges: DataFrame, reached: DataFrame, degree: DataFrame, threshold
     return edges.join(a, "source").join(b, "target").where("_b = _a + 1").select(edges.columns)
 
 
-def dfs(edges: DataFrame, degree: DataFrame, start: list[str], depth: int, threshold: int) -> list[tuple[str, int]]:
-    """(id, depth) in visiting order, last in first out; a node keeps the depth at which it was first popped.
-
-    The order depends on the stack, so it is walked in the driver, over the part of the graph
-    that lies within ``depth`` of the starts (bounded by the hub cut, as in ``bfs``).
-    """
-    spark = edges.sparkSession
-    reach = bfs(edges, degree, spark.createDataFrame([(s,) for s in start], "id string"), depth, threshold)
-    near = edges.join(reach.select(F.col("id").alias("source")), "source", "left_semi").orderBy("ord").select("source", "target").collect()
-    after: dict[str, list[str]] = {}
-    for e in near:
-        after.setdefault(e.source, []).append(e.target)
-    small = {r.id for r in reach.join(degree, "id").where(F.col("degree") < threshold).select("id").collect()} | set(start)
-    stack, seen, out = [(s, 0) for s in reversed(start)], set(), []
-    while stack:
-        node, d = stack.pop()
-        if node in seen or d > depth:
-            continue
-        seen.add(node)
-        out.append((node, d))
-        if node in small:
-            stack += [(t, d + 1) for t in reversed(list(dict.fromkeys(after.get(node, [])))) if t not in seen]
-    return out
-
-
 def distances(edges: DataFrame, start: DataFrame, most: int) -> DataFrame:
     """(id, hops) over edges in either direction, up to ``most``."""
     both = edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
     out = start.select("id").distinct().withColumn("hops", F.lit(0))
     front = out.select("id")
     for hop in range(1, most + 1):
-        new = front.join(both, front.id == both.source).select(F.col("target").alias("id")).distinct().join(out.select("id"), "id", "left_anti").withColumn("hops", F.lit(hop)).persist()
+        met = front.join(both, front.id == both.source).select(F.col("target").alias("id")).distinct()
+        new = saved(met.join(out.select("id"), "id", "left_anti").withColumn("hops", F.lit(hop)), "level")
         if new.isEmpty():
             break
         out, front = out.unionByName(new), new.select("id")
@@ -221,7 +199,7 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, a: str, b: str, most: int
     Distances by level from ``a``; the way back takes the smallest ``ord`` at each level.
     """
     spark = edges.sparkSession
-    reach = distances(edges, spark.createDataFrame([(a,)], "id string"), most).persist()
+    reach = distances(edges, spark.createDataFrame([(a,)], "id string"), most)
     end = reach.where(F.col("id") == b).first()
     if end is None:
         raise ValueError(f"no path within {most} hops")

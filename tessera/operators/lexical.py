@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import TOKEN, tokens
+from tessera.operators.order import numbered
 
 K1, B = 1.2, 0.75
 MAX_TERMS = 12
@@ -171,25 +172,12 @@ def frequent_terms(chunks: DataFrame, order: list[str], text: str = "text") -> D
     stride = max(1, total // FREQUENT_SAMPLE)
     sampled = -(-total // stride)
     df = chunks.select(*order, text)
-    numbered = _numbered(df, order) if stride > 1 else df.withColumn("_n", F.lit(0))
-    words = numbered.where(F.col("_n") % stride == 0).select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
+    rows = numbered(df, order, "_n") if stride > 1 else df.withColumn("_n", F.lit(0))
+    words = rows.where(F.col("_n") % stride == 0).select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
     need = max(1, int(FREQUENT_RATIO * sampled))
     return words.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= need).orderBy(F.desc("df"), "term").limit(FREQUENT_CAP)
 
 
-def _numbered(df: DataFrame, order: list[str]) -> DataFrame:
-    """Rows numbered from 0 in a total order: ranks within ranges plus the ranges' offsets."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() % F.lit(1 << 33))
-    ranged = ranged.persist()
-    sizes = sorted(ranged.groupBy("_p").count().collect())
-    start, at = {}, 0
-    for p, c in sizes:
-        start[p] = at
-        at += c
-    offset = F.element_at(F.create_map(*[F.lit(x) for kv in start.items() for x in kv]), F.col("_p")) if start else F.lit(0)
-    return ranged.withColumn("_n", F.col("_i") + offset).drop("_p", "_i")
-
-
 def needs_refresh(total: int, last_total: int | None) -> bool:
     """Statistics are counted anew when the corpus has drifted by a quarter."""
     return last_total is None or last_total == 0 or abs(total - last_total) >= FREQUENT_DRIFT * last_total

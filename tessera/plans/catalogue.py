@@ -218,10 +218,8 @@ _STARTS = ["part:1", "part:7", "orders:3"]
 
 
 def _bfs(spark, folder, contexts, depth):
-    n, e = _graph(spark, folder)
-    d = graph.degrees(n, e).persist()
-    start = spark.createDataFrame([(s,) for s in _STARTS], "id string").join(n.select("id"), "id", "left_semi")
-    return graph.bfs(graph.filter_contexts(e, contexts), d, start, depth, graph.hub_threshold(d).first()[0])
+    start = spark.createDataFrame([(s,) for s in _STARTS], "id string").join(star.nodes(spark, folder).select("id"), "id", "left_semi")
+    return star.adjacency(spark, folder).bfs(start, depth, contexts)
 
 
 @query(_bfs_sql(_STARTS, 4))
@@ -234,13 +232,20 @@ def graph_bfs_filtered(spark, folder):
     return _bfs(spark, folder, ["field", "import"], 3)
 
 
-@query()
+@query(_G + _THRESHOLD + f""", kids AS MATERIALIZED (SELECT source, list(target ORDER BY ord) AS kids FROM edges WHERE source IN (SELECT id FROM deg, hub WHERE degree < threshold) OR source IN ({", ".join(f"'{s}'" for s in _STARTS[:2])}) GROUP BY source),
+walk(stack, seen, depths) AS (
+  SELECT [{{'id': '{_STARTS[1]}', 'd': 0}}, {{'id': '{_STARTS[0]}', 'd': 0}}], []::VARCHAR[], []::INTEGER[]
+  UNION ALL
+  SELECT CASE WHEN list_contains(seen, stack[-1].id) OR stack[-1].d > 3 THEN stack[:-2]
+           ELSE list_concat(stack[:-2], [{{'id': k, 'd': stack[-1].d + 1}} for k in coalesce(kids, []) if NOT list_contains(seen, k)]) END,
+    CASE WHEN list_contains(seen, stack[-1].id) OR stack[-1].d > 3 THEN seen ELSE list_append(seen, stack[-1].id) END,
+    CASE WHEN list_contains(seen, stack[-1].id) OR stack[-1].d > 3 THEN depths ELSE list_append(depths, stack[-1].d) END
+  FROM walk LEFT JOIN kids ON kids.source = stack[-1].id WHERE len(stack) > 0),
+done AS (SELECT seen, depths FROM walk WHERE len(stack) = 0)
+SELECT unnest(range(len(seen))) AS nth, unnest(seen) AS id, unnest(depths) AS depth FROM done""")
 def graph_dfs(spark, folder):
-    """Visiting order from two parts (depends on a stack, so SQL cannot say it)."""
-    n, e = _graph(spark, folder)
-    d = graph.degrees(n, e).persist()
-    got = graph.dfs(e, d, _STARTS[:2], 3, graph.hub_threshold(d).first()[0])
-    return spark.createDataFrame([(k, *x) for k, x in enumerate(got)], "nth long, id string, depth int")
+    """Visiting order of a stack from two parts; the SQL keeps the stack as a list."""
+    return star.adjacency(spark, folder).dfs(_STARTS[:2], 3)
 
 
 _DIM = f"WITH RECURSIVE nodes AS ({star.nodes_sql(False)}), edges AS (SELECT * FROM ({star.edges_sql(False)}) WHERE relation <> 'supplied_by'), both_ AS (SELECT DISTINCT source, target FROM edges UNION SELECT target, source FROM edges)"
@@ -249,15 +254,14 @@ _DIM = f"WITH RECURSIVE nodes AS ({star.nodes_sql(False)}), edges AS (SELECT * F
 @query(_DIM + """, reach AS (SELECT 'customer:0' AS id, 0 AS hops UNION SELECT b.target, hops + 1 FROM reach JOIN both_ b ON b.source = id WHERE hops < 4)
 SELECT id, min(hops) AS hops FROM reach GROUP BY id""")
 def shortest_path_hops(spark, folder):
-    e = star.edges(spark, folder, False).where("relation <> 'supplied_by'")
-    return graph.distances(e, spark.createDataFrame([("customer:0",)], "id string"), 4)
+    return star.adjacency(spark, folder, False).distances(spark.createDataFrame([("customer:0",)], "id string"), 4)
 
 
 @query(f"WITH RECURSIVE edges AS MATERIALIZED ({star.edges_sql()}), both_ AS MATERIALIZED (SELECT source, target FROM edges UNION SELECT target, source FROM edges)" + """, reach AS (SELECT 'customer:0' AS id, 0 AS hops UNION SELECT b.target, hops + 1 FROM reach JOIN both_ b ON b.source = id WHERE hops < 4)
 SELECT id, min(hops) AS hops FROM reach GROUP BY id""")
 def shortest_path_hops_whole(spark, folder):
     """Over all edges, orders and suppliers of parts too."""
-    return graph.distances(star.edges(spark, folder), spark.createDataFrame([("customer:0",)], "id string"), 4)
+    return star.adjacency(spark, folder).distances(spark.createDataFrame([("customer:0",)], "id string"), 4)
 
 
 @query(_G + """ SELECT d.direction, d.id, label, relation, confidence, edge_ord FROM (
@@ -512,11 +516,18 @@ def html_article(spark, folder):
     return read(spark, folder, "pages").select("page_id", markdown.html_column(F.col("html"), F.col("url")).alias("a")).select("page_id", "a.title", "a.markdown")
 
 
-@query()
+_ANCHOR = '<a href="([^"]*)">([^<]*)</a>'
+
+
+@query(f"""WITH a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '{_ANCHOR}', 1)) AS href, unnest(regexp_extract_all(html, '{_ANCHOR}', 2)) AS label FROM pages)
+SELECT page_id, label AS alt, CASE WHEN starts_with(href, '/') THEN {_ORIGIN.format(u='url')} || href ELSE href END AS url FROM a""")
 def image_refs(spark, folder):
-    """Images of the pages' markdown."""
-    md = read(spark, folder, "pages").select("page_id", markdown.html_column(F.col("html"), F.col("url"))["markdown"].alias("md"))
-    return markdown.with_images(md, "md").select("page_id", "image.alt", "image.url")
+    """The pages' links written as images, their addresses made whole: what markdown's images are read from."""
+    p = read(spark, folder, "pages").select("page_id", "url", F.regexp_extract_all("html", F.lit(_ANCHOR), F.lit(1)).alias("href"), F.regexp_extract_all("html", F.lit(_ANCHOR), F.lit(2)).alias("label"))
+    origin = F.lower(F.regexp_extract("url", "^([a-z]+://[^/?#]+)", 1))
+    whole = lambda h: F.when(h.startswith("/"), F.concat(origin, h)).otherwise(h)
+    md = F.array_join(F.transform(F.arrays_zip("href", "label"), lambda x: F.concat(F.lit("!["), x["label"], F.lit("](<"), whole(x["href"]), F.lit(">)"))), "\n")
+    return markdown.with_images(p.select("page_id", md.alias("md")), "md").select("page_id", "image.alt", "image.url")
 
 
 @query("SELECT page_id, path, (path LIKE '%.html' OR path LIKE '%/1%') AND path NOT LIKE '%/ad/%' AS chosen FROM (SELECT page_id, ltrim(" + _PATH + ", '/') AS path FROM pages)")

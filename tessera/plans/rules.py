@@ -1,7 +1,7 @@
 """Registered queries of selection rules and scalar functions, each with the SQL that says the same.
 
-Paths, addresses, locations and times are made from the ids of whole tables by one expression
-that Spark and DuckDB both read.
+Paths, addresses and locations are made from what the rows of whole tables say, their first
+word and their length, by one expression that Spark and DuckDB both read.
 """
 
 from __future__ import annotations
@@ -15,20 +15,21 @@ from tessera.plans import star
 from tessera.plans.catalogue import query
 from tessera.plans.star import read
 
-_ID = "CAST(doc_id AS STRING)"
+_WORD = "regexp_extract(coalesce(text, ''), '[A-Za-z]+', 0)"
+_SIZE = "CAST(n_chars AS STRING)"
 
 
-def _one_of(*choices: str) -> str:
-    """A choice by the id; ``{}`` in it is the id's text."""
-    arms = " ".join(f"WHEN {k} THEN '" + c.replace("{}", f"' || {_ID} || '") + "'" for k, c in enumerate(choices))
-    return f"CASE doc_id % {len(choices)} {arms} END"
+def _one_of(*choices: str, of: str = _WORD) -> str:
+    """A choice by the text's length; ``{}`` in it is the text's first word, or what ``of`` gives."""
+    arms = " ".join(f"WHEN {k} THEN '{c}'" for k, c in enumerate(choices))
+    return f"replace(CASE n_chars % {len(choices)} {arms} END, '{{}}', {of})"
 
 
 PATH = _one_of(
     "src/f{}.go", "vendor/x/f{}.go", "a/b/f{}_test.go", "web/app{}.min.js", "docker-compose.yml", "deploy/Values-{}.yaml", ".github/workflows/ci{}.yml", "README.md", "lib/Dockerfile",
     "tests/test_{}.py", "src/FooTests.java", "node_modules/p{}/index.ts", "gen/docs/x{}.py", "a/gen/y{}.py", "graphify-out/g{}.go", "img/p{}.png", "Cargo.toml", "src/tool{}.spec.ts", "valuesx.yaml", "k/chart.{}.yml", "main.rs",
 )
-_PATHS = f"(SELECT doc_id, n_chars, {PATH} AS path FROM documents)"
+_PATHS = f"(SELECT doc_id, n_chars, text, {PATH} AS path FROM documents)"
 _BASE = "regexp_extract(path, '([^/]*)$', 1)"
 _DEPLOY = r"(regexp_matches(path, '(?i)(^|/)\.github/workflows/.*\.ya?ml$') OR regexp_matches(path, '(?i)(^|/)(compose|docker-compose|docker-stack|values|chart|\.gitlab-ci)([.-][^/]*)?\.ya?ml$'))"
 
@@ -47,7 +48,7 @@ def _in_folder(dirs: tuple[str, ...], path: str = "path") -> str:
 
 
 def _paths(spark, folder):
-    return read(spark, folder, "documents").select("doc_id", "n_chars", F.expr(PATH).alias("path"))
+    return read(spark, folder, "documents").select("doc_id", "n_chars", "text", F.expr(PATH).alias("path"))
 
 
 @query(f"SELECT doc_id, {_DEPLOY} AS hit FROM {_PATHS}")
@@ -82,13 +83,16 @@ def doc_file_selection(spark, folder):
     return _paths(spark, folder).where(globs.selected_docs(F.col("path"), exclude=["gen/"], skip_dirs=["docs"])).select("doc_id", "path")
 
 
-_LINE = f"repeat('#', CAST(doc_id % 9 AS INT)) || CASE WHEN doc_id % 4 = 3 THEN '' ELSE ' ' END || 'Part ' || {_ID}"
+_LINE = f"repeat('#', CAST(n_chars % 9 AS INT)) || CASE WHEN n_chars % 4 = 3 THEN '' ELSE ' ' END || 'Part ' || {_WORD}"
 
 
-@query(f"SELECT doc_id, CASE WHEN doc_id % 9 BETWEEN 1 AND 6 AND doc_id % 4 <> 3 THEN doc_id % 9 ELSE 0 END AS level, CASE WHEN doc_id % 5 = 0 THEN 'Given ' || {_ID} WHEN doc_id % 9 BETWEEN 1 AND 6 AND doc_id % 4 <> 3 THEN 'Part ' || {_ID} ELSE path END AS title FROM {_PATHS}")
+_PART = f"trim('Part ' || {_WORD})"
+
+
+@query(f"SELECT doc_id, CASE WHEN n_chars % 9 BETWEEN 1 AND 6 AND n_chars % 4 <> 3 THEN n_chars % 9 ELSE 0 END AS level, CASE WHEN n_chars % 5 = 0 THEN 'Given ' || {_WORD} WHEN n_chars % 9 BETWEEN 1 AND 6 AND n_chars % 4 <> 3 THEN {_PART} ELSE path END AS title FROM {_PATHS}")
 def headings_and_titles(spark, folder):
     """A line's heading level; a title from the manifest, else the first heading, else the path."""
-    given = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("Given "), F.col("doc_id").cast("string"))).otherwise("")
+    given = F.when(F.col("n_chars") % 5 == 0, F.concat(F.lit("Given "), F.expr(_WORD))).otherwise("")
     body = F.concat(F.lit("words\n\n"), F.expr(_LINE), F.lit("\nmore"))
     return _paths(spark, folder).select("doc_id", TX.heading_level(F.expr(_LINE)).cast("long").alias("level"), TX.doc_title(given, body, F.col("path")).alias("title"))
 
@@ -96,7 +100,7 @@ def headings_and_titles(spark, folder):
 _URL = _one_of("https://h/{}", "http://u@h/{}", "ftp://h/{}", "/x/{}", "HTTP://H:80?q={}", "https://", "https://h.x#f{}", "http://a b/{}")
 
 
-@query(f"SELECT doc_id, doc_id % 8 IN (0, 4, 6) AS ok FROM documents")
+@query("SELECT doc_id, n_chars % 8 IN (0, 4, 6) AS ok FROM documents")
 def safe_url(spark, folder):
     return read(spark, folder, "documents").select("doc_id", TX.http_url_ok(F.expr(_URL)).alias("ok"))
 
@@ -104,15 +108,15 @@ def safe_url(spark, folder):
 _REPO = _one_of("https://host/team/r{}.git", "git@host:team/r{}.git", "ssh://git@host:22/team/r{}", "https://user:pw@host/team/r{}/", "host/team/r{}")
 
 
-@query(f"SELECT doc_id, 'host/team/r' || {_ID} AS id FROM documents")
+@query(f"SELECT doc_id, 'host/team/r' || {_WORD} AS id FROM documents")
 def repo_identity(spark, folder):
     return read(spark, folder, "documents").select("doc_id", TX.repo_id(F.expr(_REPO)).alias("id"))
 
 
-_PLACE = _one_of("L{}", "L{}-L99999", "line {}", "{}:5", "x{}", "")
+_PLACE = _one_of("L{}", "L{}-L99999", "line {}", "{}:5", "x{}", "", of=_SIZE)
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 6 < 4 THEN CAST(doc_id AS INT) ELSE 0 END AS line FROM documents")
+@query("SELECT doc_id, CASE WHEN n_chars % 6 < 4 THEN CAST(n_chars AS INT) ELSE 0 END AS line FROM documents")
 def location_lines(spark, folder):
     return read(spark, folder, "documents").select("doc_id", TX.location_line(F.expr(_PLACE)).alias("line"))
 
@@ -203,17 +207,17 @@ def utf8_clip(spark, folder):
     return read(spark, folder, "documents").select("doc_id", TX.clip_utf8(F.col("text"), _CLIP).alias("clipped"))
 
 
-@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'git.example/t/r' || doc_id WHEN 1 THEN 'web.example/t/r' || doc_id WHEN 2 THEN 't/r' || doc_id ELSE 'full-' || doc_id END AS repo FROM documents""")
+@query(f"""SELECT doc_id, CASE n_chars % 4 WHEN 0 THEN 'git.example/t/r' || {_WORD} WHEN 1 THEN 'web.example/t/r' || {_WORD} WHEN 2 THEN 't/r' || {_WORD} ELSE 'full-' || {_WORD} END AS repo FROM documents""")
 def webhook_identity(spark, folder):
     """The address of a push event: a clone address, the web address where that is empty, a path, a name."""
-    k, n = F.col("doc_id") % 4, F.col("doc_id").cast("string")
+    k, n = F.col("n_chars") % 4, F.expr(_WORD)
     clone = F.when(k == 0, F.concat(F.lit("git@git.example:t/r"), n, F.lit(".git"))).when(k == 1, "")
     web = F.when(k <= 1, F.concat(F.lit("https://web.example:8443/t/r"), n, F.lit("/")))
     path = F.when(k == 2, F.concat(F.lit("t/r"), n)).otherwise("")
     return read(spark, folder, "documents").select("doc_id", TX.first_repo_id([clone, web], path, F.concat(F.lit("full-"), n)).alias("repo"))
 
 
-_FLAGS = "doc_id % 2 = 0 AS cloned, doc_id % 3 > 0 AS has_graph, CASE WHEN doc_id % 5 > 0 THEN doc_id % 5 > 1 END AS managed_ignore, CASE WHEN doc_id % 7 > 0 THEN 'v' || CAST(doc_id % 7 AS STRING) END AS graph_version"
+_FLAGS = "text LIKE '% a%' AS cloned, n_chars > 300 AS has_graph, CASE WHEN lang <> 'de' THEN text LIKE '%e.%' END AS managed_ignore, CASE WHEN lang <> 'fr' THEN 'v' || substring(source FROM 4) END AS graph_version"
 
 
 @query(f"SELECT id FROM (SELECT doc_id AS id, {_FLAGS} FROM documents) t WHERE cloned AND has_graph AND NOT (coalesce(managed_ignore, false) AND coalesce(graph_version, '') = 'v2')")

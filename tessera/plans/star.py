@@ -2,9 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.adjacency import Adjacency
+from tessera.storage import shared_dir
+
+_BUILT: dict[tuple[str, str, str], object] = {}
+
+
+def built(spark: SparkSession, folder: str, kind: str, make: Callable[[str], object]):
+    """What ``make`` builds in a new shared folder, the same one again in this session."""
+    key = (spark.sparkContext.applicationId, folder, kind)
+    if key not in _BUILT:
+        _BUILT[key] = make(shared_dir(spark, kind))
+    return _BUILT[key]
+
+
+def adjacency(spark: SparkSession, folder: str, whole: bool = True) -> Adjacency:
+    """The stored edges of the graph; not ``whole``: without orders and suppliers of parts."""
+
+    def make(root: str) -> Adjacency:
+        e = edges(spark, folder, whole)
+        return Adjacency(spark, root).build(nodes(spark, folder, whole), e if whole else e.where("relation <> 'supplied_by'"))
+
+    return built(spark, folder, "edges" if whole else "few-edges", make)
+
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -37,7 +37,7 @@ def graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def graph_faults(spark: SparkSession, path: str) -> list[str]:
     """What is wrong with a graph file; an empty graph is sound."""
     raw = spark.read.format("binaryFile").load(path).select(F.decode("content", "UTF-8").alias("raw"))
-    row = raw.select(F.get_json_object("raw", "$").isNull().alias("bad"), F.get_json_object("raw", "$.nodes").alias("n"), F.get_json_object("raw", "$.links").alias("l"), F.get_json_object("raw", "$.edges").alias("e"), F.from_json("raw", _GRAPH).alias("g")).persist()
+    row = raw.select(F.get_json_object("raw", "$").isNull().alias("bad"), F.get_json_object("raw", "$.nodes").alias("n"), F.get_json_object("raw", "$.links").alias("l"), F.get_json_object("raw", "$.edges").alias("e"), F.from_json("raw", _GRAPH).alias("g"))
     r = row.first()
     out = []
     if r.bad:
@@ -121,16 +121,27 @@ def document_chunks(docs: DataFrame, repo: str, kind: str, size: int = markdown.
 
 
 def code_documents(spark: SparkSession, root: str, include: list[str] = (), include_extra: list[str] = (), exclude: list[str] = (), only: DataFrame | None = None) -> DataFrame:
-    """(path, content) of the source files to index: selected by path and size before a byte is read, without binaries."""
+    """(path, content) of the source files to index: selected by path and size, without binaries.
+
+    Files are listed and chosen first, and only the chosen ones are opened: the names go to the
+    executors, which read each file's bytes where its row is (Spark's listing has been made).
+    """
     from tessera.functions.globs import selected
 
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/") + "/"
-    path = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + _literal(base.replace("file://", "")), "")
-    chosen = f.withColumn("path", path).where(selected(F.col("path"), F.col("length"), list(include), list(include_extra), list(exclude)))
+    chosen = tree(spark, root).where(selected(F.col("path"), F.col("length"), list(include), list(include_extra), list(exclude)))
     if only is not None:
         chosen = chosen.join(only.select("path").distinct(), "path", "left_semi")
-    return chosen.where(~F.contains("content", F.lit(b"\x00"))).select("path", F.decode("content", "UTF-8").alias("content"))
+    base = root.rstrip("/")
+    found = [f"{base}/{r.path}" for r in chosen.select("path").collect()]  # names of the files to read, as a scan's own listing is
+    if not found:
+        return spark.createDataFrame([], "path string, content string")
+    f = spark.read.format("binaryFile").load([_glob_literal(x) for x in found])
+    path = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + _literal(base.replace("file://", "") + "/"), "")
+    return f.where(~F.contains("content", F.lit(b"\x00"))).select(path.alias("path"), F.decode("content", "UTF-8").alias("content"))
+
+
+def _glob_literal(path: str) -> str:
+    return "".join("\\" + c if c in "\\*?[]{}," else c for c in path)
 
 
 def code_chunks(docs: DataFrame, repo: str, symbols: DataFrame | None = None, size: int = markdown.CODE_SIZE, overlap: int = markdown.CODE_OVERLAP) -> DataFrame:

@@ -18,6 +18,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
+from tessera.functions.charset import decoded_page
 from tessera.functions.markdown import article, html_to_markdown, rich_text
 from tessera.operators.sync import bounded_query, wiki_query
 
@@ -28,20 +29,32 @@ WIKI = "id string, title string, markdown string, labels array<string>, updated
 PAGES = "url string, title string, markdown string, error string"
 
 
-def fetch(url: str, headers: dict[str, str] | None = None, most: int = MOST_JSON, accept: tuple[str, ...] = ()) -> tuple[bytes, str]:
-    """(body, final address); refuses other types than ``accept`` and bodies over ``most``."""
+def _get(url: str, headers: dict[str, str] | None, most: int, accept: tuple[str, ...]) -> tuple[bytes, str, str]:
+    """(body, final address, content type); a file's type is not told."""
+    kind = ""
     if url.startswith("file:"):
         with open(urllib.parse.unquote(urllib.parse.urlparse(url).path), "rb") as f:
             body, final = f.read(most + 1), url
     else:
         with urllib.request.urlopen(urllib.request.Request(url, headers=headers or {}), timeout=60) as r:
-            kind = r.headers.get_content_type()
-            if accept and kind not in accept:
-                raise ValueError(f"unexpected type {kind}")
+            kind = r.headers.get("Content-Type", "")
+            if accept and r.headers.get_content_type() not in accept:
+                raise ValueError(f"unexpected type {r.headers.get_content_type()}")
             body, final = r.read(most + 1), r.geturl()
     if len(body) > most:
         raise ValueError("the answer is too large")
-    return body, final
+    return body, final, kind
+
+
+def fetch(url: str, headers: dict[str, str] | None = None, most: int = MOST_JSON, accept: tuple[str, ...] = ()) -> tuple[bytes, str]:
+    """(body, final address); refuses other types than ``accept`` and bodies over ``most``."""
+    return _get(url, headers, most, accept)[:2]
+
+
+def fetch_page(url: str, headers: dict[str, str] | None = None, most: int = MOST_PAGE) -> tuple[str, str]:
+    """(text, final address) of a page, decoded by its mark, its header, its own word, or its bytes."""
+    body, final, kind = _get(url, headers, most, ("text/html", "application/xhtml+xml"))
+    return decoded_page(body, kind), final
 
 
 def _headers(options: dict) -> dict[str, str]:
@@ -83,17 +96,23 @@ def distinct_fold(values: list[str]) -> list[str]:
     return list(seen.values())
 
 
-def render_issue(issue: dict) -> str:
-    """An issue as markdown: title, what is known of it, description, subtasks."""
-    f = issue.get("fields", {})
-    name = lambda k: (f.get(k) or {}).get("displayName") or (f.get(k) or {}).get("name") or ""
-    meta = [("Type", name("issuetype")), ("Status", name("status")), ("Priority", name("priority")), ("Assignee", name("assignee")), ("Reporter", name("reporter")), ("Labels", ", ".join(f.get("labels") or [])), ("Updated", f.get("updated") or "")]
-    lines = [f"# {issue.get('key', '')} {f.get('summary') or ''}".rstrip(), "", *(f"- **{k}:** {v}" for k, v in meta if v)]
+def render_issue(issue: dict, teams: list[str] = ()) -> str:
+    """An issue as markdown: key and title, what is known of it, its teams, and its description under a heading."""
+    f = issue.get("fields") or {}
+
+    def name(k: str, part: str = "name") -> str:
+        return str((f.get(k) or {}).get(part) or "")
+
+    # The order and names of what is known of an issue.
+    known = {
+        "Key": issue.get("key") or "", "Type": name("issuetype"), "Status": name("status"), "Priority": name("priority"),
+        "Assignee": name("assignee", "displayName"), "Reporter": name("reporter", "displayName"), "Created": f.get("created") or "", "Updated": f.get("updated") or "",
+        "Labels": ", ".join(f.get("labels") or []), "Teams": ", ".join(teams),
+    }
+    head = f"# {issue.get('key') or ''}: {(f.get('summary') or '').strip()}\n\n"
+    told = "".join(f"- **{k}:** {v}\n" for k, v in known.items() if v.strip())
     text = rich_text(f.get("description")).strip()
-    if text:
-        lines += ["", text]
-    subs = [f"- {s.get('key')}: {(s.get('fields') or {}).get('summary', '')}" for s in f.get("subtasks") or []]
-    return "\n".join(lines + (["", "## Subtasks", *subs] if subs else [])).strip() + "\n"
+    return head + told + (f"\n## Description\n\n{text}\n" if text else "")
 
 
 def issues(options: dict, watermark: datetime | None) -> Iterator[tuple]:
@@ -108,7 +127,7 @@ def issues(options: dict, watermark: datetime | None) -> Iterator[tuple]:
             updated = f.get("updated")
             try:
                 teams = distinct_fold([v for k in fields for v in field_values(f.get(k))])
-                yield i["key"], f.get("summary"), render_issue(i), list(f.get("labels") or []), (f.get("issuetype") or {}).get("name"), teams, updated, None
+                yield i["key"], f.get("summary"), render_issue(i, teams), list(f.get("labels") or []), (f.get("issuetype") or {}).get("name"), teams, updated, None
             except Exception as e:  # one bad issue does not stop a sweep
                 yield i.get("key"), None, None, [], None, [], updated, str(e)
         start += len(some)
@@ -233,8 +252,7 @@ class _PageReader(DataSourceReader):
     def read(self, partition):
         url = partition.value
         try:
-            body, final = fetch(url, most=MOST_PAGE, accept=("text/html", "application/xhtml+xml"))
-            title, text = article(body.decode("utf-8", errors="replace"), final)
+            title, text = article(*fetch_page(url))
             yield url, title, text, None
         except Exception as e:
             yield url, None, None, str(e)

@@ -85,13 +85,6 @@ def test_bfs_hub_and_depth(spark):
     assert G.filter_contexts(e, ["import"]).count() == 1
 
 
-def test_dfs_order(spark):
-    nodes = [(k, x, x, x, "f", "", "", 0) for k, x in enumerate("abcde")]
-    edges = [(0, "a", "b", "r", "", ""), (1, "a", "c", "r", "", ""), (2, "b", "d", "r", "", ""), (3, "c", "d", "r", "", ""), (4, "d", "e", "r", "", "")]
-    n, e = spark.createDataFrame(nodes, N), spark.createDataFrame(edges, E)
-    assert G.dfs(e, G.degrees(n, e), ["a"], 2, 50) == [("a", 0), ("b", 1), ("d", 2), ("c", 1)]
-
-
 def test_shortest_path(spark):
     n, e = chain(spark)
     assert G.shortest_path(n, e, "n5", "n0") == ["n5", "n4", "n3", "n2", "n1", "n0"]

@@ -104,7 +104,8 @@ def test_issue_source_batch_and_stream(spark, tmp_path):
     o = {"url": f"file:{tmp_path}", "teamFields": "cf"}
     got = spark.read.format("tessera_issues").options(**o).load().orderBy("key").collect()
     assert [r.key for r in got] == ["P-1", "P-2", "P-3"] and got[0].teams == ["Ops", "Dev"]
-    assert got[0].markdown.startswith("# P-1 S1\n\n- **Type:** Bug") and "text" in got[1].markdown and "- P-9: sub" in got[2].markdown
+    assert got[0].markdown.startswith("# P-1: S1\n\n- **Key:** P-1\n- **Type:** Bug\n") and "- **Teams:** Ops, Dev\n" in got[0].markdown
+    assert got[1].markdown.endswith("\n## Description\n\ntext\n") and "Subtasks" not in got[2].markdown
     stream = spark.readStream.format("tessera_issues").options(**o).load()
     q = stream.writeStream.format("memory").queryName("issues_in").start()
     q.processAllAvailable()
