@@ -23,8 +23,10 @@ from .common import arrow_map, saved
 INSIDE = np.zeros(256, bool)
 INSIDE[ord("A") : ord("Z") + 1] = INSIDE[ord("a") : ord("z") + 1] = True
 INSIDE[0x80:] = True
-#: Rows of counts that a task adds up before it passes them on, sources in a band, and numbers in a task's sums.
-HELD, BAND, CELLS = 400_000, 256, 8_000_000
+#: Rows of counts that a task adds up before it passes them on, and passes on at once.
+HELD, SENT = 800_000, 20_000
+#: Sources in a band, and numbers in a task's sums.
+BAND, CELLS = 256, 8_000_000
 #: Parts that a language's table of sources is copied to, so that one language is not one join key.
 SALTS = 32
 
@@ -52,29 +54,61 @@ def _row_terms(column: pa.Array, block: int) -> tuple[np.ndarray, pa.Array, np.n
     return row, term, count
 
 
-def _count(block: int):
-    keys = ["lang", "source", "term"]
+class _Held:
+    """Counts of a task by (group, term): the groups are numbered as they come, terms are compared when parts are put together."""
+
+    def __init__(self):
+        self.groups: dict[tuple[str, str], int] = {}
+        self.parts: list[tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]] = []
+
+    def add(self, batch: pa.RecordBatch, row: np.ndarray, term: pa.Array, n: np.ndarray) -> None:
+        pairs = zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True)
+        of_row = np.array([self.groups.setdefault(p, len(self.groups)) for p in pairs], np.int64)
+        self.parts.append(self._summed([(of_row[row], term, n, np.ones(len(n), np.int64))]))
+
+    def __len__(self) -> int:
+        return sum(len(p[0]) for p in self.parts)
+
+    @staticmethod
+    def _summed(parts: list) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+        group, n, docs = (np.concatenate([p[k] for p in parts]) for k in (0, 2, 3))
+        coded = pa.concat_arrays([p[1] for p in parts]).dictionary_encode()
+        many = max(1, len(coded.dictionary))
+        key = group * many + np.asarray(coded.indices)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        if not len(first):
+            return group, pa.array([], pa.large_binary()), n, docs
+        return key[first] // many, coded.dictionary.take(pa.array(key[first] % many)), np.add.reduceat(n[order], first), np.add.reduceat(docs[order], first)
+
+    def merge(self) -> None:
+        if len(self.parts) > 1:
+            self.parts = [self._summed(self.parts)]
+
+    def sent(self) -> Iterator[pa.RecordBatch]:
+        """What is held, as batches; then nothing is."""
+        self.merge()
+        names = [pa.array([g[k] for g in self.groups], pa.string()) for k in (0, 1)]
+        for group, term, n, docs in self.parts:
+            for k in range(0, len(group), SENT):
+                some = slice(k, k + SENT)
+                at = pa.array(group[some])
+                text = term[some].cast(pa.large_string()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([names[0].take(at), names[1].take(at), text, pa.array(n[some]), pa.array(docs[some])], names=["lang", "source", "term", "n", "docs"])
+        self.parts = []
 
-    def added(tables: list[pa.Table]) -> pa.Table:
-        return pa.concat_tables(tables).group_by(keys).aggregate([("n", "sum"), ("docs", "sum")]).rename_columns([*keys, "n", "docs"])
 
+def _count(block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-
-        def sent() -> Iterator[pa.RecordBatch]:
-            for b in added(held).to_batches(max_chunksize=20_000) if held else []:
-                yield pa.RecordBatch.from_arrays([*b.columns[:2], b.column(2).cast(pa.large_string()).cast(pa.string()), *b.columns[3:]], names=[*keys, "n", "docs"])
-
+        held = _Held()
         for batch in batches:
-            row, term, n = _row_terms(batch.column("text"), block)
-            at = pa.array(row)
-            held.append(added([pa.table([batch.column("lang").take(at), batch.column("source").take(at), term, pa.array(n), pa.array(np.ones(len(n), np.int64))], [*keys, "n", "docs"])]))
-            if sum(map(len, held)) > HELD:
-                held = [added(held)]
-                if len(held[0]) > HELD // 2:
-                    yield from sent()
-                    held = []
-        yield from sent()
+            held.add(batch, *_row_terms(batch.column("text"), block))
+            if len(held) > HELD:
+                held.merge()
+                if len(held) > HELD // 2:
+                    yield from held.sent()
+        yield from held.sent()
 
     return run
 

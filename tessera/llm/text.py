@@ -148,14 +148,12 @@ def runs(column: pa.Array, inside: np.ndarray, limit: int = BLOCK) -> Iterator[t
     buf, offs = utf8(column)
     for lo, hi in pieces(buf, offs, limit):
         b = buf[lo:hi]
-        held = np.zeros(len(b) + 2, np.int8)
+        held = np.zeros(len(b) + 2, bool)
         held[1:-1] = inside[b]
-        step = np.diff(held)
         cut = np.zeros(len(b) + 1, bool)
         cut[offs[(offs >= lo) & (offs <= hi)] - lo] = True
-        both = np.flatnonzero(cut[1:-1] & (held[1:-2] == 1) & (held[2:-1] == 1)) + 1  # rows that touch
-        start = np.union1d(np.flatnonzero(step == 1), both)
-        end = np.union1d(np.flatnonzero(step == -1), both)
+        start = np.flatnonzero(held[1:] & (cut | ~held[:-1]))
+        end = np.flatnonzero(held[:-1] & (cut | ~held[1:]))
         yield np.searchsorted(offs, start + lo, side="right") - 1, start, end, b
 
 
