@@ -23,8 +23,13 @@ from pyspark.sql import functions as F
 from . import text as T
 from .common import arrow_map
 
-#: Segments and fragments that a worker remembers, in each of two generations, and the longest of them.
-MEMO, MEMO_CHARS = 200_000, 64
+#: Segments and words that a worker remembers, in each of two generations, and the longest of them.
+MEMO, MEMO_CHARS = 250_000, 64
+#: Segments that go through the library's normalisation and split together.
+TOGETHER = 1024
+#: Fragments up to this length are merged many at once, longer ones by themselves; and how many at once.
+SHORT, MANY = 48, 8192
+UNRANKED = np.int32(1 << 30)
 
 
 class Memo(dict):
@@ -39,11 +44,20 @@ class Memo(dict):
             out = self.make(key)
         if len(key) <= MEMO_CHARS:
             if len(self) >= MEMO:
-                self.old = dict(self)
-                self.clear()
+                self.turn()
             self[key] = out
         return out
 
+    def keep_all(self, made: dict) -> None:
+        """The texts of one block more, at most."""
+        if len(self) + len(made) > MEMO:
+            self.turn()
+        self.update((k, v) for k, v in made.items() if len(k) <= MEMO_CHARS)
+
+    def turn(self) -> None:
+        self.old = dict(self)
+        self.clear()
+
 
 class WordBpe:
     """Ranks, ids and forced boundaries of one tokenizer file.
@@ -66,9 +80,28 @@ class WordBpe:
         bare = (t[: -len(self.suffix)] if self.suffix and t.endswith(self.suffix) and len(t) > len(self.suffix) else t for t in self.id)
         #: Byte pairs that stand inside some token; every other pair is a forced boundary.
         self.joined = {t[k : k + 2] for t in bare for k in range(len(t) - 1)}
-        self.fragment = Memo(self.merge)
+        self.word = Memo(lambda w: self.encode_words([w])[0])
         self.segment = Memo(self.encode_segment)
 
+        # The same as arrays: symbols of characters inside and at the end of a word, pairs by key, what a rank makes.
+        base = sorted({c for t in self.id for c in t} & {t for t in self.id if len(t) == 1})
+        self.inner, self.last, self.place = (np.full(max(map(ord, base)) + 1, -1, np.int64) for _ in range(3))
+        for k, c in enumerate(base):
+            self.inner[ord(c)], self.last[ord(c)], self.place[ord(c)] = self.id[c], self.id.get(c + self.suffix, -1), k
+        self.inside = np.zeros((len(base), len(base)), bool)
+        at = {c: k for k, c in enumerate(base)}
+        for a, b in self.joined:
+            if a in at and b in at:
+                self.inside[at[a], at[b]] = True
+        self.made = np.array([self.id[a + b] for a, b in pairs], np.int64)
+        key = np.array([self.id[a] << 20 | self.id[b] for a, b in pairs], np.int64)
+        order = np.argsort(key)
+        self.keys, self.ranks = key[order], order.astype(np.int32)
+        names = sorted(self.id, key=self.id.get)
+        if [self.id[t] for t in names] != list(range(len(names))):
+            raise ValueError("the vocabulary's ids have gaps")
+        self.names, self.numbers = pa.array(names, pa.large_string()), pa.array([str(k) for k in range(len(names))], pa.large_string())
+
     def fragments(self, word: str) -> list[str]:
         """The word (one character a byte) cut at its forced boundaries; the last fragment carries the word end."""
         joined = self.joined
@@ -77,8 +110,8 @@ class WordBpe:
         out[-1] += self.suffix
         return out
 
-    def merge(self, fragment: str) -> list[tuple[str, int]]:
-        """Tokens of a fragment: the pair of lowest rank is merged first, the leftmost among equals."""
+    def merge(self, fragment: str) -> list[int]:
+        """Ids of one fragment: the pair of lowest rank is merged first, the leftmost among equals; by a heap."""
         end = self.suffix if self.suffix and fragment.endswith(self.suffix) and len(fragment) > len(self.suffix) else ""
         sym: list[str | None] = list(fragment[: len(fragment) - len(end)])
         sym[-1] += end
@@ -100,25 +133,131 @@ class WordBpe:
             h = left[i]
             if h >= 0 and (r := rank.get((sym[h], sym[i]))) is not None:
                 heapq.heappush(agenda, (r, h))
-        return [(s, self.id[s]) for s in sym if s is not None and s in self.id]
+        return [self.id[s] for s in sym if s is not None]
+
+    def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of symbols; UNRANKED where a symbol is missing (-1) or no merge joins them."""
+        key = a << 20 | b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((b >= 0) & (self.keys[at] == key), self.ranks[at], UNRANKED)
+
+    def merge_many(self, sym: np.ndarray) -> np.ndarray:
+        """Rows of symbols, -1 behind each row's end, merged together: in every step each row's best pair, the leftmost among equals."""
+        wide = sym.shape[1]
+        sym = np.pad(sym, ((0, 0), (0, 1)), constant_values=-1)
+        best = self.rank_of(sym[:, :-1], sym[:, 1:])
+        columns, rows = np.arange(wide + 1), np.arange(len(sym))
+        while len(rows):
+            at = best[rows].argmin(1)
+            r = best[rows, at]
+            some = r != UNRANKED
+            rows, at, r = rows[some], at[some], r[some]
+            if not len(rows):
+                break
+            new = self.made[r]
+            own = sym[rows]
+            own[np.arange(len(rows)), at] = new
+            own = np.take_along_axis(own, np.minimum(columns + (columns > at[:, None]), wide), 1)
+            sym[rows] = own
+            ranks = np.take_along_axis(best[rows], np.minimum(columns[:-1] + (columns[:-1] > at[:, None]), wide - 1), 1)
+            ranks[:, -1] = UNRANKED
+            every = np.arange(len(rows))
+            ranks[every, at] = self.rank_of(new, own[every, at + 1])
+            inner = np.flatnonzero(at > 0)
+            ranks[inner, at[inner] - 1] = self.rank_of(own[inner, at[inner] - 1], new[inner])
+            best[rows] = ranks
+        return sym[:, :-1]
+
+    def encode_words(self, words: list[str]) -> list[tuple[int, str, str]]:
+        """(tokens, decimal ids joined by a space, token texts joined by a space) of words, one character a byte.
+
+        The words lie one after the other; forced boundaries cut them into fragments, fragments
+        of about one length are merged together, and each leaves its tokens where it began.
+        """
+        size = np.array([len(w) for w in words], np.int64)
+        flat = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
+        place = self.place[flat]
+        end = np.zeros(len(flat), bool)
+        end[np.cumsum(size) - 1] = True
+        sym = np.where(end, self.last[flat], self.inner[flat])
+        cut = end.copy()
+        cut[:-1] |= ~self.inside[place[:-1], place[1:]]
+        stop = np.flatnonzero(cut) + 1
+        start = np.append(0, stop[:-1])
+        length = stop - start
+        order = np.argsort(length, kind="stable")
+        order = order[np.searchsorted(length[order], 2) :]  # one symbol is a token
+        few = order[: np.searchsorted(length[order], SHORT, side="right")]
+        for k in range(0, len(few), MANY):
+            some = few[k : k + MANY]
+            columns = np.arange(length[some[-1]])
+            own = columns < length[some][:, None]
+            where = start[some][:, None] + columns
+            rows = np.full(own.shape, -1, np.int64)
+            rows[own] = sym[where[own]]
+            sym[where[own]] = self.merge_many(rows)[own]
+        for k in order[len(few) :]:
+            a, b = int(start[k]), int(stop[k])
+            ids = self.merge("".join(map(chr, flat[a:b])) + (self.suffix if end[b - 1] else ""))
+            sym[a:b] = -1
+            sym[a : a + len(ids)] = ids
+        real = sym >= 0
+        n = np.add.reduceat(real.astype(np.int64), np.append(0, np.cumsum(size)[:-1]))
+        token = pa.array(sym[real])
+        offsets, gap = pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.scalar(" ", pa.large_string())
+        ids, texts = (pc.binary_join(pa.ListArray.from_arrays(offsets, x.take(token)), gap).to_pylist() for x in (self.numbers, self.names))
+        return list(zip(n.tolist(), ids, texts, strict=True))
+
+    def joined_up(self, parts: list[tuple[int, str, str]]) -> tuple[int, str, str]:
+        parts = [p for p in parts if p[0]]
+        if len(parts) == 1:
+            return parts[0]
+        return sum(p[0] for p in parts), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
 
-    def tokens(self, segment: str) -> list[tuple[str, int]]:
-        """Tokens of a stretch of text without white space; special strings in it are tokens of their own."""
-        out: list[tuple[str, int]] = []
+    def encode_segment(self, segment: str) -> tuple[int, str, str]:
+        """A stretch of text by itself; special strings in it are tokens of their own."""
+        out = []
         for part in self.marks.split(segment) if self.marks else [segment]:
             if part in self.special:
-                out.append((part, self.special[part]))
+                out.append((1, str(self.special[part]), part))
             elif part:
-                for word, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part)):
-                    for f in self.fragments(word):
-                        out += self.fragment[f]
+                words = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))
+                out += [self.word[w] for w, _ in words]
+        return self.joined_up(out)
+
+    def encode_segments(self, segments: list[str]) -> list[tuple[int, str, str]]:
+        """Many segments; those that are new go through normalisation and split together, a space between them.
+
+        No step reaches across a space. Where a segment brings white space of its own, or a
+        special string, the segments go one by one.
+        """
+        memo, word = self.segment, self.word
+        fresh = [x for x in segments if x not in memo and x not in memo.old]
+        made: dict[str, tuple[int, str, str]] = {}
+        split: dict[str, list[str]] = {}
+        for k in range(0, len(fresh), TOGETHER):
+            some = fresh[k : k + TOGETHER]
+            shown = self.library.normalizer.normalize_str(text := " ".join(some))
+            pieces = shown.split(" ")
+            if len(pieces) != len(some) or (self.marks and self.marks.search(text)):
+                made.update((x, self.encode_segment(x)) for x in some)
+                continue
+            end, at, parts = len(pieces[0]), 0, [[] for _ in some]
+            for w, (start, _) in self.library.pre_tokenizer.pre_tokenize_str(shown):
+                while start >= end:
+                    at += 1
+                    end += 1 + len(pieces[at])
+                parts[at].append(w)
+            split.update(zip(some, parts, strict=True))
+        new = list({w: None for parts in split.values() for w in parts if w not in word and w not in word.old})
+        coded = dict(zip(new, self.encode_words(new), strict=True)) if new else {}
+        for x, parts in split.items():
+            made[x] = self.joined_up([coded.get(w) or word[w] for w in parts])
+        word.keep_all(coded)
+        out = [made.get(x) or memo[x] for x in segments]
+        memo.keep_all(made)
         return out
 
-    def encode_segment(self, segment: str) -> tuple[int, str, str]:
-        """(tokens, decimal ids joined by a space, token texts joined by a space)."""
-        found = self.tokens(segment)
-        return len(found), " ".join(str(i) for _, i in found), " ".join(t for t, _ in found)
-
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> WordBpe:
@@ -156,17 +295,17 @@ def encode_rows(vocab: WordBpe, column: pa.Array, keep: bool = False, block: int
         if not len(row):
             continue
         coded = _segments(start, end, data)
-        made = [vocab.segment[s] for s in coded.dictionary.to_pylist()]
+        made = vocab.encode_segments(coded.dictionary.to_pylist())
         size = np.array([m[0] for m in made], np.int64)
         at = np.asarray(coded.indices)
         some = size[at] > 0  # a segment of white space beyond ASCII has no tokens
         at, row = at[some], row[some]
         if not len(row):
             continue
-        which, first = np.unique(row, return_index=True)
+        first = np.flatnonzero(np.diff(row, prepend=-1))
         offsets, gap = pa.array(np.append(first, len(row)), pa.int32()), pa.scalar(" ", pa.large_string())
         ids, texts = (pc.binary_join(pa.ListArray.from_arrays(offsets, pa.array([m[k] for m in made], pa.large_string()).take(pa.array(at))), gap) for k in (1, 2))
-        for r, n, i, t in zip(which.tolist(), np.add.reduceat(size[at], first).tolist(), ids.to_pylist(), texts.to_pylist(), strict=True):
+        for r, n, i, t in zip(row[first].tolist(), np.add.reduceat(size[at], first).tolist(), ids.to_pylist(), texts.to_pylist(), strict=True):
             rows[r].add(n, i, t)
     return rows
 

@@ -42,11 +42,21 @@ def test_no_token_spans_a_forced_boundary():
         parts = v.fragments(seen)
         assert "".join(parts) == seen + v.suffix
         cut += len(parts) - 1
-        apart = [t for p in parts for t, _ in v.merge(p)]
-        assert apart == [t for t, _ in v.merge(seen + v.suffix)]
+        assert [i for p in parts for i in v.merge(p)] == v.merge(seen + v.suffix)
     assert cut
 
 
+def test_one_by_one_and_many_at_once_merge_alike(monkeypatch):
+    v = W.vocabulary(PATH)
+    rnd = random.Random(7)
+    words = ["".join(rnd.choice("abcdeinorstzq'1") for _ in range(rnd.randint(1, 60))) for _ in range(400)] + ["aaaaaaa", "a", "zzzz"]
+    many = v.encode_words(words)
+    assert [x[1] for x in many] == [" ".join(str(i) for p in v.fragments(w) for i in v.merge(p)) for w in words]
+    assert many == [v.encode_words([w])[0] for w in words]
+    monkeypatch.setattr(W, "SHORT", 1)
+    assert many == v.encode_words(words)
+
+
 def test_memo_is_bounded(monkeypatch):
     monkeypatch.setattr(W, "MEMO", 3)
     made = []
