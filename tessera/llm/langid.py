@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as T
@@ -147,11 +147,14 @@ def document_probabilities(model: Model, column: pa.Array) -> np.ndarray:
     return total / np.maximum(np.diff(offs), 1)[:, None]
 
 
-def train(docs: DataFrame, max_rows: int = 2000, window: int = 96) -> Model:
-    """Fit on one window from each of at most ``max_rows`` training documents (by hashed id).
+def train(docs: DataFrame, max_rows: int = 4000, window: int = 96, least: int = 200, tries: int = 4, steps: int = 400, aside: int = 1000) -> Model:
+    """Fit on one window from each of about ``max_rows`` training documents (by hashed id).
 
-    Every language has the same share of them, or all its documents if they are fewer; texts
-    of any length with a letter count, so any language that the fold has is learned.
+    Languages share them as the fold does, so the network learns how common each is, but a
+    rare one gets ``least`` windows, or all its documents if they are fewer; texts of any length
+    with a letter count. A fit can end badly by its random start: of ``tries`` fits that one is
+    taken whose loss is least on ``aside`` stretches of 2,000 characters of a fifth of the
+    training documents, which no fit sees. Languages of ``least`` documents or fewer set none aside.
     """
     known = docs.where(fold(F.col("doc_id"), 4) != 2).where("lang is not null").where(F.col("text").rlike(r"\p{L}"))
     known = known.select("doc_id", F.col("lang").cast("string"), F.col("text").cast("string"), F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)).alias("_h"))
@@ -159,17 +162,38 @@ def train(docs: DataFrame, max_rows: int = 2000, window: int = 96) -> Model:
     langs = tuple(sorted(count))
     if not langs:
         return Model((), (np.zeros((256, 3), np.float32),) * 2, (np.zeros((1, 3), np.float32),) * 2, np.zeros((2, 0), np.float32), np.zeros(0, np.float32))
-    each = max(1, max_rows // len(langs))
-    most = F.create_map(*[F.lit(x) for c in langs for x in (c, (1 << 30) if count[c] <= 4 * each else int((1 << 30) * 2 * each / count[c]))])
-    at = F.floor(F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - window + 1, F.lit(1)))).cast("int") + 1
-    near = known.where(F.col("_h") < most[F.col("lang")]).select("doc_id", "lang", "_h", F.substr("text", at, F.lit(window)).alias("text"))
+    every = sum(count.values())
+    each = {c: max(least, max_rows * count[c] // every) for c in langs}
+
+    def of_lang(value) -> Column:
+        return F.create_map(*[F.lit(x) for c in langs for x in (c, value(c))])[F.col("lang")]
+
+    def stretch(df: DataFrame, size: int) -> DataFrame:
+        at = F.floor(F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - size + 1, F.lit(1)))).cast("int") + 1
+        return df.select("doc_id", "lang", "_h", F.substr("text", at, F.lit(size)).alias("text"))
+
+    held = (F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(5)) == 0) & of_lang(lambda c: count[c] > least)
+    most = of_lang(lambda c: (1 << 30) if count[c] <= 4 * each[c] else int((1 << 30) * 2 * each[c] / count[c]))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id", "text"))
-    got = near.withColumn("_nth", nth).where(F.col("_nth") <= each).toPandas().sort_values(["doc_id", "text"], kind="stable")
+    got = stretch(known.where(~F.coalesce(held, F.lit(False))).where(F.col("_h") < most), window).withColumn("_nth", nth).where(F.col("_nth") <= of_lang(lambda c: each[c]))
+    got = got.toPandas().sort_values(["doc_id", "text"], kind="stable")
+    near = known.where(held) if every <= 20 * aside else known.where(held).where(F.col("_h") < int((1 << 30) * 10 * aside / every))
+    tested = stretch(near, 2000).orderBy("_h", "doc_id", "text").limit(aside).toPandas()
     x = np.zeros((len(got), window), np.uint8)
     for i, t in enumerate(got.text):
         b = np.frombuffer(t.encode()[:window], np.uint8)
         x[i, : len(b)] = b
-    return fit(x, np.array([langs.index(c) for c in got.lang]), langs)
+    y = np.array([langs.index(c) for c in got.lang])
+    fits = [fit(x, y, langs, steps=steps, seed=k) for k in range(tries if len(tested) else 1)]
+    if len(fits) == 1:
+        return fits[0]
+    texts, true = pa.array(tested.text, pa.string()), np.array([langs.index(c) for c in tested.lang])
+
+    def loss(model: Model) -> float:
+        p = document_probabilities(model, texts)[np.arange(len(true)), true]
+        return float(-np.log(np.maximum(p, 1e-9)).mean())
+
+    return min(fits, key=loss)
 
 
 def _predict_batches(model: Model):
