@@ -340,7 +340,8 @@ def _segment_batches(segment: int, each: int, seed: int):
                     odd = np.logical_or.reduceat((tok.feats[:, 1] > 0) | (tok.feats[:, 0] >= 7 * 32), first) if len(first) else has
                     picks = [(0 if not v else 1, rng.permutation(first[has])[:each])]
                     if not v:
-                        picks += [(2, rng.permutation(first[free & odd])[:each]), (3, rng.permutation(first[free & ~odd])[:each])]
+                        long = np.where(free, np.maximum.reduceat(tok.end - tok.start, first), 0) if len(first) else has
+                        picks += [(2, rng.permutation(first[free & odd])[:each]), (3, rng.permutation(first[free & ~odd])[:each]), (4, first[[long.argmax()]] if long.any() else first[:0])]
                     rows += [(k, int(nth[i]), tok.feats[a : a + segment].astype("<u2").tobytes(), tags[a : a + segment].astype("u1").tobytes()) for k, at in picks for a in at]
             cols = list(zip(*rows, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["kind", "nth", "feats", "tags"])
@@ -348,11 +349,33 @@ def _segment_batches(segment: int, each: int, seed: int):
     return run
 
 
-def train(docs: DataFrame, max_rows: int = 16000, segment: int = 32, max_segments: int = 2400, each: int = 2, seed: int = 0) -> Field:
+def margins(field: Field, feats: np.ndarray, tags: np.ndarray) -> float:
+    """By how much the path of some tags beats the one that is outside everywhere, over one segment."""
+    e = _emissions(field, feats)
+
+    def value(path: np.ndarray) -> float:
+        return float(field.begin[path[0]] + e[np.arange(len(path)), path].sum() + field.trans[path[:-1], path[1:]].sum())
+
+    return value(tags) - value(np.full(len(tags), OUTSIDE))
+
+
+def with_margin(field: Field, least: float) -> Field:
+    """The field that tags a span only where its path beats the one outside by ``least``: entering a span costs as much."""
+    trans, begin = field.trans.copy(), field.begin.copy()
+    trans[OUTSIDE, [BEGIN, INSIDE]] -= least
+    begin[[BEGIN, INSIDE]] -= least
+    return Field(field.emit, trans, begin)
+
+
+def train(docs: DataFrame, max_rows: int = 16000, segment: int = 32, max_segments: int = 2400, each: int = 2, seed: int = 0, keep: float = 0.99) -> Field:
     """Fit on segments of at most ``max_rows`` texts (by hashed id).
 
+    A span must beat the path outside by a margin: the one that ``keep`` of the planted values
+    reach which the field finds among training segments that it was not fitted on.
+
     A text gives at most ``each`` segments with matches, with digits or long words but no match, and with
-    neither; one in eight gives one with a planted value. A quarter of ``max_segments`` each,
+    neither, and the one of its longest word without a match; one in eight gives one with a
+    planted value. A quarter of ``max_segments`` each (the longest words: as many again),
     in the order of the hashed ids, is fitted on. Only features and tags reach the driver.
     Short texts and ends of texts count too. Nothing to learn from: a field that tags nothing.
     """
@@ -360,7 +383,7 @@ def train(docs: DataFrame, max_rows: int = 16000, segment: int = 32, max_segment
     rows = docs.select("doc_id", F.col("text").cast("string"), F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(1 << 40)).alias("nth")).join(F.broadcast(chosen), "doc_id")
     got = arrow_map(rows.select("text", "nth"), _segment_batches(segment, each, seed), "kind int, nth long, feats binary, tags binary").collect()
     got.sort(key=lambda r: (r.nth, r.feats, r.tags))
-    kinds = [[r for r in got if r.kind == k][: max_segments // 4] for k in range(4)]
+    kinds = [[r for r in got if r.kind == k][: max_segments // 4] for k in range(5)]
     used = [r for k in kinds for r in k]
     if not kinds[0] and not kinds[1]:
         none = tuple(np.zeros((n, 3), np.float32) for n in WIDTHS)
@@ -369,7 +392,11 @@ def train(docs: DataFrame, max_rows: int = 16000, segment: int = 32, max_segment
     size = np.array([len(r.tags) for r in used])
     feats = np.stack([np.pad(np.frombuffer(r.feats, "<u2").reshape(n, -1).astype(np.int32), ((0, segment - n), (0, 0))) for r, n in zip(used, size, strict=True)])
     tags = np.stack([np.pad(np.frombuffer(r.tags, "u1").astype(np.int64), (0, segment - n)) for r, n in zip(used, size, strict=True)])
-    return fit(feats, tags, seed=seed, size=size)
+    field = fit(feats, tags, steps=200, seed=seed, size=size)
+    unseen = [r for r in got if r.kind == 1][max_segments // 4 :] or kinds[1]
+    told = ((np.frombuffer(r.feats, "<u2").reshape(len(r.tags), -1).astype(np.int32), np.frombuffer(r.tags, "u1").astype(np.int64)) for r in unseen)
+    found = [m for x, y in told if (m := margins(field, x, y)) > 0]
+    return with_margin(field, float(np.quantile(found, 1 - keep))) if found else field
 
 
 def _edge(buf: np.ndarray, at: int, end: int, step: int) -> int:

@@ -102,6 +102,45 @@ def test_field_finds_planted_secrets_that_no_pattern_matches(spark, field):
     assert found >= 0.9 * len(docs) and false <= 0.01 * len(docs)
 
 
+def test_field_finds_values_of_another_kind_than_it_was_trained_on(spark, field):
+    """Words, separators, lengths and make of the values are disjoint from those of training; the surroundings are pages."""
+    rnd = random.Random(77)
+    words = ["webhook", "broker", "sentry", "grafana", "stripe", "mirror", "upload", "bot"]
+    between = [" <- ", " | ", "; ", " @ ", " ~ ", " / ", " >> ", " ^ "]
+    assert not set(words) & set(S.PLANT_WORDS) and not set(between) & set(S.PLANT_BETWEEN)
+
+    def value(k):
+        part = lambda n: "".join(rnd.choice("bcdfghjkmnpqrstvwxz23456789BCDFGHJKMNPQRSTVWXZ") for _ in range(n))
+        made = [lambda: "-".join(part(5) for _ in range(4)), lambda: f"{part(3)}_{part(24)}", lambda: f"{part(10)}.{part(12)}", lambda: str(rnd.randrange(10**8)) + part(14)]
+        return made[k % 4]()
+
+    docs = [t for t in table(spark, SF, "documents").where("length(text) between 200 and 20000").toPandas().text if not S.base_spans(t)][400:800]
+    found = false = 0
+    wrong = []
+    for k, t in enumerate(docs):
+        own = value(k)
+        at = rnd.choice([j for j, c in enumerate(t) if c == " "] or [0])
+        head = f"{t[:at]} {rnd.choice(words)}{rnd.choice(between)}"
+        text = head + own + t[at:]
+        spans = S._batch_spans(field, pa.array([text]))[0]
+        hit = [s for s in spans if s[1] < len(head) + len(own) and len(head) < s[2]]
+        found += bool(hit)
+        false += len(spans) - len(hit)
+        wrong += [text[x:y] for _, x, y in spans if (_, x, y) not in hit]
+    assert found >= 0.9 * len(docs) and false <= 0.005 * len(docs), (found, false, wrong)
+
+
+def test_next_to_nothing_is_added_to_prose(spark, field):
+    """No document of the small table holds a secret that the patterns do not know; long words of repeated syllables are none.
+
+    The field of 1,000 documents adds one span (of 10,000 documents: none, over those).
+    """
+    glued = ["ciónciónmenteción", "Queciónmenteciónción", "Dociónesciónadoó.", "keitungschaftlichkeiten", "internationalisation", "https://example.com/a/b", "2024-01-01T00:00:00", "v1.2.3-beta"]
+    assert not any(S._batch_spans(field, pa.array([f"Las {w} de la mesa." for w in glued])))
+    texts = [t for t in table(spark, SF, "documents").toPandas().text if not S.base_spans(t)]
+    assert sum(map(bool, S._batch_spans(field, pa.array(texts)))) <= 1
+
+
 def test_a_long_row_is_tagged_alike_whole_and_in_parts(field):
     rnd = random.Random(3)
     word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 9)))
