@@ -52,7 +52,9 @@ class Memo(dict):
         """The texts of one block more, at most."""
         if len(self) + len(made) > MEMO:
             self.turn()
-        self.update((k, v) for k, v in made.items() if len(k) <= MEMO_CHARS)
+        if max(map(len, made), default=0) > MEMO_CHARS:
+            made = {k: v for k, v in made.items() if len(k) <= MEMO_CHARS}
+        self.update(made)
 
     def turn(self) -> None:
         self.old = dict(self)
@@ -252,7 +254,7 @@ class WordBpe:
         new = list({w: None for parts in split.values() for w in parts if w not in word and w not in word.old})
         coded = dict(zip(new, self.encode_words(new), strict=True)) if new else {}
         for x, parts in split.items():
-            made[x] = self.joined_up([coded.get(w) or word[w] for w in parts])
+            made[x] = self.joined_up([coded.get(w) or word[w] for w in parts]) if len(parts) != 1 else coded.get(parts[0]) or word[parts[0]]
         word.keep_all(coded)
         out = [made.get(x) or memo[x] for x in segments]
         memo.keep_all(made)
