@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import excerpt, normal_set, url_slug
 from tessera.operators import catalog, graph, lexical, sync, vector
+from tessera.operators.adjacency import Adjacency
+from tessera.operators.order import saved
+from tessera.operators.postings import LexicalIndex
+from tessera.operators.workspace import Workspace
 from tessera.sources import files, web
 
 # Columns of the tables.
@@ -37,6 +41,10 @@ class Engine:
     graphs: dict[str, tuple[DataFrame, DataFrame]] = field(default_factory=dict)
     embedder: object = None
     git_paths: dict[str, str] = field(default_factory=dict)
+    #: Stored forms: text indexes of ``chunks`` and ``code``, edges of graphs, and indexes built from repositories' files.
+    indexes: dict[str, LexicalIndex] = field(default_factory=dict)
+    stored_graphs: dict[str, Adjacency] = field(default_factory=dict)
+    workspace: Workspace | None = None
 
     def table(self, name: str) -> DataFrame:
         if name not in self.tables:
@@ -61,6 +69,63 @@ class Engine:
         keys = catalog.scope_keys(self.table("repos"), self.table("sources"), scope, namespace)
         return rows.join(keys.select(F.col("id").alias("repo")), "repo", "left_semi")
 
+    # --- stored forms -------------------------------------------------------------------
+
+    _TEXT = {"chunks": ("title", "excerpt"), "code": ("path", "symbol", "snippet")}
+
+    def _indexed(self, name: str, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("text", F.concat_ws("\n", *self._TEXT[name]))
+
+    def build_index(self, name: str, root: str, buckets: int = 16) -> LexicalIndex:
+        """A stored text index of ``chunks`` or ``code``; from then on searches read it, and removals reach it."""
+        rows = self.table(name)
+        columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "id")
+        scope = tuple(c for c in ("repo", "kind", "path") if c in rows.columns)
+        index = LexicalIndex(self.spark, root, columns, scope, buckets=buckets)
+        index.rebuild(self._indexed(name, rows))
+        self.indexes[name] = index
+        return index
+
+    def put_rows(self, name: str, rows: DataFrame) -> None:
+        """Insert or replace rows of ``chunks`` or ``code`` by id, in the table and in its index."""
+        self.tables[name] = sync.upsert(self.table(name), rows, ["id"])
+        if name in self.indexes:
+            self.indexes[name].update(self._indexed(name, rows))
+
+    def _hits(self, name: str, built: str, within, top: int | None) -> DataFrame:
+        """Rows of ``chunks`` or ``code`` with their score; from the index where there is one.
+
+        With ``top`` the best chunk of each document, and the best documents only: of those the
+        index's stored rows are read.
+        """
+        query = lexical.parse(built)
+        if name in self.indexes:
+            index = self.indexes[name]
+            version = index.manifests.current()
+            hits = index.search(query, within, version)
+            hits = hits if top is None else lexical.best_chunks(hits, ["repo", "path"], "id", top)
+            return index.with_rows(hits, version).drop("text")
+        rows = within(self.table(name)).withColumn("_text", F.concat_ws("\n", *self._TEXT[name]))
+        hits = lexical.matches(rows, query, "_text").drop("_text")
+        return hits if top is None else lexical.best_chunks(hits, ["repo", "path"], "id", top)
+
+    def build_graph(self, repo: str, root: str, buckets: int = 16) -> Adjacency:
+        """Store a graph's edges; from then on its traversals read them."""
+        self.stored_graphs[repo] = Adjacency(self.spark, root, buckets).build(*self.graphs[repo])
+        return self.stored_graphs[repo]
+
+    def refresh_repo(self, repo: str, folder: str, run: str | None = None, wanted: list[str] | None = None) -> dict[str, str]:
+        """Bring a repository's text indexes and vectors up to its files, stage by stage; stages it skips are left out."""
+        if self.workspace is None:
+            raise ValueError("no workspace")
+        if self.table("repos").where(F.col("id") == repo).isEmpty():
+            raise ValueError(f"unknown: {repo}")
+        self.workspace.folders[repo] = folder
+        out = self.workspace.refresh(repo, run, wanted)
+        state = "error" if "error" in out.values() else "ready"
+        self.tables["repos"] = self.table("repos").withColumn("status", F.when(F.col("id") == repo, F.lit(state)).otherwise(F.col("status")))
+        return out
+
     # --- search -------------------------------------------------------------------------
 
     def search_docs(self, question: str, mode: str = "", key: str = "", scope: str = "all", namespace: str = "*", top: int = 3, now: datetime | None = None, stop: frozenset[str] = frozenset()) -> DataFrame:
@@ -69,16 +134,14 @@ class Engine:
         top = min(20, max(1, top))
         depth = max(vector.candidate_depth(None), top) if mode == "hybrid" else top
         arms: dict[str, DataFrame] = {}
-        chunks = None
         if mode in ("lexical", "hybrid"):
-            chunks = self._scoped(self.table("chunks"), key, scope, namespace)
-            text = F.concat_ws("\n", "title", "excerpt")
-            rows = chunks.withColumn("_text", text)
+            if "chunks" in self.indexes and not stop:
+                stop = self.indexes["chunks"].stop_words()
             built = lexical.build_query(question, stop)
-            hits = lexical.matches(rows, lexical.parse(built), "_text")
-            if built != question and hits.isEmpty():
-                hits = lexical.matches(rows, lexical.parse(lexical.build_query(question)), "_text")
-            arms["lexical"] = lexical.best_chunks(hits.drop("_text"), ["repo", "path"], "id", depth)
+            within = lambda rows: self._scoped(rows, key, scope, namespace)
+            arms["lexical"] = self._hits("chunks", built, within, depth)
+            if built != question and arms["lexical"].isEmpty():
+                arms["lexical"] = self._hits("chunks", lexical.build_query(question), within, depth)
         if mode in ("semantic", "hybrid"):
             if self.embedder is None:
                 raise ValueError("no embedder")
@@ -106,12 +169,10 @@ class Engine:
 
     def search_code(self, question: str, repo: str = "", namespace: str = "*", page: int = 1, per_page: int = 20) -> tuple[DataFrame, int]:
         """One page of code chunks and the exact total, each with its best matching line."""
-        rows = self._scoped(self.table("code"), repo, "all", namespace).withColumn("_text", F.concat_ws("\n", "path", "symbol", "snippet"))
-        built = lexical.build_query(question)
-        hits = lexical.matches(rows, lexical.parse(built), "_text").withColumn("score", F.round("score", 6))
-        got, total = lexical.page(hits, [F.desc("score"), "id"], page, per_page, 100)
+        hits = self._hits("code", lexical.build_query(question), lambda rows: self._scoped(rows, repo, "all", namespace), None)
+        got, total = lexical.page(hits.withColumn("score", F.round("score", 6)), [F.desc("score"), "id"], page, per_page, 100)
         line = lexical.matching_line(F.col("snippet"), lexical.words_of(question), F.col("start_line"))
-        return got.drop("_text").withColumn("line", line).withColumn("snippet", excerpt(F.col("snippet"))), total
+        return got.withColumn("line", line).withColumn("snippet", excerpt(F.col("snippet"))), total
 
     def search_code_semantic(self, question: str, repo: str = "", namespace: str = "*", top: int = 10) -> DataFrame:
         """The most similar code, overlapping ranges left out; exactly ``top`` rows where there are so many."""
@@ -148,34 +209,48 @@ class Engine:
 
     # --- graph ------------------------------------------------------------------------------
 
-    def _graph(self, repo: str, words: str = "") -> tuple[DataFrame, DataFrame]:
+    def _graph_name(self, repo: str, words: str = "") -> str:
         """The named graph; without a name the only one, or the one whose short name the words hold."""
-        if repo:
-            return self.graphs[repo]
-        if len(self.graphs) == 1:
-            return next(iter(self.graphs.values()))
+        if repo or len(self.graphs) == 1:
+            return repo or next(iter(self.graphs))
         plain = "".join(c for c in words.lower() if c.isalnum())
         short = {r: "".join(c for c in r.rsplit("/", 1)[-1].lower() if c.isalnum()) for r in self.graphs}
         fit = [r for r, s in short.items() if len(s) >= 4 and s in plain]
         if len(fit) != 1:
-            raise ValueError("which repository? " + ", ".join(sorted(self.graphs)[:20]))
-        return self.graphs[fit[0]]
+            known = sorted(self.graphs)
+            more = "" if len(known) <= 20 else f" and {len(known) - 20} more, which list_repos finds"
+            raise ValueError(f"which repository? There are graphs of {len(known)}: {', '.join(known[:20])}{more}")
+        return fit[0]
+
+    def _graph(self, repo: str, words: str = "") -> tuple[DataFrame, DataFrame]:
+        return self.graphs[self._graph_name(repo, words)]
 
     def query_graph(self, question: str, repo: str = "", depth: int = 3, budget: int = 2000, contexts: list[str] = ()) -> str:
-        nodes, edges = self._graph(repo, question)
-        start = graph.seeds(graph.node_scores(nodes, graph.query_terms(question))).select("id").persist()
+        name = self._graph_name(repo, question)
+        nodes, edges = self.graphs[name]
+        start = saved(graph.seeds(graph.node_scores(nodes, graph.query_terms(question))).select("id"), "seeds")
         if start.isEmpty():
             return "no matching nodes"
-        degree = graph.degrees(nodes, edges).persist()
+        depth, asked = min(6, max(1, depth)), graph.asked_contexts(question, list(contexts))[0]
+        if stored := self.stored_graphs.get(name):
+            reached = stored.bfs(start, depth, asked)
+            return graph.subgraph_text(nodes, edges, reached, stored.walked(reached, asked), budget)
+        degree = saved(graph.degrees(nodes, edges), "degrees")
         hub = graph.hub_threshold(degree).first()[0]
-        some = graph.filter_contexts(edges, graph.asked_contexts(question, list(contexts))[0])
-        reached = graph.bfs(some, degree, start, min(6, max(1, depth)), hub)
+        some = graph.filter_contexts(edges, asked)
+        reached = graph.bfs(some, degree, start, depth, hub)
         return graph.subgraph_text(nodes, edges, reached, graph.bfs_edges(some, reached, degree, hub), budget)
 
     def get_node(self, text: str, repo: str = "") -> DataFrame:
         nodes, edges = self._graph(repo, text)
         return graph.resolve(nodes, text).limit(1).join(graph.degrees(nodes, edges), "id")
 
+    def ambiguity(self, text: str, repo: str = "") -> str:
+        """A note if a text means several nodes: how many, and the id of the one that is taken; '' if it does not."""
+        found = graph.resolve(self._graph(repo, text)[0], text)
+        n = found.count()
+        return f"'{text}' may mean {n} nodes; '{found.first().id}' is taken. Ask by id for another." if n > 1 else ""
+
     def get_neighbors(self, text: str, relation: str = "", repo: str = "") -> DataFrame:
         nodes, edges = self._graph(repo, text)
         node = graph.resolve(nodes, text).first()
@@ -199,10 +274,13 @@ class Engine:
         return graph.stats(*self._graph(repo))
 
     def shortest_path(self, a: str, b: str, repo: str = "", most: int = 8) -> list[str]:
-        nodes, edges = self._graph(repo, f"{a} {b}")
+        name = self._graph_name(repo, f"{a} {b}")
+        nodes, edges = self.graphs[name]
         ends = [graph.resolve(nodes, x).first() for x in (a, b)]
         if None in ends:
             raise ValueError("no such node")
+        if stored := self.stored_graphs.get(name):
+            return stored.shortest_path(nodes, ends[0].id, ends[1].id, min(12, most))
         return graph.shortest_path(nodes, edges, ends[0].id, ends[1].id, min(12, most))
 
     # --- history ----------------------------------------------------------------------------
@@ -250,7 +328,10 @@ class Engine:
         self.tables[name] = sync.upsert(self.table(name), new, key)
 
     def _drop(self, name: str, condition) -> None:
-        self.tables[name] = self.table(name).where(~F.coalesce(condition, F.lit(False)))
+        rows = self.table(name)
+        if name in self.indexes:
+            self.indexes[name].update(gone=saved(rows.where(condition).select("id"), "gone-ids"))
+        self.tables[name] = rows.where(~F.coalesce(condition, F.lit(False)))
 
     def add_repo(self, id_: str, url: str, namespace: str = "") -> None:
         if ":" in id_ or namespace == "*":
@@ -258,6 +339,8 @@ class Engine:
         self._put("repos", [(id_, url, "pending", "" if namespace == "default" else namespace)], ["id"])
 
     def remove_repo(self, id_: str) -> None:
+        if self.workspace is not None:
+            self.workspace.remove(id_)
         self._drop("repos", F.col("id") == id_)
         for t in ("chunks", "code", "vectors", "overrides"):
             self._drop(t, F.col("repo") == id_)
@@ -280,8 +363,11 @@ class Engine:
         own = "" if namespace == "default" else namespace
         self.tables["repos"] = self.table("repos").withColumn("namespace", F.when(F.col("id") == id_, F.lit(own)).otherwise(F.col("namespace")))
 
-    def set_namespace_description(self, namespace: str, description: str | None) -> None:
-        self._put("namespaces", [(namespace, description)], ["namespace"])
+    def set_namespace_description(self, namespace: str, description: str | None = None) -> None:
+        """Describe a namespace; None keeps what is stored, '' clears it."""
+        stored = self.table("namespaces").where(F.col("namespace") == namespace).first()
+        kept = stored.description if stored else None
+        self._put("namespaces", [(namespace, kept if description is None else description)], ["namespace"])
 
     def delete_namespace(self, namespace: str) -> None:
         self._drop("namespaces", F.col("namespace") == namespace)

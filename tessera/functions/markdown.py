@@ -438,13 +438,17 @@ def summary_sections(text: str | None, files: list[str]) -> dict[str, str]:
     return {k: "\n".join(v).strip() for k, v in out.items()}
 
 
+#: Between the summaries of files, and the bytes that each keeps at least when all are cut.
+SUMMARY_RULE, SUMMARY_LEAST = "\n\n---\n\n", 400
+
+
 def join_summaries(parts: list[str], budget: int) -> str:
     """Parts joined by rules; over the budget, all cut to an equal share of at least 400 bytes."""
-    whole = "\n\n---\n\n".join(parts)
+    whole = SUMMARY_RULE.join(parts)
     if _size(whole) <= budget or not parts:
         return whole
-    share = max(400, budget // len(parts))
-    return "\n\n---\n\n".join(p if _size(p) <= share else p.encode()[:share].decode(errors="ignore") for p in parts)
+    share = max(SUMMARY_LEAST, budget // len(parts))
+    return SUMMARY_RULE.join(p if _size(p) <= share else p.encode()[:share].decode(errors="ignore") for p in parts)
 
 
 def _udf(fn: Callable, returns: str):

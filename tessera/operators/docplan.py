@@ -6,15 +6,18 @@ answer is DataFrame work.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.markdown import summary_sections
+from tessera.functions.markdown import SUMMARY_LEAST, SUMMARY_RULE, summary_sections
 from tessera.functions.text import content_hash
 from tessera.operators.catalog import pack
+from tessera.operators.order import saved
+from tessera.operators.tables import KeyedTable
 
 MOST_GROUPS, GROUP_FILES = 40, 24
 FILE_BUDGET_LEAST = 2000
@@ -78,6 +81,69 @@ def summarise(prompted: DataFrame, model: Callable[[str], str]) -> DataFrame:
     return prompted.select(F.explode(ask("prompt", "paths")).alias("s")).select("s.*")
 
 
+def joined_summaries(summaries: DataFrame, budget: int) -> str:
+    """Summaries in order of their paths, joined by rules; over the budget, all cut to an equal share of at least 400 bytes.
+
+    They are cut where they lie: what comes to the driver is the prompt.
+    """
+    part = F.concat(F.lit("## "), "path", F.lit("\n"), "summary")
+    each = summaries.where("summary is not null").select("path", part.alias("part"))
+    n, size = each.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("part")), F.lit(0))).first()
+    if size + max(0, n - 1) * len(SUMMARY_RULE) > budget:
+        share = max(SUMMARY_LEAST, budget // n)
+        # a character that the cut splits goes
+        cut = F.regexp_replace(F.decode(F.substring(F.col("part").cast("binary"), 1, share), "UTF-8"), "\ufffd$", "")
+        each = each.select("path", F.when(F.octet_length("part") <= share, F.col("part")).otherwise(cut).alias("part"))
+    return SUMMARY_RULE.join(r.part for r in each.orderBy("path").collect())
+
+
+class Documentation:
+    """Written documentation of repositories: summaries of files by content, and a text made of them.
+
+    Summaries are kept by path and hash, the text with the hash of its instructions. A run asks
+    the model for files that changed, and for the text only if a summary or the instructions did.
+    """
+
+    def __init__(self, spark, root: str, model: Callable[[str], str], buckets: int = 8):
+        self.model = model
+        self.summaries = KeyedTable(spark, f"{root}/summaries", "repo string, path string, hash string, summary string", ["repo", "path"], buckets)
+        self.texts = KeyedTable(spark, f"{root}/texts", "repo string, instructions string, markdown string, files long", ["repo"], buckets)
+
+    def generate(self, repo: str, files: DataFrame, communities: DataFrame, instructions: str, overview: str = "", group_budget: int = 200_000, budget: int = 200_000, force: bool = False) -> dict[str, int | str]:
+        """Bring a repository's documentation up to its files (path, text).
+
+        Returns the text and how many files were reused, summarised and failed, and whether the
+        text is new. A failed file has no summary and is asked for again in the next run.
+        """
+        mine = self.summaries.read().where(F.col("repo") == repo)
+        earlier = mine.limit(0) if force else mine
+        grouped = files.join(groups(files.select("path"), communities).select("path", "group"), "path")
+        todo = saved(reuse(grouped, earlier), "reuse")
+        told = saved(summarise(prompts(todo, group_budget), self.model), "summaries")
+        fresh = told.where("summary is not null").join(todo.select("path", "hash"), "path").select(F.lit(repo).alias("repo"), "path", "hash", "summary")
+        gone = saved(mine.select("repo", "path").join(todo.select("path"), "path", "left_anti").select("repo", "path"), "gone-summaries")
+        changed, lost = fresh.count(), gone.count()
+        if changed or lost:
+            self.summaries.merge(fresh, gone)
+        known = self.summaries.read().where(F.col("repo") == repo)
+        counts = {"reused": todo.where("summary is not null").count(), "summarised": changed, "failed": told.where("summary is null").count(), "written": 0}
+        n = known.count()
+        if not n:
+            raise ValueError("no source files to document")
+        said = instructions_hash(instructions)
+        old = self.texts.read().where(F.col("repo") == repo).first()
+        if old is not None and not force and not changed and old.instructions == said and old.files == n:
+            return counts | {"markdown": old.markdown}
+        asked = [instructions, f"Repository: {repo}", f"Knowledge-graph overview:\n{overview}" if overview else "", "Per-file summaries:\n\n" + joined_summaries(known, budget)]
+        markdown = self.model("\n\n".join(x for x in asked if x)).strip() + "\n"
+        self.texts.merge(self.texts.spark.createDataFrame([(repo, said, markdown, n)], self.texts.schema))
+        return counts | {"markdown": markdown, "written": 1}
+
+
+def instructions_hash(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()[:32]
+
+
 def stale(existing: DataFrame, manifest: DataFrame) -> DataFrame:
     """Written documents that the manifest no longer has."""
     return existing.join(manifest.select("path").distinct(), "path", "left_anti")

@@ -1,8 +1,9 @@
 """A stored inverted index: postings by term, in segments that only ever get added.
 
-A segment holds the rows of one update: postings ``(term, id, tf, dl, pos)`` in folders by a
-hash of the term and sorted by it, the rows themselves in folders by a hash of the id, and a
-line of statistics. Replaced or deleted rows get a tombstone; it counts for older segments
+A segment holds the rows of one update: postings in folders by a hash of the term and sorted
+by it, the rows themselves in folders by a hash of the id, and a line of statistics. Postings
+come in blocks, a term's rows of one batch as arrays side by side ``(ids, dl, tf, start, pos)``,
+so words that many rows share cost a few bytes a row, and only phrases read positions. Replaced or deleted rows get a tombstone; it counts for older segments
 only. Term counts are kept as changes: a segment adds its own, a tombstone takes away those of
 the rows it covers. So a search reads the folders of its words and nothing else, and statistics
 never read the corpus. A reader is pinned to the version that it opened.
@@ -11,8 +12,11 @@ never read the corpus. A reader is pinned to the version that it opened.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +28,14 @@ from tessera.operators.tables import BUCKET, Manifests, Version
 SALTS = 4
 #: Segments beyond which an update puts all of them together.
 MOST_SEGMENTS = 8
+#: What a search is bounded to: a condition on the scope columns, or a function that keeps rows by them (a semi-join, say).
+Scope = Column | Callable[[DataFrame], DataFrame] | None
+
+
+def _bounded(df: DataFrame, scope: Scope) -> DataFrame:
+    if scope is None:
+        return df
+    return df.where(scope) if isinstance(scope, Column) else scope(df)
 
 
 class LexicalIndex:
@@ -33,8 +45,9 @@ class LexicalIndex:
         self.spark, self.root, self.scope, self.buckets = spark, root.rstrip("/"), tuple(scope), buckets
         self.rows = spark.createDataFrame([], f"id {id_type}, text string" + (f", {columns}" if columns else ""))
         self.manifests = Manifests(spark, root)
-        kept = [f"{f.name} {f.dataType.simpleString()}" for f in self.rows.schema if f.name in self.scope]
-        self._postings = ", ".join(["term string", f"id {id_type}", "tf int", "dl int", "pos array<int>", *kept, f"{BUCKET} int"])
+        kept = [f"{f.name} array<{f.dataType.simpleString()}>" for f in self.rows.schema if f.name in self.scope]
+        self._blocks = ", ".join(["term string", f"ids array<{id_type}>", "dl array<int>", "tf array<int>", "start array<int>", "pos array<int>", *kept])
+        self._postings = f"{self._blocks}, {BUCKET} int"
         self._docs = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in self.rows.schema), "dl int", f"{BUCKET} int"])
 
     # --- building ---------------------------------------------------------------------------
@@ -46,15 +59,13 @@ class LexicalIndex:
         """Write the rows' postings, the rows and their term counts; the segment's line of the manifest."""
         name = f"segments/{uuid.uuid4().hex}"
         at = f"{self.root}/{name}"
-        docs = rows.select(self.rows.columns).withColumn("_tok", tokens(F.col("text"))).withColumn("dl", F.size("_tok"))
-        docs.drop("_tok").withColumn(BUCKET, self._bucket("id")).repartition(self.buckets, BUCKET).write.partitionBy(BUCKET).parquet(f"{at}/docs")
-        each = docs.select("id", "dl", *self.scope, F.posexplode("_tok").alias("pos", "term")).withColumn(BUCKET, self._bucket("term"))
-        salt = F.pmod(F.xxhash64("id"), F.lit(SALTS))
-        dealt = each.withColumn("_salt", salt).repartition(self.buckets * SALTS, BUCKET, "_salt")
-        post = dealt.groupBy(BUCKET, "_salt", "term", "id", "dl", *self.scope).agg(F.array_sort(F.collect_list("pos")).alias("pos"))
-        post = post.select("term", "id", F.size("pos").alias("tf"), "dl", "pos", *self.scope, BUCKET)
-        post.sortWithinPartitions(BUCKET, "term", "id").write.partitionBy(BUCKET).parquet(f"{at}/postings")
-        self._read_postings(name).groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{at}/terms")
+        docs = rows.select(self.rows.columns).withColumn("dl", F.size(tokens(F.col("text"))))
+        docs.withColumn(BUCKET, self._bucket("id")).repartition(self.buckets, BUCKET).write.partitionBy(BUCKET).parquet(f"{at}/docs")
+        read = self._read_docs(name).select("id", "dl", *self.scope, tokens(F.col("text")).alias("tok"))
+        salt = F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(SALTS))
+        post = read.mapInArrow(_inverted(self.scope), self._blocks).withColumn(BUCKET, self._bucket("term")).repartition(self.buckets * SALTS, BUCKET, salt)
+        post.sortWithinPartitions(BUCKET, "term").write.partitionBy(BUCKET).parquet(f"{at}/postings")
+        self._read_postings(name).groupBy("term").agg(F.sum(F.size("tf")).alias("df")).write.parquet(f"{at}/terms")
         total = self._read_docs(name).agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length")).first()
         return {"name": name, "docs": total.n, "length": total.length}
 
@@ -135,16 +146,16 @@ class LexicalIndex:
             parts.append(df.join(self.spark.read.parquet(*later).select("id"), "id", "left_anti") if later else df)
         return reduce(DataFrame.unionByName, parts) if parts else None
 
-    def documents(self, version: Version | None = None, where: Column | None = None) -> DataFrame:
+    def documents(self, version: Version | None = None, where: Scope = None) -> DataFrame:
         """The stored rows, with their number of tokens ``dl``."""
+
         def read(name: str) -> DataFrame:
-            df = self._read_docs(name)
-            return df if where is None else df.where(where)
+            return _bounded(self._read_docs(name), where)
 
         df = self._alive(version or self.manifests.current(), read)
         return self.spark.createDataFrame([], self._docs).drop(BUCKET) if df is None else df.drop(BUCKET)
 
-    def totals(self, version: Version | None = None, scope: Column | None = None) -> tuple[int, int]:
+    def totals(self, version: Version | None = None, scope: Scope = None) -> tuple[int, int]:
         """(rows, tokens), from the manifest alone; of a scope from the rows' lengths."""
         v = version or self.manifests.current()
         if scope is not None:
@@ -175,24 +186,26 @@ class LexicalIndex:
 
     # --- searching --------------------------------------------------------------------------
 
-    def _matching(self, version: Version, words: list[str], prefixes: list[str], scope: Column | None) -> DataFrame | None:
-        """Postings of words (their folders only) and of prefixes (their ranges of each folder)."""
+    def _matching(self, version: Version, words: list[str], prefixes: list[str], scope: Scope, places: bool = False) -> DataFrame | None:
+        """Postings of words (their folders only) and of prefixes (their ranges of each folder), a row each; with ``pos`` on demand."""
         folders = sorted({r.b for r in self.spark.createDataFrame([(w,) for w in words], "term string").select(self._bucket("term").alias("b")).collect()}) if words else []
 
         def read(name: str) -> DataFrame:
             post = self._read_postings(name)
-            post = post if scope is None else post.where(scope)
             some = [post.where(F.col(BUCKET).isin(*folders) & F.col("term").isin(*words))] if words else []
             for k, p in enumerate(prefixes):
                 more = post.where(F.startswith("term", F.lit(p)))
                 for q in prefixes[:k]:
                     more = more.where(~F.startswith("term", F.lit(q)))
                 some.append(more.where(~F.col("term").isin(*words)) if words else more)
-            return reduce(DataFrame.unionByName, some).drop(BUCKET)
+            side = F.explode(F.arrays_zip("ids", "dl", "tf", "start", *self.scope)).alias("p")
+            each = reduce(DataFrame.unionByName, some).select("term", side, *(["pos"] if places else []))
+            own = [F.slice("pos", F.col("p.start") + 1, F.col("p.tf")).alias("pos")] if places else []
+            return _bounded(each.select("term", F.col("p.ids").alias("id"), "p.dl", "p.tf", *[f"p.{c}" for c in self.scope], *own), scope)
 
         return self._alive(version, read)
 
-    def search(self, query: Query, scope: Column | None = None, version: Version | None = None) -> DataFrame:
+    def search(self, query: Query, scope: Scope = None, version: Version | None = None) -> DataFrame:
         """(id, scope columns, score) of rows that satisfy the query, by BM25 over the rows of the scope.
 
         The same scores as ``lexical.matches`` over the stored rows. Nothing indexed, or no
@@ -202,7 +215,7 @@ class LexicalIndex:
         every = list(dict.fromkeys([*query.atoms, *query.without]))
         words = sorted({w for a in every for w in (a.words[:-1] if a.prefix else a.words)})
         prefixes = sorted({a.words[-1] for a in every if a.prefix})
-        post = self._matching(v, words, prefixes, scope) if query.atoms else None
+        post = self._matching(v, words, prefixes, scope, any(len(a.words) > 1 for a in every)) if query.atoms else None
         if post is None:
             return self.rows.select("id", *self.scope).withColumn("score", F.lit(0.0))
         name = {a: f"_tf{k}" for k, a in enumerate(every)}
@@ -232,6 +245,41 @@ class LexicalIndex:
         return hits.join(self.documents(v, F.col(BUCKET).isin(touched)).drop("dl", *self.scope), "id")
 
 
+def _inverted(scope: tuple[str, ...]):
+    """Batches of rows with their tokens as blocks of postings: tokens sorted by term, then row, then place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("tok")
+            size = np.asarray(lists.value_lengths().fill_null(0), np.int64)
+            flat = lists.flatten()
+            if not len(flat):
+                continue
+            coded = flat.dictionary_encode()
+            row = np.repeat(np.arange(len(batch)), size)
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+            code = np.asarray(coded.indices)
+            order = np.argsort(code, kind="stable")
+            code, row, place = code[order], row[order], place[order].astype(np.int32)
+            first = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (np.diff(row, prepend=-1) != 0))  # of each posting
+            tf = np.diff(first, append=len(code)).astype(np.int32)
+            head = np.flatnonzero(np.diff(code[first], prepend=-1))  # of each term, among postings
+            many = np.diff(head, append=len(first))
+            start = (first - np.repeat(first[head], many)).astype(np.int32)
+            lines = pa.array(np.append(head, len(first)), pa.int32())
+            at = pa.array(row[first])
+
+            def block(values: pa.Array, offsets: pa.Array = lines) -> pa.Array:
+                return pa.ListArray.from_arrays(offsets, values)
+
+            pos = block(pa.array(place), pa.array(np.append(first[head], len(code)), pa.int32()))
+            cols = [coded.dictionary.take(pa.array(code[first][head])), block(batch.column("id").take(at)), block(batch.column("dl").take(at)), block(pa.array(tf)), block(pa.array(start)), pos]
+            cols += [block(batch.column(c).take(at)) for c in scope]
+            yield pa.RecordBatch.from_arrays(cols, names=["term", "ids", "dl", "tf", "start", "pos", *scope])
+
+    return run
+
+
 def _frequency(a: Atom) -> Column:
     """How often the atom stands in a row, from the row's postings."""
     last = F.startswith("term", F.lit(a.words[-1])) if a.prefix else F.col("term") == a.words[-1]

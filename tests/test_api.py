@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from tessera.api import SCHEMAS, Engine
 from tessera.operators import docplan as P
+from tessera.operators import lexical
 from tessera.operators import vector as V
+from tessera.operators.workspace import Workspace
 from tests.test_graph import small
 
 
@@ -50,7 +52,73 @@ def test_search_code(engine):
     assert engine.search_code_semantic("func RetryJob() {", top=2).first().path == "worker.go"
 
 
+def test_stored_forms_answer_alike(engine, spark, tmp_path):
+    asked = [("PAY-1842", {}), ("checkout", {}), ("checkout", {"scope": "sources"}), ("checkout", {"scope": "repos", "namespace": "ops"}), ("checkout", {"key": "beta/web"}), ("nowhere", {})]
+    before = [[r.asDict() for r in engine.search_docs(q, "lexical", **o).collect()] for q, o in asked]
+    code = {q: (sorted(r.id for r in engine.search_code(q)[0].collect()), engine.search_code(q)[1]) for q in ("retry*", '"failed request"')}
+    told, path = engine.query_graph("which ledger takes entries"), engine.shortest_path("Ledger", "Currency")
+    engine.build_index("chunks", str(tmp_path / "chunks"), 4)
+    engine.build_index("code", str(tmp_path / "code"), 4)
+    engine.build_graph("acme/payments", str(tmp_path / "graph"), 4)
+    assert [[r.asDict() for r in engine.search_docs(q, "lexical", **o).collect()] for q, o in asked] == before
+    assert {q: (sorted(r.id for r in engine.search_code(q)[0].collect()), engine.search_code(q)[1]) for q in code} == code
+    assert engine.search_code('"failed request"')[0].first().line == 11
+    assert engine.query_graph("which ledger takes entries") == told and engine.shortest_path("Ledger", "Currency") == path
+    new = engine.table("chunks").where("repo = 'beta/web'").withColumn("excerpt", F.lit("entirely new words"))
+    engine.put_rows("chunks", new)
+    assert [r.path for r in engine.search_docs("entirely", "lexical").collect()] == ["x.md"]
+    engine.remove_repo("beta/web")
+    assert engine.search_docs("entirely", "lexical").count() == 0 and engine.search_code("retry*")[1] == 2
+    with pytest.raises(ValueError):
+        engine.search_docs("checkout", "lexical", key="none").collect()
+
+
+def test_refresh_repo(engine, spark, tmp_path):
+    (tmp_path / "files").mkdir()
+    (tmp_path / "files" / "a.py").write_text("def settle(): pass\n")
+    with pytest.raises(ValueError):
+        engine.refresh_repo("beta/web", str(tmp_path / "files"))
+    engine.workspace = Workspace(spark, str(tmp_path / "ws"), buckets=2)
+    assert engine.refresh_repo("beta/web", str(tmp_path / "files")) == {"code_text": "done", "docs_text": "done"}
+    assert engine.repo_status("beta/web").first().status == "ready"
+    assert [r.path for r in engine.workspace.text["code"].search(lexical.parse("settle")).collect()] == ["a.py"]
+    assert engine.refresh_repo("beta/web", str(tmp_path / "nowhere"))["code_text"] == "error"
+    assert engine.repo_status("beta/web").first().status == "error"
+    engine.remove_repo("beta/web")
+    assert engine.workspace.text["code"].documents().count() == 0
+
+
+def test_documentation_asks_for_what_changed(spark, tmp_path):
+    prompts = []
+
+    def model(prompt):
+        prompts.append(prompt)
+        if "Per-file summaries" in prompt:
+            return f"text of {prompt.count('## ')} files"
+        return "\n".join(f"## {line[3:]}\nabout {line[3:]}" for line in prompt.split("\n") if line.startswith("## ") and "broken" not in line)
+
+    docs = P.Documentation(spark, str(tmp_path / "d"), model, 2)
+    rows = [("a.py", "alpha"), ("b.py", "beta"), ("broken.py", "x")]
+    files = lambda some: spark.createDataFrame(some, "path string, text string")
+    com = spark.createDataFrame([], "source_file string, community int")
+    got = docs.generate("r", files(rows), com, "Write.", overview="three nodes")
+    assert got == {"reused": 0, "summarised": 2, "failed": 1, "written": 1, "markdown": "text of 2 files\n"}
+    assert "three nodes" in prompts[-1] and "about a.py" in prompts[-1] and prompts[-1].startswith("Write.")
+    again = docs.generate("r", files(rows), com, "Write.")
+    assert again == {"reused": 2, "summarised": 0, "failed": 1, "written": 0, "markdown": "text of 2 files\n"}
+    assert docs.generate("r", files(rows), com, "Write more.")["written"] == 1
+    fewer = docs.generate("r", files([("a.py", "changed")]), com, "Write more.")
+    assert (fewer["summarised"], fewer["reused"], fewer["markdown"]) == (1, 0, "text of 1 files\n")
+    assert docs.generate("r", files([("a.py", "changed")]), com, "Write more.", force=True)["summarised"] == 1
+    with pytest.raises(ValueError):
+        docs.generate("empty", files([]), com, "Write.")
+    long = spark.createDataFrame([("a", "é" * 3000), ("b", "short")], "path string, summary string")
+    cut = P.joined_summaries(long, 1000)
+    assert cut.endswith("## b\nshort") and len(cut.encode()) <= 1000 and "\ufffd" not in cut
+
+
 def test_graph_questions(engine):
+    assert engine.ambiguity("p").startswith("'p' may mean 4 nodes; 'p1'") and engine.ambiguity("p2") == ""
     assert "NODE Ledger" in engine.query_graph("which ledger takes entries")
     assert engine.query_graph("zzzz") == "no matching nodes"
     assert engine.get_node("postEntry").first().degree == 3
@@ -69,6 +137,7 @@ def test_catalog_commands(engine, spark):
     assert [r.id for r in engine.list_repos(namespace="ops")[0].collect()] == ["acme/payments"]
     engine.set_repo_namespace("beta/web", "ops")
     engine.set_namespace_description("ops", "Operations")
+    engine.set_namespace_description("ops")  # None keeps what is stored
     assert [tuple(r) for r in engine.list_namespaces().collect()] == [("ops", 2, "Operations")]
     engine.delete_namespace("ops")
     assert engine.repo_status("web").first().id == "beta/web"
