@@ -92,7 +92,7 @@ def joined_summaries(summaries: DataFrame, budget: int) -> str:
     if size + max(0, n - 1) * len(SUMMARY_RULE) > budget:
         share = max(SUMMARY_LEAST, budget // n)
         # a character that the cut splits goes
-        cut = F.regexp_replace(F.decode(F.substring(F.col("part").cast("binary"), 1, share), "UTF-8"), "\ufffd$", "")
+        cut = F.regexp_replace(F.make_valid_utf8(F.substring(F.col("part").cast("binary"), 1, share).cast("string")), "\ufffd+$", "")
         each = each.select("path", F.when(F.octet_length("part") <= share, F.col("part")).otherwise(cut).alias("part"))
     return SUMMARY_RULE.join(r.part for r in each.orderBy("path").collect())
 

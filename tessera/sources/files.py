@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import markdown
@@ -15,6 +15,11 @@ _GRAPH = """struct<
  edges: array<struct<source string, target string, relation string, confidence string, context string>>>"""
 
 
+def _text(content: str) -> Column:
+    """Bytes as UTF-8; what is none becomes replacement characters instead of stopping the job."""
+    return F.make_valid_utf8(F.col(content).cast("string"))
+
+
 def graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a graph file: ``links``, or the older ``edges`` where there are none.
 
@@ -23,7 +28,7 @@ def graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """
     if not path.endswith(".json"):
         raise ValueError("a graph file must end in .json")
-    file = spark.read.format("binaryFile").load(path).select("length", F.from_json(F.decode("content", "UTF-8"), _GRAPH).alias("g"), F.decode("content", "UTF-8").alias("raw"))
+    file = spark.read.format("binaryFile").load(path).select("length", F.from_json(_text("content"), _GRAPH).alias("g"), _text("content").alias("raw"))
     if not file.where(F.col("length") > GRAPH_MOST_BYTES).isEmpty():
         raise ValueError("the graph file is too large")
     nodes = file.select(F.posexplode("g.nodes").alias("ord", "n")).select(F.col("ord").cast("long"), "n.*").where("id is not null and id <> ''")
@@ -36,7 +41,7 @@ def graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def graph_faults(spark: SparkSession, path: str) -> list[str]:
     """What is wrong with a graph file; an empty graph is sound."""
-    raw = spark.read.format("binaryFile").load(path).select(F.decode("content", "UTF-8").alias("raw"))
+    raw = spark.read.format("binaryFile").load(path).select(_text("content").alias("raw"))
     row = raw.select(F.get_json_object("raw", "$").isNull().alias("bad"), F.get_json_object("raw", "$.nodes").alias("n"), F.get_json_object("raw", "$.links").alias("l"), F.get_json_object("raw", "$.edges").alias("e"), F.from_json("raw", _GRAPH).alias("g"))
     r = row.first()
     out = []
@@ -101,7 +106,7 @@ def markdown_documents(spark: SparkSession, root: str, manifest: str | None = No
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(root)
     base = root.rstrip("/") + "/"
     path = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + _literal(base.replace("file://", "")), "")
-    docs = f.select(path.alias("path"), F.decode("content", "UTF-8").alias("text"))
+    docs = f.select(path.alias("path"), _text("content").alias("text"))
     if only is not None:
         docs = docs.join(only.select("path").distinct(), "path", "left_semi")
     if manifest:
@@ -137,7 +142,7 @@ def code_documents(spark: SparkSession, root: str, include: list[str] = (), incl
         return spark.createDataFrame([], "path string, content string")
     f = spark.read.format("binaryFile").load([_glob_literal(x) for x in found])
     path = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + _literal(base.replace("file://", "") + "/"), "")
-    return f.where(~F.contains("content", F.lit(b"\x00"))).select(path.alias("path"), F.decode("content", "UTF-8").alias("content"))
+    return f.where(~F.contains("content", F.lit(b"\x00"))).select(path.alias("path"), _text("content").alias("content"))
 
 
 def _glob_literal(path: str) -> str:

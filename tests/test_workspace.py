@@ -17,6 +17,7 @@ def repo(spark, tmp_path):
     (folder / "src" / "ledger.py").write_text("def post_entry(amount):\n    return amount\n")
     (folder / "src" / "money.py").write_text("class Currency:\n    symbol = 'x'\n")
     (folder / "src" / "blob.py").write_bytes(b"\x00\x01binary")
+    (folder / "src" / "old.py").write_bytes("# Gr\xf6\xdfe of an amount\n".encode("latin-1"))
     (folder / "notes.txt").write_text("post_entry is not code here")
     (folder / "guide.md").write_text("# Guide\n\nHow a gateway posts an entry.\n")
     ws = Workspace(spark, str(tmp_path / "ws"), embedder, 3, buckets=4)
@@ -31,13 +32,14 @@ def found(ws, kind, words):
 def test_indexes_follow_the_files(repo):
     ws, folder = repo
     assert ws.refresh("team/ledger") == {"code_text": "done", "code_vectors": "done", "docs_text": "done", "docs_vectors": "done"}
-    assert found(ws, "code", "amount") == {"src/ledger.py"} and found(ws, "docs", "gateway") == {"guide.md"}
+    assert found(ws, "code", "amount") == {"src/ledger.py", "src/old.py"} and found(ws, "docs", "gateway") == {"guide.md"}
     assert found(ws, "code", "binary") == set()
     before = ws.vectors["code"].version().number
     assert ws.update_text("code", "team/ledger") == 0 and ws.update_vectors("code", "team/ledger") == 0
     assert ws.vectors["code"].version().number == before  # nothing changed, nothing written
     (folder / "src" / "ledger.py").write_text("def post_entry(total):\n    return total\n")
     (folder / "src" / "money.py").unlink()
+    (folder / "src" / "old.py").unlink()
     (folder / "src" / "rate.py").write_text("rate = 'amount'\n")
     assert set(ws.refresh("team/ledger").values()) == {"done"}
     assert found(ws, "code", "amount") == {"src/rate.py"} and found(ws, "code", "total") == {"src/ledger.py"} and found(ws, "code", "Currency") == set()
@@ -57,7 +59,7 @@ def test_a_run_that_stopped_before_the_hashes_leaves_nothing_stale(repo, monkeyp
     monkeypatch.setattr(type(ws.files["code"]), "merge", merge)
     (folder / "src" / "ledger.py").write_text("x = 1\n")
     ws.update_text("code", "team/ledger")
-    assert found(ws, "code", "amount") == set() and found(ws, "code", "x") == {"src/ledger.py", "src/money.py"}
+    assert found(ws, "code", "amount") == {"src/old.py"} and found(ws, "code", "x") == {"src/ledger.py", "src/money.py"}
 
 
 @pytest.mark.parametrize("stop", range(4))
