@@ -165,7 +165,18 @@ def enrich_hits(spark, folder):
     return catalog.enrich(top, (c, ["c_custkey"]), (n, ["n_nationkey"]), (read(spark, folder, "region"), ["r_regionkey"])).select("o_orderkey", "c_name", "n_name", "r_name")
 
 
-@query()
+@query("""
+WITH RECURSIVE l AS (SELECT 'supplier' || (l_suppkey % 7) AS repo, 'f' || (l_partkey % 5) AS path, CAST(l_orderkey % 300 AS INT) AS a, CAST(l_orderkey % 300 AS INT) + CAST(l_quantity AS INT) AS b, l_extendedprice, l_orderkey, l_linenumber, CAST(l_quantity AS INT) AS n FROM lineitem),
+h AS MATERIALIZED (SELECT repo, path, a, b, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, repo, path, n) - 1 AS rank FROM l QUALIFY rank < 400),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS nth, list_slice([{'repo': '', 'path': '', 'a': 0, 'b': 0, 'rank': CAST(0 AS BIGINT)}], 1, 0) AS kept
+  UNION ALL
+  SELECT nth + 1, CASE WHEN len([x for x in kept if x.repo = h.repo AND x.path = h.path AND least(x.b, h.b) >= greatest(x.a, h.a)
+      AND (least(x.b, h.b) - greatest(x.a, h.a) + 1) * 2 >= least(x.b - x.a + 1, h.b - h.a + 1)]) > 0 THEN kept
+    ELSE list_append(kept, {'repo': h.repo, 'path': h.path, 'a': h.a, 'b': h.b, 'rank': h.rank}) END
+  FROM walk JOIN h ON h.rank = nth),
+last AS (SELECT unnest(kept) AS x FROM walk WHERE nth = (SELECT max(nth) FROM walk))
+SELECT x.repo AS repo, x.path AS path, x.a AS start_line, x.b AS end_line, x.rank AS rank FROM last ORDER BY rank LIMIT 100""")
 def overlap_suppression(spark, folder):
     """Line ranges of the 400 best rows of lineitem, those that a better one covers left out."""
     rows = read(spark, folder, "lineitem").select(F.concat(F.lit("supplier"), F.col("l_suppkey") % 7).alias("repo"), F.concat(F.lit("f"), F.col("l_partkey") % 5).alias("path"), (F.col("l_orderkey") % 300).cast("int").alias("start_line"), F.col("l_quantity").cast("int").alias("len"), "l_extendedprice", "l_orderkey", "l_linenumber")
