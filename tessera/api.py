@@ -207,6 +207,21 @@ class Engine:
             rows = rows.where(F.col("title").ilike(f"%{catalog.like_literal(title)}%"))
         return catalog.page(rows, ["slug"], page, per_page)
 
+    def inspect_source(self, name: str, team: str = "", title: str = "", page: int = 1, per_page: int = 50) -> dict:
+        """A source, one page of what it holds, how much there is, and for an issue tracker its teams."""
+        source = self.table("sources").where(F.col("name") == name).first()
+        if source is None:
+            raise ValueError(f"unknown source: {name}")
+        per_page = min(200, per_page if per_page > 0 else 50)
+        rows, total, more = self.get_source(name, team, title, page, per_page)
+        own = self.table("pages").where(F.col("collection") == name)
+        teams = catalog.distinct_teams(own, "teams", "slug") if source.type == "jira" else None
+        return {"source": source.asDict(), "pages": rows, "total": total, "has_more": more, "teams": teams}
+
+    def active_repos(self) -> DataFrame:
+        """Repositories and sources with running tasks, the kinds of these, and their status."""
+        return catalog.active_repos(self.table("tasks"), self.table("repos"))
+
     # --- graph ------------------------------------------------------------------------------
 
     def _graph_name(self, repo: str, words: str = "") -> str:

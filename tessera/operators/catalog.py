@@ -152,3 +152,9 @@ def scope_keys(repos_: DataFrame, sources: DataFrame, scope: str, namespace: str
     """Keys that a search may see: of the namespace's repositories, and every web source with scope 'all'."""
     out = repos_.where(namespace_is(F.col("namespace"), namespace)).select("id")
     return out.unionByName(sources.select(F.concat(F.lit("web:"), "name").alias("id"))) if scope == "all" else out
+
+
+def active_repos(tasks: DataFrame, repos_: DataFrame) -> DataFrame:
+    """(id, running, status) of what has running tasks: their kinds in order, each once, and the repository's status if it is one."""
+    running = tasks.where("state = 'running'").groupBy(F.col("repo").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("running"))
+    return running.join(repos_.select("id", "status"), "id", "left").select("id", "running", "status").orderBy("id")

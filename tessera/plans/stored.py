@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import charset
-from tessera.operators import lexical, settings
+from tessera.operators import catalog, lexical, settings
 from tessera.operators.embeddings import EmbeddingCache
 from tessera.operators.postings import LexicalIndex
 from tessera.operators.tables import KeyedTable
@@ -173,3 +173,12 @@ def page_charsets(spark, folder):
     body = F.when(k == 0, F.encode("html", "UTF-16LE")).when((k == 1) & latin, F.encode("html", "ISO-8859-1")).when(k == 3, F.encode("html", "UTF-16")).otherwise(F.encode("html", "UTF-8"))
     text = charset.page_text(body, told)
     return p.select("page_id", text.alias("html")).select("page_id", F.left(F.sha2(F.col("html").cast("binary"), 256), F.lit(32)).alias("hash"), F.length("html").cast("long").alias("chars"))
+
+
+@query("""SELECT 'c' || o_custkey AS id, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS running, min(CASE WHEN c_acctbal > 0 THEN 'ready' WHEN c_acctbal <= 0 THEN 'error' END) AS status
+FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'O' GROUP BY o_custkey""")
+def active_repos(spark, folder):
+    """Customers with open orders stand for repositories with running tasks, priorities for the tasks' kinds."""
+    tasks = read(spark, folder, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("repo"), F.col("o_orderpriority").alias("kind"), F.when(F.col("o_orderstatus") == "O", "running").otherwise("done").alias("state"))
+    repos = read(spark, folder, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.when(F.col("c_acctbal") > 0, "ready").otherwise("error").alias("status"))
+    return catalog.active_repos(tasks, repos)

@@ -145,6 +145,12 @@ def test_catalog_commands(engine, spark):
     assert engine.get_source("jira", team=" OPS ")[1] == 1 and engine.get_source("jira", title="nope")[1] == 0
     pages = spark.createDataFrame([("http://h/pay-1842", "P", ["Ops"], "h1"), ("http://h/new", "N", None, "h2")], "url string, title string, teams array<string>, hash string")
     assert engine.register_pages("jira", pages) == {"unchanged": 1, "added": 1}
+    seen = engine.inspect_source("jira", per_page=1)
+    assert (seen["total"], seen["has_more"], seen["pages"].count(), seen["source"]["type"]) == (2, True, 1, "jira") and [r.team for r in seen["teams"].collect()] == ["Ops"]
+    with pytest.raises(ValueError):
+        engine.inspect_source("nothing")
+    engine.tables["tasks"] = spark.createDataFrame([(1, "beta/web", "docs", "running", None), (2, "beta/web", "code", "running", None), (3, "web:jira", "sync", "running", None), (4, "acme/payments", "docs", "queued", None)], SCHEMAS["tasks"])
+    assert [tuple(r) for r in engine.active_repos().collect()] == [("beta/web", "code,docs", "pending"), ("web:jira", "sync", None)]
     gone = engine.refresh_source("jira", pages.where("title = 'N'"), complete=True)
     assert gone.count() == 1 and engine.get_source("jira")[1] == 1
     engine.delete_source("jira")
