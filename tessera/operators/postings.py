@@ -105,12 +105,12 @@ class LexicalIndex:
         touched = [r[0] for r in ids.select(self._bucket("id")).distinct().collect()]  # at most ``buckets``
         found = self.documents(version, F.col(BUCKET).isin(touched)).join(ids, "id", "left_semi")
         name = f"tombs/{uuid.uuid4().hex}"
-        found.select("id", "dl", "text").write.parquet(f"{self.root}/{name}/ids")
+        found.select("id", "dl").write.parquet(f"{self.root}/{name}/ids")
         old = self.spark.read.parquet(f"{self.root}/{name}/ids")
         total = old.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length")).first()
         if not total.n:
             return None
-        less = old.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).groupBy("term").agg((-F.count("*")).alias("df"))
+        less = found.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).groupBy("term").agg((-F.count("*")).alias("df"))
         less.write.parquet(f"{self.root}/{name}/terms")
         return {"name": name, "docs": total.n, "length": total.length}
 

@@ -17,7 +17,9 @@ from tessera.plans.catalogue import _CHAT, _TOK, QUERIES, SQL, _documents, query
 from tessera.plans.star import built, read
 
 def _numbered(df: DataFrame, key: list[str]) -> DataFrame:
-    """An id of the key's columns; rows that repeat a key get a number behind it."""
+    """An id of the key's columns; where rows repeat a key, they get a number behind it. Texts are dealt out only then."""
+    if df.groupBy(*key).count().where("count > 1").isEmpty():
+        return df.withColumn("id", F.concat_ws(":", *key))
     nth = F.row_number().over(Window.partitionBy(*key).orderBy("text"))
     return df.withColumn("_n", nth).withColumn("id", F.concat_ws(":", *key, F.when(F.col("_n") > 1, F.col("_n")))).drop("_n")
 
