@@ -171,8 +171,8 @@ def frequent_terms(chunks: DataFrame, order: list[str], text: str = "text") -> D
     total = chunks.count()
     stride = max(1, total // FREQUENT_SAMPLE)
     sampled = -(-total // stride)
-    df = chunks.select(*order, text)
-    rows = numbered(df, order, "_n") if stride > 1 else df.withColumn("_n", F.lit(0))
+    df = chunks.select(*dict.fromkeys([*order, text]))  # the text may be part of the order
+    rows = numbered(df, [F.col(c).asc_nulls_last() for c in order], "_n") if stride > 1 else df.withColumn("_n", F.lit(0))
     words = rows.where(F.col("_n") % stride == 0).select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
     need = max(1, int(FREQUENT_RATIO * sampled))
     return words.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= need).orderBy(F.desc("df"), "term").limit(FREQUENT_CAP)

@@ -74,6 +74,15 @@ def test_stride_takes_every_kth_row(spark):
     assert got == {"t0": 2001}  # a stride of 3 from row 0
 
 
+def test_frequent_terms_in_an_order_that_ends_with_the_text(spark):
+    rows = [(k // 2, None if k % 4 == 3 else f"t{k % 2} all") for k in range(6001)]
+    many = spark.createDataFrame(rows, "i int, text string").repartition(7)
+    by_number = sorted(rows, key=lambda r: (r[0], r[1] is None, r[1]))[::3]  # rows without text come last
+    want = {w: sum(r[1] is not None and w in r[1].split() for r in by_number) for w in ("t0", "t1", "all")}
+    got = {r.term: r.df for r in L.frequent_terms(many, ["i", "text"]).collect()}
+    assert got == {w: n for w, n in want.items() if n >= 700}
+
+
 def test_matching_line(spark):
     df = spark.createDataFrame([("one\nretry here\nretry request", 10), ("none\nat all", 5), (None, 1), ("", 3)], "t string, s int")
     assert [r.x for r in df.select(L.matching_line(F.col("t"), ["retry", "request"], F.col("s")).alias("x")).collect()] == [12, 5, 1, 3]
