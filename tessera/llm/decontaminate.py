@@ -1,9 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Document frequencies of hashed words over all passages of the corpus.
-2. A randomised singular value decomposition of TF-IDF passages (a bounded sample of texts,
-   and the benchmark): tasks multiply their rows with the current basis and send the product
-   back in slices, the driver holds only basis-sized matrices.
+2. A randomised singular value decomposition of the TF-IDF passages of all texts and of the
+   benchmark: tasks multiply their rows with the current basis and send the product back in
+   slices, the driver holds only basis-sized matrices.
 3. Every text's windows are projected and whitened; windows whose cosine with an item reaches
    a threshold are candidates. So are, whatever their cosine, windows that hold enough of the
    item's rarest words: no window that passes the check of its words can hold fewer. Bit maps
@@ -26,10 +26,11 @@ from pyspark.sql import functions as F
 
 from . import store
 from . import text as T
-from .common import arrow_map, dropped, sample, saved, shared_dir
+from .common import arrow_map, sample, shared_dir
 from .shingles import _shingles
 
 FEATURES, RANK, EXTRA = 1 << 16, 96, 8
+SIGNS = 4  # entries of a word's row in the random basis
 PASSAGE, STEP = 32, 8  # words of a passage for the statistics; words between windows
 WINDOWS = (3, 5, 9)  # steps in a window; an item is sought in the first that holds it
 LONG = (WINDOWS[-1] - 1) * STEP  # longer items are sought whole, in windows of their own size
@@ -98,15 +99,13 @@ def _frequency_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     yield _slices(df)
 
 
-def _passages(at: np.ndarray, h: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(feature, passage, weight) of each word, rows of unit length; a word that repeats adds up."""
-    head, _ = _steps(at, PASSAGE)
-    of = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(h))))
-    cell, inv, tf = np.unique(of * FEATURES + _feature(h), return_inverse=True, return_counts=True)
-    feat, row = cell % FEATURES, cell // FEATURES
-    w = tf * idf[feat]
-    norm = np.sqrt(np.bincount(row, w * w, len(head)))
-    return feat, row, (w / np.maximum(norm[row], 1e-12)).astype(np.float32)
+def _norms(head: np.ndarray, feat: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Length of each passage's vector; a word that repeats adds up."""
+    of = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(feat))))
+    cell = np.sort(of * FEATURES + feat)
+    first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+    w = np.diff(np.append(first, len(cell))) * idf[cell[first] % FEATURES]
+    return np.sqrt(np.bincount(cell[first] // FEATURES, w * w, len(head)))
 
 
 def _table(uri: str, columns: int) -> np.ndarray:
@@ -114,51 +113,111 @@ def _table(uri: str, columns: int) -> np.ndarray:
     return store.mapped(uri).view("<f4").reshape(FEATURES, columns)
 
 
-def _multiply_batches(idf_file: str, basis_file: str):
-    """A-transposed times A times the basis, over a task's passages A."""
+def _products(column: pa.Array, idf: np.ndarray, weighted: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows of A times the basis, A being unit passages; ``weighted``: the basis, its rows times the words' weights."""
+    for _, at, h in T.row_words(column, 1 << 17):
+        head, _ = _steps(at, PASSAGE)
+        feat = _feature(h)
+        norm = np.maximum(_norms(head, feat, idf), 1e-12).astype(np.float32)
+        yield np.add.reduceat(weighted[feat], head) / norm[:, None]
+
+
+def _sketch(seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """A random basis with ``SIGNS`` entries of 1 or -1 in each word's row: their columns, the entries."""
+    rng = np.random.default_rng(seed)
+    return rng.integers(0, RANK + EXTRA, (SIGNS, FEATURES)), rng.choice([-1.0, 1.0], (SIGNS, FEATURES))
+
+
+def _multiply_batches(idf_file: str, seed: int):
+    """A-transposed times A times the random basis, over a task's passages A: the rows of words that it met, in slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, basis = _table(idf_file, 1).ravel(), _table(basis_file, RANK + EXTRA)
-        out = np.zeros(basis.shape, np.float32)
+        idf, (column, sign), width = _table(idf_file, 1).ravel(), _sketch(seed), RANK + EXTRA
+        sign *= idf
+        out, met = np.zeros((FEATURES, width), np.float32), np.zeros(FEATURES, bool)
         for batch in batches:
             for _, at, h in T.row_words(batch.column("text"), 1 << 19):
-                feat, row, w = _passages(at, h, idf)
-                y = np.add.reduceat(basis[feat] * w[:, None], np.flatnonzero(np.append(True, row[1:] != row[:-1])))
-                order = np.argsort(feat, kind="stable")
-                f = feat[order]
-                head = np.flatnonzero(np.append(True, f[1:] != f[:-1]))
-                out[f[head]] += np.add.reduceat(y[row[order]] * w[order][:, None], head)
+                head, _ = _steps(at, PASSAGE)
+                feat = _feature(h)
+                of = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(feat))))
+                y = sum(np.bincount(of * width + c[feat], s[feat], len(head) * width) for c, s in zip(column, sign, strict=True)).reshape(-1, width)
+                y = (y / np.maximum(_norms(head, feat, idf), 1e-12)[:, None] ** 2).astype(np.float32)
+                order = np.argsort(feat.astype(np.uint16), kind="stable")
+                f, of = feat[order], of[order]
+                for a in range(0, len(f), 1 << 11):  # some words at a time stay in the cache
+                    own = f[a : a + (1 << 11)]
+                    first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                    out[own[first]] += np.add.reduceat(y[of[a : a + (1 << 11)]], first)
+                met[f] = True
+        for part, rows in enumerate(np.array_split(np.arange(FEATURES), SLICES)):
+            rows = rows[met[rows]]
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([rows.astype("<i4").tobytes()], pa.binary()), pa.array([(out[rows] * idf[rows, None]).astype("<f4").tobytes()], pa.binary())], names=["part", "rows", "blob"])
+
+    return run
+
+
+def _gram_batches(idf_file: str, basis_file: str):
+    """The square of A times the basis, over a task's passages A."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, weighted = _table(idf_file, 1).ravel(), _table(basis_file, RANK + EXTRA)
+        out = np.zeros((RANK + EXTRA, RANK + EXTRA))
+        for batch in batches:
+            for y in _products(batch.column("text"), idf, weighted):
+                out += y.T @ y
         yield _slices(out)
 
     return run
 
 
-def fit(docs: DataFrame, benchmark: DataFrame, max_texts: int = 6000, seed: int = 0) -> tuple[str, str]:
+def _rows_total(sent: DataFrame, columns: int) -> np.ndarray:
+    """Sum of the rows that tasks sent in slices."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        parts = np.array_split(np.arange(FEATURES), SLICES)
+        for batch in batches:
+            for p, rows, b in zip(batch.column("part").to_pylist(), batch.column("rows"), batch.column("blob"), strict=True):
+                own = sums.setdefault(p, np.zeros((len(parts[p]), columns), np.float32))
+                own[np.frombuffer(rows.as_buffer(), "<i4") - parts[p][0]] += np.frombuffer(b.as_buffer(), "<f4").reshape(-1, columns)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["part", "blob"])
+
+    out = np.zeros((FEATURES, columns), np.float32)
+    slices = np.array_split(out, SLICES)  # views
+    for r in arrow_map(sent.repartition(SLICES, "part"), add, "part int, blob binary").collect():
+        slices[r.part][:] = np.frombuffer(r.blob, "<f4").reshape(-1, columns)
+    return out
+
+
+def fit(docs: DataFrame, benchmark: DataFrame, max_texts: int | None = None, seed: int = 0) -> tuple[str, str]:
     """Files of the word table (FEATURES, RANK) and of the words' weights: a window's latent vector is the sum of its words' rows.
 
-    Frequencies are of all texts; the decomposition is of the passages of at most
-    ``max_texts`` texts (by hashed id) and of all benchmark items, two power iterations.
+    Frequencies are of all texts, and the decomposition is of the passages of all texts and
+    benchmark items: their product with a random basis, then the square of their product with
+    what that spans. A caller may bound it to ``max_texts`` texts (by hashed id). Tasks are as
+    many as cores, since each sends the rows of the words that it met.
     """
+    spark = docs.sparkSession
     text = docs.select(F.col("text").cast("string"))
     df = _total(arrow_map(text, _frequency_batches, "part int, blob binary"), "<i8", (FEATURES + 1,))
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1e-3
-    ids = sample(docs.select("doc_id"), "doc_id", max_texts).distinct()
-    some = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(ids), "doc_id").select("text")
-    some = saved(some.unionByName(benchmark.select(F.col("text").cast("string"))).repartition(max(2, -(-max_texts // 4000))), "passages")
-    folder = shared_dir(docs.sparkSession, "latent")
+    some = text
+    if max_texts is not None:
+        ids = sample(docs.select("doc_id"), "doc_id", max_texts).distinct()
+        some = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(ids), "doc_id").select("text")
+    some = some.unionByName(benchmark.select(F.col("text").cast("string"))).coalesce(max(2, spark.sparkContext.defaultParallelism))
+    folder = shared_dir(spark, "latent")
     idf_file = store.write(folder, "idf", idf.astype("<f4"))
-    basis = np.random.default_rng(seed).standard_normal((FEATURES, RANK + EXTRA), np.float32)
-    for nth in range(2):
-        y = _total(arrow_map(some, _multiply_batches(idf_file, store.write(folder, "basis", basis.astype("<f4"))), "part int, blob binary"), "<f4", basis.shape)
-        if nth:
-            gram = (basis.T @ y).astype(np.float64)
-            value, turn = np.linalg.eigh((gram + gram.T) / 2)
-            order = np.argsort(-value)[:RANK]
-            scale = 1 / np.sqrt(np.maximum(value[order], max(value.max() * 1e-6, 1e-12)))
-            basis = basis @ (turn[:, order] * scale).astype(np.float32)  # whitened
-        else:
-            basis = np.linalg.qr(y)[0]
-    dropped(some)
+
+    y = _rows_total(arrow_map(some, _multiply_batches(idf_file, seed), "part int, rows binary, blob binary"), RANK + EXTRA)
+    basis = np.linalg.qr(y)[0]
+    weighted = store.write(folder, "basis", (basis * idf[:, None]).astype("<f4"))
+    gram = _total(arrow_map(some, _gram_batches(idf_file, weighted), "part int, blob binary"), "<f8", (RANK + EXTRA, RANK + EXTRA))
+    value, turn = np.linalg.eigh((gram + gram.T) / 2)
+    order = np.argsort(-value)[:RANK]
+    scale = 1 / np.sqrt(np.maximum(value[order], max(value.max() * 1e-6, 1e-12)))
+    basis = basis @ (turn[:, order] * scale).astype(np.float32)  # whitened
     return store.write(folder, "table", (basis * idf[:, None]).astype("<f4")), idf_file
 
 
@@ -383,7 +442,7 @@ def _hits(h, at, table, groups, whole, rare, masks, ends, sizes, tails, cosine,
                     yield int(row[s]), k, got, float(v @ whole[k] / max(np.linalg.norm(v), 1e-12))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.4, share: float = 0.6, answer_share: float = 0.5, max_texts: int = 6000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.4, share: float = 0.6, answer_share: float = 0.5, max_texts: int | None = None) -> DataFrame:
     """Pairs (doc_id, item_id) of texts that hold an item or a paraphrase that keeps its words' order.
 
     ``common_words`` of ``item_words`` are the longest common subsequence in the best window,

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from tessera.llm import decontaminate as D
 
@@ -131,6 +132,40 @@ def test_tails_of_long_items(spark):
     assert all(r.cosine > 0.2 for r in found)
 
 
+def test_the_decomposition_sees_every_text(spark):
+    docs = spark.range(6200).selectExpr("id doc_id", "concat('alone', id, ' the of') text").repartition(4)
+    items = spark.createDataFrame([(1, "the of")], "item_id long, text string")
+    table, _ = D.fit(docs, items)
+    _, _, h = next(iter(D.T.row_words(pa.array([" ".join(f"alone{k}" for k in range(6200))]))))
+    assert (np.abs(D._table(table, D.RANK)[D._feature(h)]).max(1) > 0).all()
+
+
+def test_products_of_passages(spark):
+    rnd = random.Random(3)
+    texts = [" ".join(f"w{rnd.randint(0, 50)}" for _ in range(n)) for n in (0, 1, 31, 32, 33, 200)]
+    idf = np.random.default_rng(1).random(D.FEATURES).astype(np.float32)
+    a = []
+    for t in texts:
+        w = t.split()
+        for k in range(0, len(w), D.PASSAGE):
+            row = np.zeros(D.FEATURES)
+            _, _, h = next(iter(D.T.row_words(pa.array([" ".join(w[k : k + D.PASSAGE])]))))
+            np.add.at(row, D._feature(h), idf[D._feature(h)])
+            a.append(row / np.linalg.norm(row))
+    basis = np.random.default_rng(2).standard_normal((D.FEATURES, 5)).astype(np.float32)
+    got = np.concatenate(list(D._products(pa.array(texts), idf, basis * idf[:, None])))
+    assert np.allclose(got, np.stack(a) @ basis, atol=1e-4)
+    idf_file = D.store.write(D.shared_dir(spark, "latent"), "idf", idf.astype("<f4"))
+    sent = list(D._multiply_batches(idf_file, 0)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])))
+    full = np.zeros((D.FEATURES, D.RANK + D.EXTRA))
+    for b in sent:
+        full[np.frombuffer(b.column("rows")[0].as_py(), "<i4")] = np.frombuffer(b.column("blob")[0].as_py(), "<f4").reshape(-1, full.shape[1])
+    random_basis = np.zeros_like(full)
+    for c, x in zip(*D._sketch(0), strict=True):
+        np.add.at(random_basis, (np.arange(D.FEATURES), c), x)
+    assert np.allclose(full, np.stack(a).T @ (np.stack(a) @ random_basis), atol=1e-3)
+
+
 def test_empty_tables(spark):
     docs, items, _ = corpus()
     d = spark.createDataFrame(docs, "doc_id long, text string, item_id string")
