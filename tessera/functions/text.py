@@ -5,10 +5,12 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.batches import small_batches
+
 #: A token: letters and digits, joined by the characters that hold identifiers together.
 TOKEN = r"[\p{L}\p{N}]+(?:[._\-/+@][\p{L}\p{N}]+)*"
 
@@ -20,6 +22,7 @@ def tokens(text: Column) -> Column:
 
 def word_tokens(text: Column) -> Column:
     """ASCII word runs of the lower-cased text without combining marks, as labels are searched."""
+    small_batches(SparkSession.active())
     return F.regexp_extract_all(F.lower(strip_marks(text)), F.lit(r"\w+"), F.lit(0))
 
 

@@ -12,8 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes in one Arrow batch to Python, whichever comes first; one longer row is a batch of its own.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+from tessera.functions.batches import small_batches
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,16 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with small batches: the session's limits are lowered to ``BATCH_ROWS`` and ``BATCH_BYTES``.
+    """mapInArrow with batches of bounded rows and bytes.
 
     Spark reads both when it plans the query, so they are left as they are set here.
     """
-    conf = df.sparkSession.conf
-    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        key = f"spark.sql.execution.arrow.{key}"
-        now = conf.get(key).rstrip("b")
-        if not (now.isdigit() and 0 < int(now) <= most):
-            conf.set(key, str(most))
+    small_batches(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.batches import small_batches
 from tessera.functions.markdown import SUMMARY_LEAST, SUMMARY_RULE, summary_sections
 from tessera.functions.text import content_hash
 from tessera.operators.catalog import pack
@@ -66,6 +67,7 @@ def prompts(files: DataFrame, group_budget: int) -> DataFrame:
 
 def summarise(prompted: DataFrame, model: Callable[[str], str]) -> DataFrame:
     """(path, summary) from the model's answers, cut at the headings that name the files; a group that fails has its error."""
+    small_batches(prompted.sparkSession)
 
     @F.pandas_udf("array<struct<path string, summary string, error string>>")
     def ask(prompt: pd.Series, paths: pd.Series) -> pd.Series:
@@ -156,6 +158,7 @@ def enrich_images(pages: DataFrame, images: DataFrame, known: DataFrame, describ
     out = each.join(cached, "hash", "left")
     if describe is None:
         return out.select("hash", "description")
+    small_batches(pages.sparkSession)
 
     @F.pandas_udf("string")
     def ask(content: pd.Series) -> pd.Series:

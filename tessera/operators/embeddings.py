@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.batches import small_batches
 from tessera.functions.text import content_hash
 from tessera.operators.order import saved
 from tessera.operators.tables import KeyedTable
@@ -74,4 +75,5 @@ def _sent(texts: DataFrame, embedder, size: int, batch: int) -> DataFrame:
                     out += map(one, some)
             yield pd.DataFrame({"hash": frame["hash"], "vector": [v for v, _ in out], "error": [e for _, e in out]})
 
+    small_batches(texts.sparkSession)
     return texts.select("hash", "text").mapInPandas(run, "hash string, vector array<float>, error string")

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.batches import small_batches
+
 RECENCY_FLOOR, HALF_LIFE_DAYS = 0.80, 730.0
 FUSION_K, FUSION_DEPTH, FUSION_MOST = 20, 12, 40
 
@@ -101,6 +103,7 @@ def ranked(df: DataFrame, order: list, depth: int) -> DataFrame:
 
 def embed(df: DataFrame, text: str, fn, size: int, out: str = "vector") -> DataFrame:
     """Vectors of texts by ``fn(list of texts) -> list of lists``, in Arrow batches; counts must agree."""
+    small_batches(df.sparkSession)
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

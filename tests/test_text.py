@@ -10,6 +10,14 @@ def one(spark, rows, schema, col):
     return [r[0] for r in spark.createDataFrame(rows, schema).select(col).collect()]
 
 
+def test_workers_get_bounded_batches(spark):
+    for key in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{key}")
+    M.searchable_column(F.col("text"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 16 << 20
+
+
 def test_slugs_hashes_and_urls(spark):
     assert one(spark, [("  Wine & Food / 2026  ",), ("",), (None,), ("é!",), ("a" * 100,)], "x string", TX.slugify(F.col("x"))) == ["wine-food-2026", "page", "page", "page", "a" * 80]
     assert one(spark, [("abc",)], "x string", TX.content_hash(F.col("x"))) == ["ba7816bf8f01cfea414140de5dae2223"]
