@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.batches import small_batches
 from tessera.functions.text import tokens
 from tessera.operators.lexical import FREQUENT_CAP, FREQUENT_RATIO, K1, B, Atom, Query
 from tessera.operators.tables import BUCKET, Manifests, Version
@@ -63,6 +64,7 @@ class LexicalIndex:
         docs.withColumn(BUCKET, self._bucket("id")).repartition(self.buckets, BUCKET).write.partitionBy(BUCKET).parquet(f"{at}/docs")
         read = self._read_docs(name).select("id", "dl", *self.scope, tokens(F.col("text")).alias("tok"))
         salt = F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(SALTS))
+        small_batches(self.spark)
         post = read.mapInArrow(_inverted(self.scope), self._blocks).withColumn(BUCKET, self._bucket("term")).repartition(self.buckets * SALTS, BUCKET, salt)
         post.sortWithinPartitions(BUCKET, "term").write.partitionBy(BUCKET).parquet(f"{at}/postings")
         self._read_postings(name).groupBy("term").agg(F.sum(F.size("tf")).alias("df")).write.parquet(f"{at}/terms")
@@ -198,10 +200,11 @@ class LexicalIndex:
                 for q in prefixes[:k]:
                     more = more.where(~F.startswith("term", F.lit(q)))
                 some.append(more.where(~F.col("term").isin(*words)) if words else more)
-            side = F.explode(F.arrays_zip("ids", "dl", "tf", "start", *self.scope)).alias("p")
-            each = reduce(DataFrame.unionByName, some).select("term", side, *(["pos"] if places else []))
-            own = [F.slice("pos", F.col("p.start") + 1, F.col("p.tf")).alias("pos")] if places else []
-            return _bounded(each.select("term", F.col("p.ids").alias("id"), "p.dl", "p.tf", *[f"p.{c}" for c in self.scope], *own), scope)
+            side = F.arrays_zip("ids", "dl", "tf", "start", *self.scope)
+            if places:  # cut before rows are made of the block: none carries the places of all
+                side = F.transform(side, lambda p: F.struct(*[p[c].alias(c) for c in ("ids", "dl", "tf", *self.scope)], F.slice("pos", p["start"] + 1, p["tf"]).alias("pos")))
+            each = reduce(DataFrame.unionByName, some).select("term", F.explode(side).alias("p"))
+            return _bounded(each.select("term", F.col("p.ids").alias("id"), "p.dl", "p.tf", *[f"p.{c}" for c in self.scope], *(["p.pos"] if places else [])), scope)
 
         return self._alive(version, read)
 

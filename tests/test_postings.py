@@ -103,6 +103,17 @@ def test_a_search_reads_the_folders_of_its_words(spark, index):
     assert all(r.title.startswith("title") and "gateway" in r.text.lower() for r in full) and 0 <= folder < 4
 
 
+def test_postings_come_in_bounded_blocks_and_carry_their_own_places(spark, index):
+    for key in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{key}")
+    rows = [(f"d{k}", "the payment of the payment", "r0", "") for k in range(2500)]
+    index.rebuild(spark.createDataFrame(rows, SCHEMA).coalesce(1))
+    v = index.manifests.current()
+    assert index._read_postings(v.says["segments"][0]["name"]).agg(F.max(F.size("ids"))).first()[0] <= 1000
+    hits = index.search(lexical.parse('"the payment"'))
+    assert hits.count() == 2500
+
+
 def test_nothing_indexed(spark, index):
     assert index.search(lexical.parse("the")).count() == 0 and index.totals() == (0, 0)
     assert index.frequent_terms().count() == 0 and index.documents().count() == 0
