@@ -20,6 +20,8 @@ from tessera.storage import Store
 
 #: Ids up to which a frontier is looked up by value.
 FEW = 64
+#: Edges of a bucket beyond which there are more buckets, so that what a task sorts does not grow with the graph.
+BUCKET_EDGES = 1 << 20
 
 
 class Adjacency:
@@ -30,13 +32,19 @@ class Adjacency:
         self.name = "tessera_edges_" + hashlib.sha256(self.root.encode()).hexdigest()[:16]
         self._says: dict | None = None
 
-    def build(self, nodes: DataFrame, edges: DataFrame) -> Adjacency:
-        """Write both directions and what traversals must know of the whole graph; under the same root again it replaces."""
+    def build(self, nodes: DataFrame, edges: DataFrame, ways: tuple[str, ...] = ("out", "in")) -> Adjacency:
+        """Write the edges by source (``out``) and by target (``in``) and what traversals must know of the whole graph; under the same root again it replaces.
+
+        Edges are computed once, and dealt out once a way: the join with the degrees takes them as they lie in their buckets.
+        ``bfs``, ``dfs`` and ``walked`` read ``out`` only.
+        """
+        edges = saved(edges.select("ord", "source", "target", "relation", "confidence", "context"), "edges")
+        self.buckets = max(self.buckets, -(-edges.count() // BUCKET_EDGES))
         degree = saved(graph.degrees(nodes, edges), "degrees")
-        for way, key in (("out", "source"), ("in", "target")):
-            own = edges.join(degree.select(F.col("id").alias(key), "degree"), key)
-            own = own.select("ord", "source", "target", "relation", "confidence", "context", "degree")
-            dealt = own.repartition(self.buckets, key)
+        for way in ways:
+            key = {"out": "source", "in": "target"}[way]
+            dealt = edges.repartition(self.buckets, key).join(degree.select(F.col("id").alias(key), "degree").repartition(self.buckets, key), key)
+            dealt = dealt.select("ord", "source", "target", "relation", "confidence", "context", "degree")
             dealt.write.mode("overwrite").bucketBy(self.buckets, key).sortBy(key).option("path", f"{self.root}/{way}").saveAsTable(f"{self.name}_{way}")
         store = Store(self.spark, self.root)
         store.delete("graph.json")

@@ -230,7 +230,7 @@ _STARTS = ["part:1", "part:7", "orders:3"]
 
 def _bfs(spark, folder, contexts, depth):
     start = spark.createDataFrame([(s,) for s in _STARTS], "id string").join(star.nodes(spark, folder).select("id"), "id", "left_semi")
-    return star.adjacency(spark, folder).bfs(start, depth, contexts)
+    return star.adjacency(spark, folder, ways=("out",)).bfs(start, depth, contexts)
 
 
 @query(_bfs_sql(_STARTS, 4))
@@ -256,7 +256,7 @@ done AS (SELECT seen, depths FROM walk WHERE len(stack) = 0)
 SELECT unnest(range(len(seen))) AS nth, unnest(seen) AS id, unnest(depths) AS depth FROM done""")
 def graph_dfs(spark, folder):
     """Visiting order of a stack from two parts; the SQL keeps the stack as a list."""
-    return star.adjacency(spark, folder).dfs(_STARTS[:2], 3)
+    return star.adjacency(spark, folder, ways=("out",)).dfs(_STARTS[:2], 3)
 
 
 _DIM = f"WITH RECURSIVE nodes AS ({star.nodes_sql(False)}), edges AS (SELECT * FROM ({star.edges_sql(False)}) WHERE relation <> 'supplied_by'), both_ AS (SELECT DISTINCT source, target FROM edges UNION SELECT target, source FROM edges)"

@@ -21,14 +21,16 @@ def built(spark: SparkSession, folder: str, kind: str, make: Callable[[str], obj
     return _BUILT[key]
 
 
-def adjacency(spark: SparkSession, folder: str, whole: bool = True) -> Adjacency:
-    """The stored edges of the graph; not ``whole``: without orders and suppliers of parts."""
+def adjacency(spark: SparkSession, folder: str, whole: bool = True, ways: tuple[str, ...] = ("out", "in")) -> Adjacency:
+    """The stored edges of the graph; not ``whole``: without orders and suppliers of parts. ``ways``: those that are needed."""
 
     def make(root: str) -> Adjacency:
         e = edges(spark, folder, whole)
-        return Adjacency(spark, root).build(nodes(spark, folder, whole), e if whole else e.where("relation <> 'supplied_by'"))
+        return Adjacency(spark, root).build(nodes(spark, folder, whole), e if whole else e.where("relation <> 'supplied_by'"), ways)
 
-    return built(spark, folder, "edges" if whole else "few-edges", make)
+    kind = "edges" if whole else "few-edges"
+    both = (spark.sparkContext.applicationId, folder, kind) in _BUILT
+    return built(spark, folder, kind if both or len(ways) > 1 else f"{kind}-{ways[0]}", make)
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:

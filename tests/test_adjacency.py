@@ -130,6 +130,18 @@ def test_a_new_session_finds_the_stored_edges(spark, tmp_path):
     assert {r.id: r.level for r in again.bfs(start, 3).collect()} == Plain(names, edges).bfs(["n0"], 3)
 
 
+def test_buckets_follow_the_edges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tessera.operators.adjacency.BUCKET_EDGES", 10)
+    names, edges = made(7)
+    g = Adjacency(spark, str(tmp_path / "g"), 4).build(*frames(spark, names, edges), ("out",))
+    assert g.says["buckets"] == -(-len(edges) // 10) and not spark.catalog.tableExists(f"{g.name}_in")
+    files = [f for f in (tmp_path / "g" / "out").iterdir() if f.name.endswith(".parquet")]
+    assert len(files) <= g.says["buckets"]  # each bucket is one task's, though edges were joined on the way
+    start = spark.createDataFrame([("n0",)], "id string")
+    again = Adjacency(spark, str(tmp_path / "g"))
+    assert {r.id: r.level for r in again.bfs(start, 3).collect()} == Plain(names, edges).bfs(["n0"], 3)
+
+
 def test_empty_graph(spark, tmp_path):
     g = Adjacency(spark, str(tmp_path / "g"), 4).build(spark.createDataFrame([], N), spark.createDataFrame([], E))
     start = spark.createDataFrame([("x",)], "id string")
