@@ -94,23 +94,56 @@ def _frequency_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         for _, at, h in T.row_words(batch.column("text")):
             head, _ = _steps(at, PASSAGE)
             df[-1] += len(head)
-            of = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(h))))
-            df[:-1] += np.bincount(np.unique(of * FEATURES + _feature(h)) % FEATURES, minlength=FEATURES)
+            cell, first = _cells(head, _feature(h))
+            df[:-1] += np.bincount(cell[first] & (FEATURES - 1), minlength=FEATURES)
     yield _slices(df)
 
 
+def _cells(head: np.ndarray, feat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each word's passage times FEATURES plus its feature, sorted (in 32 bits if they hold them), and where equal ones begin."""
+    of = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(feat))))
+    cell = of * FEATURES + feat
+    cell = np.sort(cell.astype(np.uint32) if len(head) <= (1 << 32) // FEATURES else cell)
+    return cell, np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+
+
 def _norms(head: np.ndarray, feat: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Length of each passage's vector; a word that repeats adds up."""
-    of = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(feat))))
-    cell = np.sort(of * FEATURES + feat)
-    first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-    w = np.diff(np.append(first, len(cell))) * idf[cell[first] % FEATURES]
+    cell, first = _cells(head, feat)
+    w = np.diff(np.append(first, len(cell))) * idf[cell[first] & (FEATURES - 1)]
     return np.sqrt(np.bincount(cell[first] // FEATURES, w * w, len(head)))
 
 
+def _sums(table: np.ndarray, which: np.ndarray, head: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of rows ``which`` of the table over runs of at most ``step``, longer runs first, and where each run's sum stands.
+
+    One place in the run after the other: the runs that have it stand in front.
+    """
+    size = np.diff(np.append(head, len(which)))
+    order = np.argsort((step - size).astype(np.uint8), kind="stable")
+    more = len(size) - np.cumsum(np.bincount(size, minlength=step + 1))
+    head = head[order]
+    out = table.take(which[head], 0)
+    for k in range(1, step):
+        out[: more[k]] += table.take(which[head[: more[k]] + k], 0)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return out, place
+
+
+def _row_sums(y: np.ndarray, which: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of rows ``which`` of ``y`` over the runs that begin at ``at``; eight by eight, as reduceat is slow along rows."""
+    while True:
+        first, run = _steps(at, 8)
+        y, which = _sums(y, which, first, 8)
+        if len(first) == len(at) - 1:
+            return y.take(which, 0)
+        at = np.append(np.flatnonzero(np.append(True, run[1:] != run[:-1])), len(first))
+
+
 def _table(uri: str, columns: int) -> np.ndarray:
     """A matrix of FEATURES rows in shared storage."""
-    return store.mapped(uri).view("<f4").reshape(FEATURES, columns)
+    return np.asarray(store.mapped(uri)).view("<f4").reshape(FEATURES, columns)
 
 
 def _products(column: pa.Array, idf: np.ndarray, weighted: np.ndarray) -> Iterator[np.ndarray]:
@@ -119,7 +152,8 @@ def _products(column: pa.Array, idf: np.ndarray, weighted: np.ndarray) -> Iterat
         head, _ = _steps(at, PASSAGE)
         feat = _feature(h)
         norm = np.maximum(_norms(head, feat, idf), 1e-12).astype(np.float32)
-        yield np.add.reduceat(weighted[feat], head) / norm[:, None]
+        sums, place = _sums(weighted, feat, head, PASSAGE)
+        yield sums.take(place, 0) / norm[:, None]
 
 
 def _sketch(seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,10 +178,10 @@ def _multiply_batches(idf_file: str, seed: int):
                 y = (y / np.maximum(_norms(head, feat, idf), 1e-12)[:, None] ** 2).astype(np.float32)
                 order = np.argsort(feat.astype(np.uint16), kind="stable")
                 f, of = feat[order], of[order]
-                for a in range(0, len(f), 1 << 11):  # some words at a time stay in the cache
-                    own = f[a : a + (1 << 11)]
+                for a in range(0, len(f), 1 << 13):  # some words at a time stay in the cache
+                    own = f[a : a + (1 << 13)]
                     first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-                    out[own[first]] += np.add.reduceat(y[of[a : a + (1 << 11)]], first)
+                    out[own[first]] += _row_sums(y, of[a : a + (1 << 13)], np.append(first, len(own)))
                 met[f] = True
         for part, rows in enumerate(np.array_split(np.arange(FEATURES), SLICES)):
             rows = rows[met[rows]]
@@ -229,11 +263,9 @@ def common_subsequence(item: dict[int, int], words: list[int], size: int) -> int
     """
     full = (1 << size) - 1
     v = full
-    for x in words:
-        m = item.get(x, 0)
-        if m:
-            u = v & m
-            v = ((v + u) | (v - u)) & full
+    for m in filter(None, map(item.get, words)):
+        u = v & m
+        v = ((v + u) | (v - u)) & full
     return v
 
 
@@ -362,25 +394,13 @@ def _search_batches(table_file: str, idf_file: str, items: Items, cosine: float,
     return run
 
 
-def _step_sums(table: np.ndarray, feature: np.ndarray, head: np.ndarray) -> np.ndarray:
-    """Sums of the table's rows over each step's words, one place in the step after the other."""
-    size = np.diff(np.append(head, len(feature)))
-    out = table[feature[head]]
-    for k in range(1, STEP):
-        has = size > k
-        if has.all():
-            out += table[feature[head + k]]
-        else:
-            out[has] += table[feature[head[has] + k]]
-    return out
-
-
 def _hits(h, at, table, groups, whole, rare, masks, ends, sizes, tails, cosine, share, answer_share) -> Iterator[tuple[int, int, int, float]]:
     """(row, item, matched words, cosine) of windows that pass both checks."""
     head, row = _steps(at, STEP)
     if not len(head):
         return
-    steps = _step_sums(table, _feature(h), head)
+    steps, place = _sums(table, _feature(h), head, STEP)
+    steps = steps.take(place, 0)
     maps = np.bitwise_or.reduceat(_bits(h), head)
     n_steps = len(head)
     last = np.searchsorted(row, row, side="right")  # the step after the row's last
@@ -410,7 +430,7 @@ def _hits(h, at, table, groups, whole, rare, masks, ends, sizes, tails, cosine,
             meets = cos >= cosine
             here = (near >= a) & (near < a + 8192)
             meets[near[here] - a, near_item[here]] = True
-            ci, cj = np.nonzero(meets)
+            ci, cj = np.divmod(np.flatnonzero(meets), len(own))  # much faster than both indices at once
             # each of the item's bits that the window lacks is a word that it lacks
             there = np.zeros((len(ci), 4), np.uint64)
             for o in range(-1, w + 1):

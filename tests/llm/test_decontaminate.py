@@ -173,3 +173,23 @@ def test_empty_tables(spark):
     assert D.contaminated(d.limit(0), b).count() == 0
     assert D.contaminated(d, b.limit(0)).count() == 0
     assert D.clean(d, b.limit(0)).count() == len(docs)
+
+
+def test_sums_of_rows_and_passages_of_any_number():
+    rng = np.random.default_rng(4)
+    y = rng.random((50, 7)).astype(np.float32)
+    size = np.array([1, 2, 3, 4, 5, 15, 16, 17, 64, 65, 300, 1])
+    at = np.append(0, np.cumsum(size))
+    which = rng.integers(0, 50, at[-1])
+    assert np.allclose(D._row_sums(y, which, at), np.add.reduceat(y[which], at[:-1]), rtol=1e-5)
+    few = np.array([0, 1, 4, 36])
+    sums, place = D._sums(y, which[:60], few, 32)
+    assert np.allclose(sums[place], np.add.reduceat(y[which[:60]], few), rtol=1e-5)
+    for n in (10, D.FEATURES + 5):  # more passages than 32 bits hold cells
+        feat = rng.integers(0, D.FEATURES, 2 * n)
+        feat[1] = feat[0]
+        cell, first = D._cells(np.arange(0, 2 * n, 2), feat)
+        want = np.unique(np.repeat(np.arange(n), 2) * D.FEATURES + feat)
+        assert (cell[first] == want).all()
+    words = np.arange(1, 9)
+    assert D._matched(D._masks(words), [0, 1, 2, 9, 3, 8], 8) == 4
