@@ -117,6 +117,36 @@ def test_quality_held_out_and_compiled_rules(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, p in by_hand.items() if p >= 0.5}
 
 
+def test_quality_learns_from_every_labelled_row(spark):
+    """9,000 labelled rows are 9,000 rows of the first tree; a cut that only 40 of them show is learned."""
+    text = lambda k: "word " * 30 + ("###### " * 9 if k % 225 == 0 else "")
+    docs = spark.createDataFrame([(k, text(k)) for k in range(9000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 225 != 0)) for k in range(9000)], "doc_id long, quality int")
+    seen = []
+    whole = quality._sum
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(quality, "_sum", lambda *a: seen.append(whole(*a)) or seen[-1])
+        rules = quality.train(docs, labels)
+    train = [k for k in range(9000) if zlib.crc32(str(k).encode()) % 4 != 2]
+    assert seen[0].tolist() == [len(train), sum(k % 225 != 0 for k in train)]
+    got = {r.doc_id: r.predicted for r in quality.score(docs, rules).collect()}
+    assert all(got[k] == (k % 225 != 0) for k in range(9000))
+
+
+def test_sums_by_bin_and_splits_by_hand():
+    rng = np.random.default_rng(6)
+    bins, y, key = rng.integers(0, 5, (400, 12)).astype("u1"), (rng.random(400) < 0.6).astype(float), np.arange(400, dtype=np.uint64)
+    y[bins[:, 3] <= 1] = 0
+    node = ((7, True, 2),)
+    hist = quality._histograms([(((3, True, 1),), -0.5)], 0.2, [[], [node]], 0)(bins, y, key)[0].reshape(3, 12, -1)
+    own = bins[:, 7] <= 2
+    p = 1 / (1 + np.exp(-(0.2 - 0.5 * (bins[:, 3] <= 1))))
+    assert hist[0, 4, 2] == pytest.approx((p - y)[own & (bins[:, 4] == 2)].sum()) and hist[2, 4, 2] == (own & (bins[:, 4] == 2)).sum()
+    value, where, sides = quality._split(hist.ravel(), [np.arange(4.0)] * 12)
+    low = own & (bins[:, 3] <= 1)
+    assert where == (3, 1) and sides[0] == pytest.approx(-(p - y)[low].sum() / ((p * (1 - p))[low].sum() + 1))
+
+
 def test_no_labels(spark):
     docs, labels = table(spark, SF, "documents").limit(50), table(spark, SF, "labels").limit(0)
     assert quality.score(docs, quality.train(docs, labels)).count() == 50
