@@ -356,12 +356,14 @@ def fit_all(binned: DataFrame, cuts: list[np.ndarray], trees: int = 40, depth: i
 def train(docs: DataFrame, labels: DataFrame) -> Rules:
     """Fit on the statistics of all labelled rows of the training fold.
 
-    Cuts come from Spark's percentiles of all rows (exact to a 10,000th of the rows). Tasks are as
-    many as cores: each sends sums by bin, or the square of the rules.
+    Labels are joined to statistics, so that no text is shuffled. Cuts come from Spark's
+    percentiles of all rows (exact to a 10,000th of the rows). Tasks are as many as cores: each
+    sends sums by bin, or the square of the rules.
     """
     known = labels.where(fold(F.col("doc_id"), 4) != 2).where(F.col("quality").isNotNull()).select("doc_id", F.col("quality").cast("int"))
     chosen = known.groupBy("doc_id").agg(F.max("quality").alias("_y"))
-    rows = saved(with_statistics(docs.select("doc_id", "text").join(chosen, "doc_id"), ["doc_id", "_y"], "_q"), "quality")
+    stats = with_statistics(docs.where(fold(F.col("doc_id"), 4) != 2).select("doc_id", "text"), ["doc_id"], "_q")
+    rows = saved(stats.join(chosen, "doc_id"), "quality")
     shares = [float(q) for q in np.linspace(0.01, 0.99, CUTS)]
     at = rows.select(*[F.percentile_approx(f"_q{k}", shares, 10000).alias(k) for k in STATISTICS]).first()
     cuts = [np.unique(np.array(at[k] or [], float)) for k in STATISTICS]

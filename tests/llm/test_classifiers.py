@@ -133,6 +133,34 @@ def test_quality_learns_from_every_labelled_row(spark):
     assert all(got[k] == (k % 225 != 0) for k in range(9000))
 
 
+def test_quality_shuffles_no_text(spark):
+    """With labels too large to broadcast, statistics meet them, not texts; repeated and unlabelled rows count as before."""
+    docs = spark.createDataFrame([(k % 900, "word " * (k % 30) + str(k)) for k in range(1000)] + [(None, "none")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2 if k % 5 else None) for k in range(800)], "doc_id long, quality int")
+    plans, rows = [], []
+    whole = quality.saved
+
+    def saved(df, kind):
+        if kind == "quality":
+            plans.append(spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted"))
+            rows.extend(df.select("doc_id", "_y", "_qchars").collect())
+        return whole(df, kind)
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(quality, "saved", saved)
+            quality.train(docs, labels)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    dealt = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*?)\]", plans[0])
+    assert len(dealt) >= 2 and any("_qruns" in x for x in dealt)
+    assert not any(re.search(r"\b(text|_qt|_qw|_ql)#", x) for x in dealt)
+    want = [(k % 900, (k % 900) % 2, math.log1p(5 * (k % 30) + len(str(k)))) for k in range(1000) if k % 900 < 800 and (k % 900) % 5 and zlib.crc32(str(k % 900).encode()) % 4 != 2]
+    assert [x[:2] for x in sorted(rows)] == [x[:2] for x in sorted(want)] and [x[2] for x in sorted(rows)] == pytest.approx([x[2] for x in sorted(want)])
+
+
 def test_sums_by_bin_and_splits_by_hand():
     rng = np.random.default_rng(6)
     bins, y, key = rng.integers(0, 5, (400, 12)).astype("u1"), (rng.random(400) < 0.6).astype(float), np.arange(400, dtype=np.uint64)
