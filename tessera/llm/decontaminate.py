@@ -205,8 +205,8 @@ def _gram_batches(idf_file: str, basis_file: str):
     return run
 
 
-def _rows_total(sent: DataFrame, columns: int) -> np.ndarray:
-    """Sum of the rows that tasks sent in slices."""
+def _rows_total(sent: DataFrame, columns: int, folder: str) -> np.ndarray:
+    """Sum of the rows that tasks sent in slices; the sums come as files in shared storage, not through the driver's JVM."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -215,15 +215,27 @@ def _rows_total(sent: DataFrame, columns: int) -> np.ndarray:
             for p, rows, b in zip(batch.column("part").to_pylist(), batch.column("rows"), batch.column("blob"), strict=True):
                 own = sums.setdefault(p, np.zeros((len(parts[p]), columns), np.float32))
                 own[np.frombuffer(rows.as_buffer(), "<i4") - parts[p][0]] += np.frombuffer(b.as_buffer(), "<f4").reshape(-1, columns)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["part", "blob"])
+        uris = [store.write(folder, "slice", s.astype("<f4", copy=False)) for s in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(uris, pa.string())], names=["part", "uri"])
 
     out = np.zeros((FEATURES, columns), np.float32)
     slices = np.array_split(out, SLICES)  # views
-    for r in arrow_map(sent.repartition(SLICES, "part"), add, "part int, blob binary").collect():
-        slices[r.part][:] = np.frombuffer(r.blob, "<f4").reshape(-1, columns)
+    for r in arrow_map(sent.repartition(SLICES, "part"), add, "part int, uri string").collect():
+        slices[r.part][:] = store.mapped(r.uri).view("<f4").reshape(-1, columns)
     return out
 
 
+def _orthonormal(y: np.ndarray) -> None:
+    """Make the columns of ``y`` an orthonormal basis of what they span, in place: a slice of rows at a time, then the slices' triangles."""
+    slices, triangles = np.array_split(y, SLICES), []
+    for s in slices:
+        s[:], r = np.linalg.qr(s.astype(np.float64))
+        triangles.append(r)
+    turn = np.linalg.qr(np.concatenate(triangles))[0]
+    for s, t in zip(slices, np.split(turn, SLICES), strict=True):
+        s[:] = s @ t
+
+
 def fit(docs: DataFrame, benchmark: DataFrame, max_texts: int | None = None, seed: int = 0) -> tuple[str, str]:
     """Files of the word table (FEATURES, RANK) and of the words' weights: a window's latent vector is the sum of its words' rows.
 
@@ -244,15 +256,16 @@ def fit(docs: DataFrame, benchmark: DataFrame, max_texts: int | None = None, see
     folder = shared_dir(spark, "latent")
     idf_file = store.write(folder, "idf", idf.astype("<f4"))
 
-    y = _rows_total(arrow_map(some, _multiply_batches(idf_file, seed), "part int, rows binary, blob binary"), RANK + EXTRA)
-    basis = np.linalg.qr(y)[0]
-    weighted = store.write(folder, "basis", (basis * idf[:, None]).astype("<f4"))
-    gram = _total(arrow_map(some, _gram_batches(idf_file, weighted), "part int, blob binary"), "<f8", (RANK + EXTRA, RANK + EXTRA))
+    # on the driver: one matrix of FEATURES rows, changed in place, and slices of it
+    basis = _rows_total(arrow_map(some, _multiply_batches(idf_file, seed), "part int, rows binary, blob binary"), RANK + EXTRA, folder)
+    _orthonormal(basis)
+    basis *= idf.astype(np.float32)[:, None]
+    gram = _total(arrow_map(some, _gram_batches(idf_file, store.write(folder, "basis", basis)), "part int, blob binary"), "<f8", (RANK + EXTRA, RANK + EXTRA))
     value, turn = np.linalg.eigh((gram + gram.T) / 2)
     order = np.argsort(-value)[:RANK]
     scale = 1 / np.sqrt(np.maximum(value[order], max(value.max() * 1e-6, 1e-12)))
-    basis = basis @ (turn[:, order] * scale).astype(np.float32)  # whitened
-    return store.write(folder, "table", (basis * idf[:, None]).astype("<f4")), idf_file
+    whitened = (turn[:, order] * scale).astype(np.float32)
+    return store.write(folder, "table", *(s @ whitened for s in np.array_split(basis, SLICES))), idf_file
 
 
 def common_subsequence(item: dict[int, int], words: list[int], size: int) -> int:

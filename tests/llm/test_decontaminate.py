@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -140,6 +141,36 @@ def test_the_decomposition_sees_every_text(spark):
     assert (np.abs(D._table(table, D.RANK)[D._feature(h)]).max(1) > 0).all()
 
 
+def test_the_driver_holds_one_matrix_and_slices_of_it(spark):
+    """A matrix of all words' rows takes 27 MB; the decomposition needs less than three of them on the driver, and none in its JVM."""
+    docs, items, _ = corpus()
+    d = spark.createDataFrame(docs, "doc_id long, text string, item_id string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    tracemalloc.start()
+    try:
+        table, idf = D.fit(d, b)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 3 * 4 * D.FEATURES * (D.RANK + D.EXTRA)
+    # A times the table has orthonormal columns, A being the passages of all texts: their square is the identity
+    idf, whole = D._table(idf, 1).ravel(), D._table(table, D.RANK)
+    texts = pa.array([x[1] for x in docs] + [x[1] for x in items])
+    y = np.concatenate(list(D._products(texts, idf, whole)))
+    assert np.allclose(y.T @ y, np.eye(D.RANK), atol=1e-3)
+
+
+def test_an_orthonormal_basis_in_place():
+    rng = np.random.default_rng(7)
+    y = (rng.standard_normal((D.FEATURES, 20)) * (rng.random((D.FEATURES, 1)) < 0.01)).astype(np.float32)
+    y[: D.FEATURES // D.SLICES] = 0  # no word of the first slice was met
+    y[:, 19] = y[:, 3]  # and a column that adds nothing
+    want, got = np.linalg.qr(y.astype(np.float64))[0], y.copy()
+    D._orthonormal(got)
+    assert np.allclose(got.T @ got, np.eye(20), atol=1e-5)
+    assert np.allclose(got @ (got.T @ want[:, :19]), want[:, :19], atol=1e-5)
+
+
 def test_products_of_passages(spark):
     rnd = random.Random(3)
     texts = [" ".join(f"w{rnd.randint(0, 50)}" for _ in range(n)) for n in (0, 1, 31, 32, 33, 200)]
